@@ -2,10 +2,33 @@
 
 from __future__ import annotations
 
-from lakenote.llm import bpe, leak
+from pyspark.sql import functions as F
+
+from lakenote.llm import bpe, leak, neardup, spans, split
 from lakenote.tables import read
 
 
+def p2_found(spark, d):
+    records = neardup.chunk_records(read(spark, d, "chunks")).unionByName(neardup.title_records(read(spark, d, "docs")))
+    return neardup.near_duplicates(records, 60)
+
+
+def p2_classes(spark, d):
+    """Near-duplicate documents on sets of five words at a similarity of 0.8: links of each document."""
+    docs = neardup.word_shingles(read(spark, d, "documents"), "text", 5).select(F.lit("documents").alias("tab"), F.col("doc_id").alias("id"), "toks")
+    p = neardup.near_duplicates(docs, 80)
+    ends = p.select(F.col("id_a").alias("doc_id"), F.col("id_b").alias("other")).unionByName(p.select(F.col("id_b").alias("doc_id"), F.col("id_a").alias("other")))
+    return ends.groupBy("doc_id").agg(F.count("*").alias("links"), F.least(F.col("doc_id"), F.min("other")).alias("first"))
+
+
+def p3_found(spark, d):
+    return split.oversized(read(spark, d, "chunks"))
+
+
+def p3_pieces(spark, d):
+    return split.split_oversized(read(spark, d, "chunks"))
+
+
 def p6_ids(spark, d):
     return bpe.encode_corpus(read(spark, d, "documents"))
 
@@ -18,6 +41,14 @@ def p7_coverage(spark, d):
     return leak.covered(read(spark, d, "documents"), read(spark, d, "eval_items"))
 
 
+def p8_found(spark, d):
+    return spans.shared_pairs(read(spark, d, "documents"))
+
+
+def p8_shares(spark, d):
+    return spans.shared_shares(read(spark, d, "documents"))
+
+
 WORDS = "regexp_extract_all(lower({}), '[\\p{{L}}\\p{{N}}]+')"
 P7_SQL = f"""
 with w as (select doc_id, {WORDS.format('text')} as ws from documents where text is not null),
@@ -27,5 +58,13 @@ dw as (select doc_id, array_to_string(ws[p:p + 12], ' ') as win from (select doc
 select distinct doc_id, item_id from dw join iw using (win)
 """
 
-QUERIES = {"p6_ids": p6_ids, "p7_found": p7_found, "p7_coverage": p7_coverage}
-SQL = {"p7_found": P7_SQL}
+P3_SQL = """
+select distinct chunk_id, cast(regexp_matches(text, '[^\\s\\x{0085}\\x{00a0}\\x{2000}-\\x{200a}\\x{3000}]{1000}[^\\s\\x{0085}\\x{00a0}\\x{2000}-\\x{200a}\\x{3000}]{1000}[^\\s\\x{0085}\\x{00a0}\\x{2000}-\\x{200a}\\x{3000}]') as int) as forced
+from chunks where length(text) > 2000
+"""
+
+QUERIES = {
+    "p2_found": p2_found, "p2_classes": p2_classes, "p3_found": p3_found, "p3_pieces": p3_pieces, "p6_ids": p6_ids,
+    "p7_found": p7_found, "p7_coverage": p7_coverage, "p8_found": p8_found, "p8_shares": p8_shares,
+}
+SQL = {"p3_found": P3_SQL, "p7_found": P7_SQL}
