@@ -4,10 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lakenote.llm import bpe, leak, neardup, spans, split
+from lakenote.llm import ann, bpe, leak, neardup, spans, split
 from lakenote.tables import read
 
 
+def p1_found(spark, d):
+    return ann.similar_pairs(read(spark, d, "vectors"))
+
+
+def p1_neighbours(spark, d):
+    """The 5 most similar chunks of every chunk whose id is divisible by 100, of any cosine."""
+    v = read(spark, d, "vectors")
+    return ann.neighbours(v, ask=F.col("id") % 100 == 0).select("id", "other", F.round("cos", 6).alias("cos"), "rank")
+
+
 def p2_found(spark, d):
     records = neardup.chunk_records(read(spark, d, "chunks")).unionByName(neardup.title_records(read(spark, d, "docs")))
     return neardup.near_duplicates(records, 60)
@@ -64,6 +74,7 @@ from chunks where length(text) > 2000
 """
 
 QUERIES = {
+    "p1_found": p1_found, "p1_neighbours": p1_neighbours,
     "p2_found": p2_found, "p2_classes": p2_classes, "p3_found": p3_found, "p3_pieces": p3_pieces, "p6_ids": p6_ids,
     "p7_found": p7_found, "p7_coverage": p7_coverage, "p8_found": p8_found, "p8_shares": p8_shares,
 }
