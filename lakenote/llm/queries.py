@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lakenote.llm import ann, bpe, leak, neardup, spans, split
+from lakenote.llm import ann, bpe, leak, neardup, ocr, spans, split
 from lakenote.tables import read
 
 
@@ -39,6 +39,14 @@ def p3_pieces(spark, d):
     return split.split_oversized(read(spark, d, "chunks"))
 
 
+def p4_found(spark, d):
+    return ocr.repairs(read(spark, d, "chunks"), read(spark, d, "known_words"))
+
+
+def p4_pages(spark, d):
+    return ocr.repaired_pages(read(spark, d, "chunks"), read(spark, d, "known_words"))
+
+
 def p6_ids(spark, d):
     return bpe.encode_corpus(read(spark, d, "documents"))
 
@@ -75,7 +83,8 @@ from chunks where length(text) > 2000
 
 QUERIES = {
     "p1_found": p1_found, "p1_neighbours": p1_neighbours,
-    "p2_found": p2_found, "p2_classes": p2_classes, "p3_found": p3_found, "p3_pieces": p3_pieces, "p6_ids": p6_ids,
+    "p2_found": p2_found, "p2_classes": p2_classes, "p3_found": p3_found, "p3_pieces": p3_pieces,
+    "p4_found": p4_found, "p4_pages": p4_pages, "p6_ids": p6_ids,
     "p7_found": p7_found, "p7_coverage": p7_coverage, "p8_found": p8_found, "p8_shares": p8_shares,
 }
 SQL = {"p3_found": P3_SQL, "p7_found": P7_SQL}
