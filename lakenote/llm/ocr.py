@@ -33,16 +33,15 @@ SKIP = re.compile(r"[/\\=<>_@#*`]|^v?\d[\d.,:%-]*$|^\W*$")
 PAGE_WORDS = ("page", "p", "pp", "pg", "seite", "s", "página", "pagina", "pág", "pag", "blatt", "hoja", "folio")
 OF_WORDS = ("of", "von", "de", "sur")
 ROMAN = {"i": 1, "v": 5, "x": 10, "l": 50, "c": 100, "d": 500, "m": 1000}
-# Shapes that scanners take for each other, as one form for comparing lines.
-SHAPES = (("rn", "m"), ("ri", "n"), ("li", "h"), ("cl", "d"), ("vv", "w"), ("ii", "u"))
-LETTERS = str.maketrans({"c": "e", "1": "l", "|": "l", "i": "l", "0": "o", "6": "o", "b": "o", "5": "s", "+": "t", "q": "g", "9": "g", "8": "o"})
+# Shapes that scanners take for each other, written as one sequence of strokes for comparing lines.
+STROKES = str.maketrans({
+    "m": "rrl", "n": "rl", "d": "el", "h": "ll", "w": "vv", "u": "ll", "c": "e", "1": "l", "|": "l", "i": "l",
+    "0": "o", "6": "o", "b": "o", "8": "o", "5": "s", "+": "t", "q": "g", "9": "g",
+})
 
 
 def fold_word(w: str) -> str:
-    w = "".join(c for c in unicodedata.normalize("NFKD", w.lower()) if not unicodedata.combining(c))
-    for a, b in SHAPES:
-        w = w.replace(a, b)
-    return w.translate(LETTERS)
+    return "".join(c for c in unicodedata.normalize("NFKD", w.lower()) if not unicodedata.combining(c)).translate(STROKES)
 
 
 _PAGE, _OF = {fold_word(w) for w in PAGE_WORDS}, {fold_word(w) for w in OF_WORDS}
@@ -65,7 +64,7 @@ def page_number(line: str) -> int | None:
     toks = re.findall(r"[^\W_]+(?:[|+][^\W_]*)*|[|+][^\W_]+", line)
     if len(toks) > 1 and fold_word(toks[0]) in _PAGE:
         toks = toks[1:]
-    if len(toks) == 3 and fold_word(toks[1]) in _OF | {"sr"} or len(toks) == 2 and "/" in line:
+    if len(toks) == 3 and fold_word(toks[1]) in _OF or len(toks) == 2 and "/" in line:
         toks = toks[:1] if number(toks[-1]) is not None else toks
     return number(toks[0]) if len(toks) == 1 else None
 
