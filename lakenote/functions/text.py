@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
@@ -139,20 +140,20 @@ DATE_TOKENS = {"YYYY": "yyyy", "YY": "yy", "MMMM": "MMMM", "MMM": "MMM", "MM": "
 
 def spark_date_pattern(fmt: str) -> str:
     """A template's date format as a Spark pattern; `[...]` and other letters are literal."""
-    import re
-
-    out = ""
-    for lit, tok, other in re.findall(r"\[([^\]]*)\]|(YYYY|YY|MMMM|MMM|MM|M|dddd|ddd|DD|D|HH|H|mm|ss)|(.)", fmt, re.S):
-        text = lit + other
-        out += DATE_TOKENS[tok] if tok else "'" + text.replace("'", "''") + "'" if text else ""
-    return out
+    out: list[str] = []
+    held = ""
+    for lit, tok, other in [*re.findall(r"\[([^\]]*)\]|(YYYY|YY|MMMM|MMM|MM|M|dddd|ddd|DD|D|HH|H|mm|ss)|(.)", fmt, re.S), ("", "", "")]:
+        held += lit + other
+        if held and not lit + other:
+            out.append("'" + held.replace("'", "''") + "'")
+            held = ""
+        out += [DATE_TOKENS[tok]] if tok else []
+    return "".join(out)
 
 
 def fill_template(text: Column, title: Column, now: Column, formats: tuple[str, ...] = ()) -> Column:
     """Replace {{title}}, {{date}}, {{time}} and {{date:FORMAT}} for the given formats."""
     quote = lambda c: F.regexp_replace(c, r"([\\$])", r"\\$1")
-    import re
-
     for key, fmt in [("date", None), ("time", None), *(("(?:date|time)", f) for f in formats)]:
         pattern = spark_date_pattern(fmt or ("YYYY-MM-DD" if key == "date" else "HH:mm"))
         tail = r"\s*(?::\s*)?" if fmt is None else r"\s*:\s*" + re.escape(fmt) + r"\s*"
