@@ -4,9 +4,6 @@ from __future__ import annotations
 
 import re
 
-_V = re.compile(r"[aeiou]|(?<=[^aeiou])y")
-
-
 def _shape(w: str) -> str:
     """v for vowels, c for consonants; y counts as a vowel after a consonant."""
     out = ""
@@ -38,9 +35,13 @@ STEP3 = [("icate", "ic"), ("ative", ""), ("alize", "al"), ("iciti", "ic"), ("ica
 STEP4 = ["al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment", "ent", "ion", "ou", "ism", "ate", "iti", "ous", "ive", "ize"]
 
 
-def stem(w: str) -> str:
-    if len(w) < 3 or len(w) > 64 or not w.isascii() or not w.isalpha():
-        return w
+def stem(word: str) -> str:
+    """The stem of a word in lower case. Lengths count bytes, and every byte that is no vowel is a consonant."""
+    raw = word.encode()
+    return word if not 3 <= len(raw) <= 64 else _stem(raw.decode("latin-1")).encode("latin-1").decode(errors="replace")
+
+
+def _stem(w: str) -> str:
     if w.endswith("sses") or w.endswith("ies"):
         w = w[:-2]
     elif w.endswith("s") and not w.endswith("ss"):

@@ -58,7 +58,7 @@ def pending_images(doc_images: DataFrame, image_meta: DataFrame) -> DataFrame:
 
 def upsert(table: DataFrame, changes: DataFrame, key: str) -> DataFrame:
     """The table with the rows of `changes` in place of those of the same key."""
-    return table.join(changes.select(key).distinct(), key, "left_anti").unionByName(changes)
+    return table.join(changes.select(key).distinct(), key, "left_anti").select(*table.columns).unionByName(changes)
 
 
 def insert_new(table: DataFrame, rows: DataFrame, key: str) -> DataFrame:
@@ -68,7 +68,7 @@ def insert_new(table: DataFrame, rows: DataFrame, key: str) -> DataFrame:
 
 def without_docs(table: DataFrame, gone: DataFrame, key: str = "doc_id") -> DataFrame:
     """A table without the rows of removed documents."""
-    return table.join(gone.select(key).distinct(), key, "left_anti")
+    return table.join(gone.select(key).distinct(), key, "left_anti").select(*table.columns)
 
 
 def with_image_text(chunks: DataFrame, image_meta: DataFrame) -> DataFrame:

@@ -135,13 +135,13 @@ def _snippet(text: str, terms: list[Term], stemming: bool, width: int = 32) -> s
     best, at = -1, 0
     for p, _, _ in hits:
         inside = [h for h in hits if p <= h[0] < p + width]
-        start = p - int((width - (max(h[1] for h in inside) - p)) / 2)
+        start = p - int((width - (inside[-1][1] + 1 - p)) / 2)
         start = max(0, min(start, n - width))
         if (s := score(p)) > best:
             best, at = s, start
         if n > width:
             begin = max((k for k in firsts if k <= p), default=0)
-            if begin < p or begin == 0:
+            if begin < p:
                 s = score(begin) + (120 if begin == 0 else 100)
                 if s > best:
                     best, at = s, begin
@@ -151,7 +151,7 @@ def _snippet(text: str, terms: list[Term], stemming: bool, width: int = 32) -> s
         if a < at or a >= end:
             continue
         b = min(b, end - 1)
-        if merged and a <= merged[-1][1] + 1 and a <= merged[-1][1]:
+        if merged and a <= merged[-1][1]:
             merged[-1][1] = max(merged[-1][1], b)
         else:
             merged.append([a, b])

@@ -62,10 +62,10 @@ class _Reader(SimpleDataSourceStreamReader):
         with open(path + ".tmp", "w", encoding="utf-8") as f:
             json.dump(new, f)
         os.replace(path + ".tmp", path)
-        return self._changes(old, new), {"n": n}
+        return iter(list(self._changes(old, new))), {"n": n}
 
     def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        return self._changes(self._stored(start["n"]), self._stored(end["n"]))
+        return iter(list(self._changes(self._stored(start["n"]), self._stored(end["n"]))))
 
 
 class FolderChanges(DataSource):
