@@ -30,7 +30,7 @@ BLOCK = 4096
 def word_shingles(df: DataFrame, text: str, n: int = 3, least: int = 1) -> DataFrame:
     """Add toks: hashes of all runs of n consecutive words; rows of fewer than max(n, least) words or of null are left out."""
     w = F.col("_w")
-    runs = F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.xxhash64(F.array_join(F.slice(w, i, n), " ")))
+    runs = F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: F.xxhash64(*(F.get(w, i + k) for k in range(n))))
     return df.withColumn("_w", words(F.col(text))).where(F.size(w) >= max(n, least)).withColumn("toks", F.array_distinct(runs)).drop("_w")
 
 
@@ -120,10 +120,11 @@ def similar_sets(sets: DataFrame, percent: int) -> DataFrame:
 def near_duplicates(records: DataFrame, percent: int = 80) -> DataFrame:
     """(tab, id_a, id_b), id_a < id_b, of the records (tab, id, toks) that are near-duplicates within their tab.
 
-    Records with null or empty sets or a null id take no part; repeated rows count once; a record with two sets pairs by
+    Records with a null id take no part, and the builders leave out null and short texts; repeated rows count once; a record with two sets pairs by
     either. Classes of equal sets of more than copies.EXPAND records are given by their smallest member (see copies).
     """
-    r = records.where("id is not null and size(toks) > 0").select("tab", F.col("id").cast("bigint").alias("id"), F.array_sort("toks").alias("toks")).withColumn("cls", F.xxhash64("toks"))
+    # no filter on toks here: pushed below, it would work the words out anew for every shingle
+    r = records.where("id is not null").select("tab", F.col("id").cast("bigint").alias("id"), F.array_sort("toks").alias("toks")).withColumn("cls", F.xxhash64("toks"))
     r = checkpoint(r)
     sets = r.groupBy("tab", "cls").agg(F.first("toks").alias("toks"))
     return expand(similar_sets(sets, percent), r.select("tab", "cls", "id").distinct(), ["tab"])
