@@ -12,7 +12,7 @@ from lakenote.operators import keyword as K
 from lakenote.operators import stats as S
 from lakenote.operators.corpus import latest_docs, passages, unit_vectors
 from lakenote.operators.filters import Filters, without_embedded_images
-from lakenote.tables import read
+from lakenote.tables import checkpoint, read
 
 
 class Engine:
@@ -50,6 +50,7 @@ class Engine:
         if mode != "keyword" and self.embedder is not None and self.vectors is not None and question.strip():
             q = index.embed_query(self.embedder, question)
             sem = H.semantic_search(self.vectors, self.chunks, docs, q, None, fetch, self.embedder.min_similarity)
+        kw, sem = checkpoint(kw), checkpoint(sem)  # at most 400 rows each, used several times
         fused = H.fuse(kw, sem)
         text = self.chunks.join(self.docs.select("doc_id", "path", "title", "ext"), "doc_id")
         if mode != "keyword" and self.reranker is not None and question.strip():

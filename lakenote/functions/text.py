@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -19,20 +20,17 @@ HL_START, HL_END = "\x02", "\x03"
 
 def fold(s: str) -> str:
     """Lower case without diacritics; letters that have no decomposition stay."""
-    return "".join(c for c in unicodedata.normalize("NFD", s.lower()) if not unicodedata.combining(c))
+    s = s.lower()
+    return s if s.isascii() else "".join(c for c in unicodedata.normalize("NFD", s) if not unicodedata.combining(c))
+
+
+WORD = re.compile("[^\\W_\ue000-\uf8ff]+|[\ue000-\uf8ff]+")
+_stem = lru_cache(1 << 17)(stem)
 
 
 def stem_tokens(text: str | None) -> list[str] | None:
-    if text is None:
-        return None
-    out, cur = [], []
-    for c in fold(text) + " ":
-        if unicodedata.category(c)[0] in "LN" or unicodedata.category(c) == "Co":
-            cur.append(c)
-        elif cur:
-            out.append(stem("".join(cur)))
-            cur = []
-    return out
+    """Runs of letters or digits, folded and stemmed."""
+    return None if text is None else [_stem(w) for w in WORD.findall(fold(text))]
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from lakenote.operators import hybrid as H
 from lakenote.operators import keyword as K
 from lakenote.operators.filters import Filters, without_embedded_images
+from lakenote.tables import checkpoint
 from lakenote.plans.common import CHUNKS, DOCS, EXCERPT, TOKENS, UNITS, chunks, docs, units
 
 NOW = "2026-01-01 00:00:00"
@@ -117,7 +118,7 @@ def _lists(spark, d):
     u = units(spark, d)
     kw = K.keyword_search(chunks(spark, d), docs(spark, d), "garden calendar", None, 40, stemming=False)
     sem = H.semantic_search(u, chunks(spark, d), docs(spark, d), first_vector(u), None, 40, 0.0)
-    return kw, sem
+    return checkpoint(kw), checkpoint(sem)  # 40 rows each
 
 
 def rrf_hybrid(spark, d):
