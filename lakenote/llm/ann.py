@@ -133,14 +133,34 @@ def usable(vectors: DataFrame, dim: int = DIM) -> DataFrame:
     return v.select(F.col("chunk_id").cast("bigint").alias("id"), F.col("vec").cast("array<float>").alias("vec")).dropDuplicates(["id"])
 
 
+def _copies(u: DataFrame, k: int) -> tuple[DataFrame, DataFrame] | None:
+    """(rest, first) where more than k + 1 vectors are the same: first has the k + 1 smallest ids of each such group with
+    their rank, rest the others. No vector has one of the rest among its k most similar before those of first."""
+    keyed = u.select("id", F.xxhash64("vec").alias("h"))
+    hot = keyed.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > k + 1).select("h")
+    same = checkpoint(keyed.join(hot, "h"))
+    if same.isEmpty():
+        return None
+    # the limit on the rank is applied in each task before the shuffle, so a group is never gathered whole
+    first = same.withColumn("rank", F.row_number().over(Window.partitionBy("h").orderBy("id"))).where(F.col("rank") <= k + 1)
+    return same.join(first.select("id"), "id", "left_anti"), first
+
+
 def neighbours(vectors: DataFrame, k: int = 5, least: float = -1.0, dim: int = DIM, probes: int = PROBES, ask: Column | None = None) -> DataFrame:
     """(id, other, cos, rank): for every vector, or those that `ask` holds for, its k most similar others of a cosine of at least `least`, equal ones by id.
 
     Null, empty, all-zero vectors and those of another length take no part; repeated rows count once; of several vectors
-    of one id one is taken. The sample is at most SAMPLE vectors, chosen by a hash of their ids; all vectors are indexed.
+    of one id one is taken. Of more than k + 1 equal vectors only the k + 1 smallest ids are indexed; the others' most similar
+    are the first k of these. The sample is at most SAMPLE vectors, chosen by a hash of their ids; all vectors are indexed.
     """
     spark = vectors.sparkSession
     u = checkpoint(usable(vectors, dim))
+    direct = None
+    if copies := _copies(u, k):
+        rest, first = copies
+        u = checkpoint(u.join(rest.select("id"), "id", "left_anti"))
+        asked_rest = rest if ask is None else rest.where(ask)
+        direct = asked_rest.join(first.where(F.col("rank") <= k).withColumnRenamed("id", "other"), "h").where(F.lit(least <= 1)).select("id", "other", F.lit(1.0).alias("cos"), "rank")
     n = u.count()
     lists = max(1, min(MAX_LISTS, n // PER_LIST))
     share = min(1.0, SAMPLE / max(1, n))
@@ -162,7 +182,8 @@ def neighbours(vectors: DataFrame, k: int = 5, least: float = -1.0, dim: int = D
     out = T.StructType([T.StructField("id", T.LongType()), T.StructField("other", T.LongType()), T.StructField("cos", T.DoubleType())])
     found = stored.unionByName(queries).groupBy("list", "block", "queue").applyInPandas(_searched(model, k, least, dim), out)
     best = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("cos"), "other"))
-    return found.withColumn("rank", best).where(F.col("rank") <= k)
+    ranked = found.withColumn("rank", best).where(F.col("rank") <= k)
+    return ranked if direct is None else ranked.unionByName(direct)
 
 
 def similar_pairs(vectors: DataFrame, k: int = 5, least: float = 0.85, dim: int = DIM) -> DataFrame:

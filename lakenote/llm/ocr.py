@@ -25,6 +25,8 @@ from lakenote.tables import checkpoint
 SAMPLE, ROUNDS, BEAM = 6000, 4, 16
 #: Pages on which a header stands at least, lines at either end, and the longest line of a scanned page.
 PAGES, EDGE, WIDEST = 3, 2, 110
+#: Most known words that are sent to every task; more are refused, not dropped.
+MAX_WORDS = 2_000_000
 BREAKS = "-¬­‐"
 LINE = re.compile(r"\r\n|\n|\r")
 STRIP = ".,;:!?()[]{}\"'«»“”„…"
@@ -388,17 +390,16 @@ def _repaired(sent, full: bool):
 
 def _prepared(chunks: DataFrame, words: DataFrame):
     pages = checkpoint(scanned_pages(chunks))
-    known = {r[0].lower() for r in words.select("word").where("word is not null").distinct().limit(MAX_WORDS).collect()}
+    given = words.select("word").where("word is not null").distinct().limit(MAX_WORDS + 1).collect()
+    if len(given) > MAX_WORDS:
+        raise ValueError(f"more than {MAX_WORDS} known words; raise ocr.MAX_WORDS if the tasks have memory for them")
+    known = {r[0].lower() for r in given}
     lines = checkpoint(furniture(pages))
     sent = chunks.sparkSession.sparkContext.broadcast(train(pages, known))
     drops = lines.groupBy("chunk_id").agg(F.collect_set("line").alias("drop"))
     return pages.join(drops, "chunk_id", "left"), lines, sent
 
 
-#: Most known words that are sent to every task.
-MAX_WORDS = 2_000_000
-
-
 def repaired_pages(chunks: DataFrame, words: DataFrame) -> DataFrame:
     """(chunk_id, text) of every scanned page in readable paragraphs.
 

@@ -38,3 +38,14 @@ def test_few_and_no_vectors(spark):
     df = spark.createDataFrame([(2, [1.0] * 64), (1, [2.0] * 64), (3, [-1.0] * 64)], "chunk_id bigint, vec array<float>")
     assert [tuple(r) for r in ann.similar_pairs(df).collect()] == [(1, 2)]
     assert ann.similar_pairs(df.limit(0)).collect() == []
+
+
+def test_groups_of_copies_are_linked_to_their_first(spark):
+    r = np.random.default_rng(3)
+    x = [float(v) for v in r.normal(size=64)]
+    near = [v + 0.02 for v in x]
+    far = [float(v) for v in r.normal(size=64)]
+    df = spark.createDataFrame([(i, x) for i in range(40)] + [(100, near), (200, far)], "chunk_id bigint, vec array<float>")
+    got = {tuple(p) for p in ann.similar_pairs(df).collect()}
+    copies = {(j, i) for i in range(40) for j in [n for n in range(6) if n != i][:5] if j < i} | {(a, b) for a in range(5) for b in range(a + 1, 6)}
+    assert got == copies | {(j, 100) for j in range(5)}
