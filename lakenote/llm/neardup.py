@@ -65,7 +65,7 @@ def _prefixes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tok = np.concatenate([*f["toks"], np.zeros(0, np.int64)]).astype(np.int64).view(np.uint64)
         df = np.concatenate([*f["dfs"], np.zeros(0, np.int64)]).astype(np.int64)
         place = np.arange(len(tok)) - np.repeat(np.cumsum(size) - size, size)
-        out = f[["tab", "cls", "n", "own", "toks"]].copy()
+        out = f[["cls", "n", "own", "toks"]].copy()
         for j, w in enumerate(_bits(row, tok, len(f)).T):
             out[f"f{j}"] = w
         for i in range(ORDERS):
@@ -81,11 +81,11 @@ def _prefixes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def similar_sets(sets: DataFrame, percent: int) -> DataFrame:
-    """(tab, a, b), a < b: all pairs of the distinct sets (tab, cls, toks) with a Jaccard similarity of at least percent / 100."""
-    seen = sets.select("tab", "cls", F.size("toks").alias("n"), F.explode("toks").alias("tok"))
-    often = seen.groupBy("tab", "tok").agg(F.count("*").alias("df")).where("df > 1")
+    """(a, b), a < b: all pairs of the distinct sets (cls, toks) with a Jaccard similarity of at least percent / 100."""
+    seen = sets.select("cls", F.size("toks").alias("n"), F.explode("toks").alias("tok"))
+    often = seen.groupBy("tok").agg(F.count("*").alias("df")).where("df > 1")
     shared = (
-        seen.join(often, ["tab", "tok"]).groupBy("tab", "cls")
+        seen.join(often, "tok").groupBy("cls")
         .agg(F.first("n").alias("n"), F.collect_list("tok").alias("toks"), F.collect_list("df").alias("dfs"))
         .withColumn("own", F.col("n") - F.size("toks"))
         # places left in the prefix once the set's own tokens are counted; without any, no pair can reach the threshold
@@ -93,15 +93,15 @@ def similar_sets(sets: DataFrame, percent: int) -> DataFrame:
     )
     bits = [f"f{j}" for j in range(WORDS)] + [f"b{i}{j}" for i in range(1, ORDERS) for j in range(WORDS)]
     longs = T.ArrayType(T.LongType())
-    fields = [("tab", T.StringType()), ("cls", T.LongType()), ("n", T.IntegerType()), ("own", T.IntegerType()), ("toks", longs)]
+    fields = [("cls", T.LongType()), ("n", T.IntegerType()), ("own", T.IntegerType()), ("toks", longs)]
     fields += [(c, T.LongType()) for c in bits] + [("p", longs), ("pdf", longs)]
-    base = checkpoint(shared.select("tab", "cls", "n", "own", "k", "toks", "dfs").mapInPandas(_prefixes, T.StructType([T.StructField(c, t) for c, t in fields])))
+    base = checkpoint(shared.select("cls", "n", "own", "k", "toks", "dfs").mapInPandas(_prefixes, T.StructType([T.StructField(c, t) for c, t in fields])))
 
-    keys = ["tab", "tok", "row", "col"]
-    one = base.select("tab", "cls", "n", "own", *bits, F.explode(F.arrays_zip("p", "pdf")).alias("z")).select("*", F.col("z.p").alias("tok"), F.ceil(F.col("z.pdf") / BLOCK).cast("int").alias("blocks")).drop("z")
+    keys = ["tok", "row", "col"]
+    one = base.select("cls", "n", "own", *bits, F.explode(F.arrays_zip("p", "pdf")).alias("z")).select("*", F.col("z.p").alias("tok"), F.ceil(F.col("z.pdf") / BLOCK).cast("int").alias("blocks")).drop("z")
     mine, every = F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"), F.explode(F.expr("sequence(0, blocks - 1)"))
-    left = one.select(*(F.col(c).alias(f"{c}_a") for c in ("cls", "n", "own", *bits)), "tab", "tok", mine.alias("row"), every.alias("col"))
-    right = one.select(*(F.col(c).alias(f"{c}_b") for c in ("cls", "n", "own", *bits)), "tab", "tok", every.alias("row"), mine.alias("col"))
+    left = one.select(*(F.col(c).alias(f"{c}_a") for c in ("cls", "n", "own", *bits)), "tok", mine.alias("row"), every.alias("col"))
+    right = one.select(*(F.col(c).alias(f"{c}_b") for c in ("cls", "n", "own", *bits)), "tok", every.alias("row"), mine.alias("col"))
     a, b = (lambda c: F.col(f"{c}_a")), (lambda c: F.col(f"{c}_b"))
     total = a("n") + b("n")
     differ = sum((F.bit_count(a(f"f{j}").bitwiseXOR(b(f"f{j}"))) for j in range(WORDS)), a("own") + b("own"))
@@ -111,10 +111,10 @@ def similar_sets(sets: DataFrame, percent: int) -> DataFrame:
         for j in range(WORDS):
             meets = meets.bitwiseOR(a(f"b{i}{j}").bitwiseAND(b(f"b{i}{j}")))
         ok = ok & (meets != 0)
-    candidates = left.join(right, keys).where(ok).select("tab", F.col("cls_a").alias("a"), F.col("cls_b").alias("b")).distinct()
-    side = lambda s: base.select("tab", F.col("cls").alias(s), F.col("n").alias(f"n_{s}"), F.col("toks").alias(f"toks_{s}"))
+    candidates = left.join(right, keys).where(ok).select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b")).distinct()
+    side = lambda s: base.select(F.col("cls").alias(s), F.col("n").alias(f"n_{s}"), F.col("toks").alias(f"toks_{s}"))
     both = F.size(F.array_intersect("toks_a", "toks_b"))
-    return candidates.join(side("a"), ["tab", "a"]).join(side("b"), ["tab", "b"]).where((100 + percent) * both >= percent * (F.col("n_a") + F.col("n_b"))).select("tab", "a", "b")
+    return candidates.join(side("a"), "a").join(side("b"), "b").where((100 + percent) * both >= percent * (F.col("n_a") + F.col("n_b"))).select("a", "b")
 
 
 def near_duplicates(records: DataFrame, percent: int = 80) -> DataFrame:
@@ -124,10 +124,13 @@ def near_duplicates(records: DataFrame, percent: int = 80) -> DataFrame:
     either. Classes of equal sets of more than copies.EXPAND records are given by their smallest member (see copies).
     """
     # no filter on toks here: pushed below, it would work the words out anew for every shingle
-    r = records.where("id is not null").select("tab", F.col("id").cast("bigint").alias("id"), F.array_sort("toks").alias("toks")).withColumn("cls", F.xxhash64("toks"))
+    r = records.where("id is not null").select("tab", F.col("id").cast("bigint").alias("id"), F.array_sort("toks").alias("toks")).withColumn("cls", F.xxhash64("tab", "toks"))
     r = checkpoint(r)
-    sets = r.groupBy("tab", "cls").agg(F.first("toks").alias("toks"))
-    return expand(similar_sets(sets, percent), r.select("tab", "cls", "id").distinct(), ["tab"])
+    # tokens of different tabs are different, so the tab itself need not travel with every token
+    sets = r.groupBy("cls").agg(F.first("tab").alias("tab"), F.first("toks").alias("toks")).select("cls", F.transform("toks", lambda t: F.xxhash64("tab", t)).alias("toks"))
+    members = r.select("tab", "cls", "id").distinct()
+    pairs = similar_sets(sets, percent).join(r.select("tab", F.col("cls").alias("a")).distinct(), "a")
+    return expand(pairs, members, ["tab"])
 
 
 def chunk_records(chunks: DataFrame, n: int = 3, least: int = 20) -> DataFrame:
