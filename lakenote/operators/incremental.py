@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Most characters of an image's text that join a passage.
@@ -94,3 +94,28 @@ def same_content(df: DataFrame, key: str, *cols: str) -> DataFrame:
     k = df.select(key, content_key(*(F.col(c) for c in cols)).alias("k")).distinct()
     g = k.groupBy("k").agg(F.min(key).alias("first"), F.count("*").alias("copies")).where("copies > 1")
     return k.join(g, "k").select(key, "first", "copies")
+
+
+def stamp(mtime: Column, size: Column, version: str) -> Column:
+    """What a cached extract depends on: the file's time and size and the reader's version; null if one is unknown."""
+    return F.concat(F.unix_micros(mtime).cast("string"), F.lit(":"), size.cast("string"), F.lit(f":{version}"))
+
+
+def cached_extracts(files: DataFrame, cache: DataFrame, version: str) -> tuple[DataFrame, DataFrame]:
+    """(usable, todo) of files (path, mtime, size) against extracts (path, stamp, …): those whose stamp is still right, and
+    the files to read again. Null times or sizes never match."""
+    f = files.withColumn("stamp", stamp(F.col("mtime"), F.col("size"), version)).where("path is not null")
+    return cache.join(f.select("path", "stamp"), ["path", "stamp"], "left_semi"), f.join(cache.select("path", "stamp"), ["path", "stamp"], "left_anti")
+
+
+def place_uploads(uploads: DataFrame, files: DataFrame) -> DataFrame:
+    """(name, path, fresh) of uploads (name, folder, stem, ext, content) against files (path, content): a file of the same
+    folder with the same bytes is used again, another gets the next free number `stem_N`."""
+    here = files.select("path", F.regexp_replace("path", r"/?[^/]*$", "").alias("folder"), F.sha1("content").alias("key"))
+    known = here.groupBy("folder", "key").agg(F.min("path").alias("old"))
+    m = r"([^/]+)_(\d{1,9})\.[^./]+$"
+    top = here.where(F.col("path").rlike(m)).groupBy("folder", F.lower(F.regexp_extract("path", m, 1)).alias("low")).agg(F.max(F.regexp_extract("path", m, 2).cast("int")).alias("top"))
+    u = uploads.withColumn("key", F.sha1("content")).withColumn("low", F.lower("stem")).join(known, ["folder", "key"], "left").join(top, ["folder", "low"], "left")
+    n = F.coalesce("top", F.lit(0)) + F.dense_rank().over(Window.partitionBy("folder", "low", F.col("old").isNull()).orderBy("key"))
+    prefix = F.when(F.col("folder") == "", "").otherwise(F.concat("folder", F.lit("/")))
+    return u.select("name", F.coalesce("old", F.concat(prefix, "stem", F.lit("_"), n.cast("string"), F.lower("ext"))).alias("path"), F.col("old").isNull().alias("fresh"))

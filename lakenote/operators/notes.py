@@ -193,3 +193,29 @@ def next_image_number(files: DataFrame) -> DataFrame:
     m = r"([^/]+)_(\d{1,9})\.[^./]+$"
     f = files.where(F.col("path").rlike(m)).select(folder(F.col("path")).alias("folder"), F.lower(F.regexp_extract("path", m, 1)).alias("stem"), F.regexp_extract("path", m, 2).cast("int").alias("n"))
     return f.groupBy("folder", "stem").agg((F.max("n") + 1).alias("next"))
+
+
+def outline(heads: DataFrame, deepest: int = 4) -> DataFrame:
+    """(id, n, level, heading, anchor) of headings (id, n, level, heading) of notes that have more than one down to a level.
+
+    The anchor is the heading's slug; the second of its kind in a note gets `-1`, the third `-2`.
+    """
+    from lakenote.functions.text import slugify
+
+    h = heads.where(F.col("level") <= deepest).withColumn("slug", slugify(F.col("heading")))
+    again = F.row_number().over(Window.partitionBy("id", "slug").orderBy("n")) - 1
+    h = h.withColumn("again", again).withColumn("of", F.count("*").over(Window.partitionBy("id"))).where("of > 1")
+    return h.select("id", "n", "level", "heading", F.concat("slug", F.when(F.col("again") > 0, F.concat(F.lit("-"), F.col("again").cast("string"))).otherwise("")).alias("anchor"))
+
+
+def safe_path(path):
+    """True for paths inside the root that touch nothing hidden; null and empty paths are not safe."""
+    return F.coalesce((F.length(F.trim(path)) > 0) & ~path.rlike(r"(^|/)\.") & ~path.rlike(r"\x00"), F.lit(False))
+
+
+def answer_note(passages: DataFrame, sources: DataFrame, question: str) -> DataFrame:
+    """(content) of a note with the passages (n, passage) of an answer and the list of its sources (n, path, title)."""
+    one = lambda df, c: df.groupBy().agg(F.array_join(F.array_sort(F.collect_list(F.struct("n", c.alias("t"))))["t"], "\n").alias("t"))  # noqa: E731 - a page of at most 100 rows
+    link = F.concat(F.lit("- ["), F.coalesce("title", "path"), F.lit("](#doc="), F.col("path"), F.lit(")"))
+    text, refs = one(passages, F.col("passage")).withColumn("k", F.lit(1)), one(sources, link).select(F.col("t").alias("refs"), F.lit(1).alias("k"))
+    return text.join(refs, "k").select(F.concat(F.lit(f"# {question}\n\n"), "t", F.lit("\n\n## Sources\n\n"), "refs", F.lit("\n")).alias("content"))

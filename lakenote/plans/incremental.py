@@ -64,6 +64,13 @@ def near_exact_duplicates(spark, d):
     return I.same_content(read(spark, d, "documents").where("length(text) > 0"), "doc_id", "text")
 
 
+def extract_cache(spark, d):
+    """Extracts of all first runs: the paths whose file is as it was then need not be read again."""
+    old = read(spark, d, "docs").where("doc_id % 3 > 0").select("path", I.stamp(F.col("mtime"), F.col("size"), "1").alias("stamp"))
+    use, todo = I.cached_extracts(docs(spark, d).select("path", "mtime", "size"), old.dropDuplicates(["path", "stamp"]), "1")
+    return use.select("path", F.lit("use").alias("what")).unionByName(todo.select("path", F.lit("read").alias("what")))
+
+
 def upsert_docs(spark, d):
     """The table of first runs, with the rows of the latest runs put in."""
     first = read(spark, d, "docs").groupBy("doc_id").agg(F.min("indexed_at").alias("indexed_at"))
@@ -78,7 +85,7 @@ IMAGES = """di as (select distinct doc_id, url_decode(regexp_extract(i.url, '^/a
 
 QUERIES = {
     "snapshot_diff": snapshot_diff, "build_stats": build_stats, "missing_vectors": missing_vectors, "vector_reuse": vector_reuse, "stale_docs": stale_docs,
-    "pending_images": pending_images, "image_text": image_text, "cascade_delete": cascade_delete, "near_exact_duplicates": near_exact_duplicates, "upsert_docs": upsert_docs,
+    "pending_images": pending_images, "image_text": image_text, "cascade_delete": cascade_delete, "near_exact_duplicates": near_exact_duplicates, "upsert_docs": upsert_docs, "extract_cache": extract_cache,
 }
 SQL = {
     "snapshot_diff": f"with {STATE} select path, status from df",
@@ -95,4 +102,6 @@ select chunk_id, trim(concat_ws(chr(10) || chr(10), text, more), ' ') as text fr
     "cascade_delete": f"with {DOCS}, {CHUNKS} select chunk_id, doc_id from c where doc_id not in (select doc_id from d where error is not null or kind = 'image')",
     "near_exact_duplicates": "with g as (select text, min(doc_id) as first, count(distinct doc_id) as copies from documents where length(text) > 0 group by 1 having count(distinct doc_id) > 1) select distinct doc_id, first, copies from documents join g using (text)",
     "upsert_docs": f"with {DOCS} select doc_id, case when doc_id % 2 = 0 then d.indexed_at else f.indexed_at end as indexed_at from (select doc_id, min(indexed_at) as indexed_at from docs group by 1) f join d using (doc_id)",
+    "extract_cache": f"""with {DOCS}, o as (select distinct path, mtime, size from docs where doc_id % 3 > 0 and mtime is not null and size is not null)
+select d.path, case when o.path is null then 'read' else 'use' end as what from d left join o on o.path = d.path and o.mtime = d.mtime and o.size = d.size""",
 }

@@ -30,6 +30,10 @@ def heading_crumbs(spark, d):
     return N.headings(lines(spark, d))
 
 
+def note_outline(spark, d):
+    return N.outline(heading_crumbs(spark, d))
+
+
 def chunk_pack(spark, d):
     return N.chunk_notes(texts(spark, d)).select("id", "ord", "heading", "anchor", "text", F.size("images").alias("n_images"))
 
@@ -117,12 +121,11 @@ def next_image_number(spark, d):
 _LINES = "ln as (select doc_id as id, unnest(l) as line, unnest(range(len(l)))::int as n from (select doc_id, regexp_split_to_array(text, '\\r\\n|\\r|\\n') as l from documents where text is not null))"
 _WS = "'[\\s\\x{0085}\\x{00a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}\\x{000b}\\x{001c}-\\x{001f}]+'"
 QUERIES = {
-    "sections_from_markdown": sections_from_markdown, "heading_crumbs": heading_crumbs, "chunk_pack": chunk_pack, "slugify": slugify, "plain_text": plain_text,
+    "sections_from_markdown": sections_from_markdown, "heading_crumbs": heading_crumbs, "note_outline": note_outline, "chunk_pack": chunk_pack, "slugify": slugify, "plain_text": plain_text,
     "image_refs": image_refs, "note_tags": note_tags, "inline_tags": inline_tags, "word_counts": word_counts, "note_links": note_links, "broken_links": broken_links,
     "broken_totals": broken_totals, "rewrite_links": rewrite_links, "relink_moved": relink_moved, "rename_wiki": rename_wiki, "task_list": task_list,
     "template_fill": template_fill, "name_lookup": name_lookup, "next_image_number": next_image_number,
 }
-_H = " ".join
 _CRUMB = ", ".join(f"case when level >= {k} and h{k}.n > greatest(-1{''.join(f', coalesce(h{j}.n, -1)' for j in range(1, k))}) then h{k}.heading end" for k in range(1, 7))
 SQL = {
     "heading_crumbs": f"""with {_LINES}, f as (select *, sum(case when ltrim(line)[1:3] in ('```', '~~~') then 1 else 0 end) over (partition by id order by n) as fences from ln),
@@ -140,3 +143,5 @@ select 'path:' || path as key, path as found from d union all select 'name:' ||
 select regexp_replace(regexp_replace(path, '[^/]*$', ''), '/$', '') as folder, lower(regexp_extract(path, '([^/]+)_(\\d{{1,9}})\\.[^./]+$', 1)) as stem, (max(regexp_extract(path, '([^/]+)_(\\d{{1,9}})\\.[^./]+$', 2)::int) + 1)::int as next from p group by 1, 2""",
     "template_fill": """select doc_id, '# Doc ' || doc_id || chr(10) || strftime(t, '%Y-%m-%d %H:%M ') || strftime(t, '%d.%m.%y') || ' at ' || hour(t) || chr(10) || coalesce(substring(text, 1, 40), '') as filled from (select *, make_timestamp((1700000000 + doc_id * 3601) * 1000000) as t from documents)""",
 }
+SQL["note_outline"] = f"""with x as ({SQL["heading_crumbs"]}), y as (select *, regexp_replace(trim(regexp_replace(lower(heading), '[^\\p{{L}}\\p{{N}}\\p{{M}}_\\s-]', '', 'g')), '\\s+', '-', 'g') as slug from x where level <= 4)
+select id, n, level, heading, slug || case when k > 1 then '-' || (k - 1) else '' end as anchor from (select *, row_number() over (partition by id, slug order by n) as k, count(*) over (partition by id) as c from y) where c > 1"""

@@ -105,3 +105,12 @@ def test_scalar_functions(spark):
     ).collect()[0]
     assert (f.slug, f.plain, f.url, f.safe, f.line, f.cite, f.none) == ("grüße-café-co", "[image: a]   t", "a%20b/%C3%A9~%2A.md", "My-pic-1.png", 3, [3, 2, 4], 0)
     assert [tuple(i) for i in f.img] == [("/api/i", "a")] and f["null"] is None and f.marks == "a c" and f.fill == "a$1 1970 of 01 00:00" and f.dot.startswith("png")
+
+
+def test_outline_paths_and_answer_notes(spark):
+    h = spark.createDataFrame([(1, 0, 1, "A b"), (1, 2, 2, "A b"), (1, 3, 5, "deep"), (2, 0, 1, "alone")], "id bigint, n int, level int, heading string")
+    assert [(r.n, r.anchor) for r in N.outline(h).orderBy("n").collect()] == [(0, "a-b"), (2, "a-b-1")]
+    p = spark.createDataFrame([("a/b.md",), ("../x",), (".h/x",), ("",), (None,)], "p string").select("p", N.safe_path(F.col("p")).alias("ok"))
+    assert [r.ok for r in p.collect()] == [True, False, False, False, False]
+    a = N.answer_note(spark.createDataFrame([(2, "two"), (1, "one")], "n int, passage string"), spark.createDataFrame([(1, "a.md", "A"), (2, "b.md", None)], "n int, path string, title string"), "Why?")
+    assert a.collect()[0].content == "# Why?\n\none\ntwo\n\n## Sources\n\n- [A](#doc=a.md)\n- [b.md](#doc=b.md)\n"

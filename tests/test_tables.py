@@ -111,3 +111,14 @@ def test_rollups_and_switcher(spark):
     assert [r.key for r in stats.most_recent(ev, "key", "ts", 2).collect()] == ["k", "l"]
     b = spark.createDataFrame([(1, i) for i in (0, 1, 2, 9, 10)], "u int, s int").select("u", F.timestamp_seconds("s").alias("ts"))
     assert sorted(r.events for r in stats.bursts(b, "ts", 1.5, ["u"]).collect()) == [2, 3]
+
+
+def test_uploads_and_extract_cache(spark):
+    files = spark.createDataFrame([("n/images/a_2.png", bytearray(b"x")), ("n/images/A_7.png", bytearray(b"y"))], "path string, content binary")
+    up = spark.createDataFrame([("1", "n/images", "a", ".PNG", bytearray(b"y")), ("2", "n/images", "a", ".PNG", bytearray(b"z")), ("3", "", "b", ".gif", bytearray(b"x"))], "name string, folder string, stem string, ext string, content binary")
+    got = {r.name: (r.path, r.fresh) for r in incremental.place_uploads(up, files).collect()}
+    assert got == {"1": ("n/images/A_7.png", False), "2": ("n/images/a_8.png", True), "3": ("b_1.gif", True)}
+    f = spark.createDataFrame([("a", T(1), 1), ("b", T(1), 1), ("c", None, 1)], "path string, mtime timestamp, size bigint")
+    c = f.select("path", incremental.stamp(F.col("mtime"), F.when(F.col("path") == "b", 2).otherwise(F.col("size")), "1").alias("stamp"))
+    use, todo = incremental.cached_extracts(f, c.where("path <> 'c'"), "1")
+    assert [r.path for r in use.collect()] == ["a"] and sorted(r.path for r in todo.collect()) == ["b", "c"]
