@@ -15,7 +15,7 @@ def exact(x, ids, k, least):
     return out
 
 
-def test_recall_against_brute_force(spark, monkeypatch):
+def test_share_found_against_brute_force(spark, monkeypatch):
     monkeypatch.setattr(ann, "PER_LIST", 60)
     monkeypatch.setattr(ann, "BLOCK", 40)
     monkeypatch.setattr(ann, "ASKED", 150)
