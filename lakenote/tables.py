@@ -28,10 +28,6 @@ def checkpoint(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager)
 
 
-def shuffle_width(spark: SparkSession, at_least: int = 1) -> int:
-    return max(at_least, int(spark.conf.get("spark.sql.shuffle.partitions")))
-
-
 def words(text: Column) -> Column:
     """Longest runs of Unicode letters or digits, in lower case; null gives null."""
     return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
