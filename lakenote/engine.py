@@ -102,6 +102,6 @@ class Engine:
 
     def graph(self, similar: bool = True, k: int = 3) -> tuple[DataFrame, DataFrame]:
         """(nodes, edges) of the notes."""
-        near = G.neighbours_in_buckets(G.doc_vectors(self.chunks, self.vectors, self.docs), k, self._least())
+        near = G.neighbours(G.doc_vectors(self.chunks, self.vectors, self.docs), k, self._least())
         nodes = self.docs.where("kind = 'note'").select(F.col("path").alias("id"), "title", "ext", "folder")
         return nodes, G.graph_edges(self.links, self.docs, near if similar else near.limit(0))

@@ -11,8 +11,8 @@ from pyspark.sql import types as T
 from lakenote.operators.corpus import dot
 from lakenote.tables import checkpoint
 
-#: Blocks on either side when every pair is compared.
-BLOCKS = 8
+#: Vectors of a block when every pair is compared, and rows of a block that are compared with another block at once.
+BLOCK, STRIP = 4096, 512
 
 
 def link_pairs(links: DataFrame, docs: DataFrame) -> DataFrame:
@@ -86,20 +86,64 @@ def _sides(planes: int, tables: int):
     return sides
 
 
+def _compared(k: int, least: float):
+    def top(a: np.ndarray, x: np.ndarray, b: np.ndarray, y: np.ndarray, own: bool) -> list[pd.DataFrame]:
+        """The k most similar of b for each of a; b is in the order of its ids, so of equal ones the smallest comes first."""
+        out = []
+        for s in range(0, len(a), STRIP):
+            sim = np.nan_to_num(np.round(x[s : s + STRIP] @ y.T, 9), nan=-9)
+            rows = np.arange(len(sim))
+            if own:
+                sim[rows, s + rows] = -9
+            for _ in range(min(k, len(b))):
+                j = sim.argmax(1)
+                v = sim[rows, j]
+                ok = v >= max(least, -1.5)
+                out.append(pd.DataFrame({"doc_id": a[s : s + STRIP][ok], "other": b[j[ok]], "sim": v[ok]}))
+                sim[rows, j] = -9
+        return out
+
+    def run(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
+        sides = []
+        for block in dict.fromkeys(key):
+            part = f[f["block"] == block].sort_values("doc_id")
+            sides.append((part["doc_id"].to_numpy(), np.stack(part["vec"].to_numpy()) if len(part) else np.zeros((0, 1))))
+        if not all(len(a) for a, _ in sides):
+            return pd.DataFrame({"doc_id": np.zeros(0, np.int64), "other": np.zeros(0, np.int64), "sim": np.zeros(0)})
+        out = top(*sides[0], *sides[0], True) if len(sides) == 1 else top(*sides[0], *sides[1], False) + top(*sides[1], *sides[0], False)
+        # each pair of blocks gives at most k rows for each vector to the shuffle
+        return pd.concat(out)
+
+    return run
+
+
+def neighbours(vecs: DataFrame, k: int = 3, least: float = 0.45) -> DataFrame:
+    """(doc_id, other, sim): each vector's k most similar others of at least `least`, exactly; equal ones by id.
+
+    Every pair is compared, at nine decimals: the vectors are cut into blocks of about BLOCK rows, one matrix product is
+    taken for each pair of blocks, and only its k best for each vector are shuffled. The time grows with the square of the
+    number of vectors; each vector is sent once for every block."""
+    vecs = checkpoint(vecs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "vec").where("doc_id is not null"))  # counted, then read
+    blocks = max(1, -(-vecs.count() // BLOCK))
+    mine, other = F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    sent = vecs.withColumn("block", mine).withColumn("other", other).select("doc_id", "vec", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
+    found = sent.groupBy("lo", "hi").applyInPandas(_compared(k, least), "doc_id bigint, other bigint, sim double")
+    best = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("sim"), "other"))
+    return found.withColumn("k", best).where(F.col("k") <= k).drop("k")
+
+
 def neighbours_in_buckets(vecs: DataFrame, k: int = 3, least: float = 0.45, planes: int = 4, tables: int = 12) -> DataFrame:
     """(doc_id, other, sim): each vector's k most similar of those that fall on the same side of `planes` random planes in
     one of `tables` drawings; equal ones by id. Near vectors meet in some table with high probability; none are compared
     twice: at a cosine of 0.6 the defaults meet with a probability of 0.97. More planes make smaller buckets for larger
-    collections and need more tables. With planes = 0 every pair is compared in blocks, which is exact and meant for small collections."""
+    collections and need more tables. With planes = 0 every pair is compared (see neighbours)."""
+    if planes == 0:
+        return neighbours(vecs, k, least)
     vecs = checkpoint(vecs)  # read on both sides of the join
     left = vecs.select(F.col("doc_id").alias("a"), F.col("vec").alias("va"))
     right = vecs.select(F.col("doc_id").alias("b"), F.col("vec").alias("vb"))
-    if planes == 0:
-        every, mine = F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))), lambda c: F.pmod(F.hash(c), F.lit(BLOCKS))
-        pairs = left.withColumns({"r": mine("a"), "c": every}).join(right.withColumns({"c": mine("b"), "r": every}), ["r", "c"])
-    else:
-        sides = _sides(planes, tables)
-        pairs = left.withColumn("key", F.explode(sides("va"))).join(right.withColumn("key", F.explode(sides("vb"))), "key")
+    sides = _sides(planes, tables)
+    pairs = left.withColumn("key", F.explode(sides("va"))).join(right.withColumn("key", F.explode(sides("vb"))), "key")
     # the similarity is worked out before pairs met in several tables are made one, so that no vectors are shuffled again
     once = pairs.where("a < b").select("a", "b", dot(F.col("va"), F.col("vb")).alias("sim")).where(F.col("sim") >= least).dropDuplicates(["a", "b"])
     ends = F.explode(F.array(F.struct(F.col("a").alias("doc_id"), F.col("b").alias("other")), F.struct(F.col("b").alias("doc_id"), F.col("a").alias("other"))))

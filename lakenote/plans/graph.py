@@ -57,20 +57,21 @@ def similar_docs(spark, d):
     return G.similar_to(v, first if first is not None else -1, 6, 0.0).select("doc_id", F.round("sim", 6).alias("sim"))
 
 
-NEAR = 0.6
+#: Least cosine of similar notes: 0.15 above the least of the stand-in vectors (Engine._least).
+NEAR = 0.45
 
 
 def similar_graph_top3(spark, d):
-    """Each note's three most similar notes; candidates share a side of random planes in one of eight drawings."""
-    return G.neighbours_in_buckets(vectors(spark, d), 3, NEAR).select("doc_id", "other", F.round("sim", 6).alias("sim"))
+    """Each note's three most similar notes, every pair compared."""
+    return G.neighbours(vectors(spark, d), 3, NEAR).select("doc_id", "other", F.round("sim", 6).alias("sim"))
 
 
 def graph_edges(spark, d):
-    return G.graph_edges(links(spark, d), docs(spark, d), G.neighbours_in_buckets(vectors(spark, d), 3, NEAR)).groupBy("source", "target", "type").agg(F.max("weight").alias("weight"))
+    return G.graph_edges(links(spark, d), docs(spark, d), G.neighbours(vectors(spark, d), 3, NEAR)).groupBy("source", "target", "type").agg(F.max("weight").alias("weight"))
 
 
 def link_edges(spark, d):
-    none = G.neighbours_in_buckets(vectors(spark, d).where("doc_id is null"), 3, NEAR)
+    none = G.neighbours(vectors(spark, d).where("doc_id is null"), 3, NEAR)
     return G.graph_edges(links(spark, d), docs(spark, d), none).select("source", "target", "type")
 
 
@@ -88,6 +89,8 @@ EDGES = f"{PAIRS}, e as (select distinct src_path as source, dst_path as target
 MEANS = f"""{DOCS}, {CHUNKS}, {UNITS}, x as (select doc_id, unnest(v) as x, unnest(range(64)) as i from u join c using (chunk_id) join d using (doc_id) where d.kind = 'note'),
 mean as (select doc_id, i, avg(x) as x from x group by 1, 2), nrm as (select doc_id, sqrt(sum(x * x)) as n from mean group by 1),
 dv as (select doc_id, list(x / n order by i) as v from mean join nrm using (doc_id) group by 1)"""
+NEAREST = f"""{MEANS}, ab as (select a.doc_id, b.doc_id as other, round(list_dot_product(a.v, b.v), 9) as sim from dv a join dv b on a.doc_id <> b.doc_id where round(list_dot_product(a.v, b.v), 9) >= {NEAR}),
+near as (select * from ab qualify row_number() over (partition by doc_id order by sim desc, other) <= 3)"""
 
 QUERIES = {
     "link_rows": link_rows, "outgoing_links": outgoing_links, "backlinks": backlinks, "unlinked_notes": unlinked_notes, "node_degree": node_degree, "two_hop": two_hop,
@@ -105,6 +108,11 @@ one as (select distinct b.b as path, 1 as hop from z join b on b.a = z.path), tw
 select path, min(hop)::int as hop from (select * from z union all select * from one union all select * from two) group by 1""",
     "doc_vectors": f"with {MEANS} select doc_id, i::int as i, round(x / n, 6) as x from mean join nrm using (doc_id)",
     "similar_docs": f"with {MEANS}, q as (select * from dv order by doc_id limit 1) select dv.doc_id, round(list_dot_product(dv.v, q.v), 6) as sim from dv, q where dv.doc_id <> q.doc_id and list_dot_product(dv.v, q.v) >= 0 order by list_dot_product(dv.v, q.v) desc, dv.doc_id limit 6",
+    "similar_graph_top3": f"with {NEAREST} select doc_id, other, round(sim, 6) as sim from near",
+    "graph_edges": f"""with {NEAREST}, {PAIRS.removeprefix(DOCS + ", ")}, le as (select distinct src_path as source, dst_path as target from lp where dst_kind = 'note'),
+sp as (select least(x.path, y.path) as source, greatest(x.path, y.path) as target, max(sim) as sim from near join d x on x.doc_id = near.doc_id join d y on y.doc_id = near.other group by 1, 2)
+select source, target, 'link' as type, null::double as weight from le union all
+select source, target, 'similar' as type, round(sim, 3) as weight from sp where not exists (select 1 from le where least(le.source, le.target) = sp.source and greatest(le.source, le.target) = sp.target)""",
     "link_edges": f"with {PAIRS} select distinct src_path as source, dst_path as target, 'link' as type from lp where dst_kind = 'note'",
     "graph_nodes": f"with {DOCS} select path, title, ext, folder from d where kind = 'note'",
     "graph_counts": f"with {PAIRS} select 'link' as type, count(*) as edges from (select distinct src_path, dst_path from lp where dst_kind = 'note') having count(*) > 0",
