@@ -1,9 +1,8 @@
-"""The most similar vectors of every vector (problem 1).
+"""The most similar vectors of every vector (problem 1), exactly.
 
-An inverted file over coarse centroids with product-quantised residuals. The centroids and codebooks are fitted on a
-bounded sample; every vector is coded and filed under its nearest centroid, and asked for under its PROBES nearest. Lists
-are split into blocks of bounded size, and each block is scanned by asymmetric distance tables; the best KEPT of a block
-by these estimates are ranked exactly by their stored vectors.
+An inverted file over coarse centroids, fitted on a bounded sample. Every vector is filed under its nearest centroid; a list
+is passed over for a vector only when the triangle inequality of angles says that none of its members can have the wanted
+cosine. Lists are split into blocks of bounded size, and each block is compared by matrix products; every member counts.
 """
 
 from __future__ import annotations
@@ -14,19 +13,16 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from lakenote.tables import checkpoint
 
 DIM = 64
 #: Vectors a list has on average, and the most lists.
-PER_LIST, MAX_LISTS = 400, 4096
-#: Lists in which each vector is looked for, and candidates of a block that are ranked exactly.
-PROBES, KEPT = 12, 48
-#: Parts of a vector that are quantised, values of each, rounds of k-means, and vectors of the sample it is fitted on.
-PARTS, VALUES, ROUNDS, SAMPLE = 8, 256, 8, 65536
-#: Most stored vectors of a block, and vectors asked for in a block.
-BLOCK, ASKED = 2048, 16384
+PER_LIST, MAX_LISTS = 16384, 4096
+#: Rounds of k-means, and vectors of the sample it is fitted on.
+ROUNDS, SAMPLE = 8, 65536
+#: Most stored vectors of a block, vectors asked for in a block, and those of them that are compared at once.
+BLOCK, ASKED, STRIP = 8192, 16384, 256
 
 
 def kmeans(x: np.ndarray, k: int, unit: bool, seed: int = 1) -> np.ndarray:
@@ -57,70 +53,69 @@ def nearest(x: np.ndarray, c: np.ndarray, k: int) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros((0, k), np.int64)
 
 
-def fit(sample: np.ndarray, lists: int) -> tuple[np.ndarray, np.ndarray]:
-    """(centroids, codebooks): coarse centroids, and for each part the values of its residuals."""
-    c = kmeans(sample, max(1, min(lists, len(sample))), True)
-    rest = sample - c[nearest(sample, c, 1)[:, 0]]
-    sub = sample.shape[1] // PARTS
-    books = np.stack([kmeans(np.ascontiguousarray(rest[:20000, p * sub : (p + 1) * sub]), min(VALUES, len(rest)), False) for p in range(PARTS)])
-    return c, books
+def _unit(raw: np.ndarray) -> np.ndarray:
+    x = raw.astype(np.float64)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def encode(x: np.ndarray, near: np.ndarray, c: np.ndarray, books: np.ndarray) -> np.ndarray:
-    rest, sub = x - c[near], x.shape[1] // PARTS
-    return np.stack([nearest(np.ascontiguousarray(rest[:, p * sub : (p + 1) * sub]), books[p], 1)[:, 0] for p in range(PARTS)], axis=1).astype(np.uint8)
+def _filed(model):
+    """Rows (id, vec) with their list, and the angle to its centroid."""
 
-
-def _coded(model, probes: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        c, books = model.value
+        c = model.value.astype(np.float64)
         for f in frames:
             if not len(f):
                 continue
             raw = np.stack(f["vec"].to_numpy()).astype(np.float32)
-            x = raw / np.linalg.norm(raw, axis=1, keepdims=True)
-            lists = nearest(x, c, min(probes, len(c)))
-            codes = encode(x, lists[:, 0], c, books)
-            yield pd.DataFrame({"id": f["id"], "lists": list(lists.astype(np.int32)), "code": [r.tobytes() for r in codes], "vec": [r.tobytes() for r in raw]})
+            x = _unit(raw)
+            near = nearest(x, c, 1)[:, 0]
+            angle = np.arccos(np.clip(np.einsum("nd,nd->n", x, c[near]) / np.linalg.norm(c[near], axis=1), -1, 1))
+            yield pd.DataFrame({"id": f["id"], "list": near.astype(np.int32), "angle": angle, "vec": [r.tobytes() for r in raw]})
 
     return run
 
 
-def scan(q: np.ndarray, x: np.ndarray, codes: np.ndarray, books: np.ndarray, keep: int) -> np.ndarray:
-    """For each query the `keep` stored vectors of the largest estimate: the sum over the parts of the entries of the
-    query's distance table at the stored codes (the product with the list's centroid is the same for all of a list)."""
-    sub = q.shape[1] // PARTS
-    guess = np.tile(np.arange(len(x), dtype=np.float32) * np.float32(-1e-7), (len(q), 1))  # of equal vectors the first
-    for p in range(PARTS):
-        table = q[:, p * sub : (p + 1) * sub] @ books[p].T
-        guess += np.take(table, codes[:, p], axis=1)
-    if keep >= len(x):
-        return np.broadcast_to(np.arange(len(x)), guess.shape)
-    return np.argpartition(-guess, keep - 1, axis=1)[:, :keep]
+def _reached(model, wide: np.ndarray, least: float):
+    """Rows (id, vec) with the lists that can have a member of a cosine of at least `least`: the angle between two vectors
+    is at least that to the centroid less the list's widest, `wide` (below zero for empty lists)."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        c = model.value.astype(np.float64)
+        c /= np.linalg.norm(c, axis=1, keepdims=True)
+        most = np.arccos(np.clip(least, -1, 1)) + 1e-6
+        for f in frames:
+            if not len(f):
+                continue
+            x = _unit(np.frombuffer(b"".join(f["vec"]), np.float32).reshape(len(f), -1))
+            ok = (np.arccos(np.clip(x @ c.T, -1, 1)) <= wide + most) & (wide >= 0)
+            yield pd.DataFrame({"id": f["id"], "lists": [np.flatnonzero(r).astype(np.int32) for r in ok], "vec": f["vec"]})
+
+    return run
 
 
-def _searched(model, k: int, least: float, dim: int):
+def _searched(k: int, least: float, dim: int):
     def run(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
-        stored = f["code"].notna().to_numpy()
+        stored = f["stored"].to_numpy()
         ids = f["id"].to_numpy()
-        vec = np.frombuffer(b"".join(f["vec"]), np.float32).reshape(-1, dim).astype(np.float64)
-        vec /= np.linalg.norm(vec, axis=1, keepdims=True)
+        vec = _unit(np.frombuffer(b"".join(f["vec"]), np.float32).reshape(-1, dim))
         by_id = np.flatnonzero(stored)[np.argsort(ids[stored], kind="stable")]
         own, x, asked, q = ids[by_id], vec[by_id], ids[~stored], vec[~stored]
         out = []
         if len(own) and len(asked):
-            codes = np.frombuffer(b"".join(f["code"].iloc[by_id]), np.uint8).reshape(-1, PARTS)
-            books = model.value[1]
-            for s in range(0, len(q), 256):
-                part = q[s : s + 256]
-                idx = scan(part.astype(np.float32), x, codes, books, min(len(x), KEPT + 1))
-                cos = np.round(np.einsum("qd,qkd->qk", part, x[idx]), 9)
-                other = own[idx]
-                cos[(other == asked[s : s + 256, None]) | (cos < least)] = -9
-                by = np.lexsort((other, -cos), axis=1)[:, :k]
-                cos, other = np.take_along_axis(cos, by, 1), np.take_along_axis(other, by, 1)
-                r, j = np.nonzero(cos > -9)
-                out.append((asked[s : s + 256][r], other[r, j], cos[r, j]))
+            place = np.minimum(np.searchsorted(own, asked), len(own) - 1)
+            itself = own[place] == asked
+            for s in range(0, len(q), STRIP):
+                cos = q[s : s + STRIP] @ x.T
+                here = np.flatnonzero(itself[s : s + STRIP])
+                cos[here, place[s : s + STRIP][here]] = -9
+                hit = np.flatnonzero(cos.max(1) >= least - 1e-8)
+                cos, rows, name = np.round(cos[hit], 9), np.arange(len(hit)), asked[s : s + STRIP][hit]
+                for _ in range(min(k, len(own))):
+                    j = cos.argmax(1)  # of equal ones the smallest id
+                    v = cos[rows, j]
+                    ok = v >= max(least, -1.5)
+                    out.append((name[ok], own[j[ok]], v[ok]))
+                    cos[rows, j] = -9
         a, b, c = (np.concatenate(z) for z in zip(*out)) if out else (np.zeros(0, np.int64),) * 2 + (np.zeros(0),)
         return pd.DataFrame({"id": a, "other": b, "cos": c})
 
@@ -128,8 +123,8 @@ def _searched(model, k: int, least: float, dim: int):
 
 
 def usable(vectors: DataFrame, dim: int = DIM) -> DataFrame:
-    """(id, vec): vectors of that many numbers, none null and not all zero; one for each id."""
-    v = vectors.where("chunk_id is not null").where((F.size("vec") == dim) & ~F.exists("vec", lambda v: v.isNull() | F.isnan(v)) & F.exists("vec", lambda v: v != 0))
+    """(id, vec): vectors of that many numbers, none null or infinite and not all zero; one for each id."""
+    v = vectors.where("chunk_id is not null").where((F.size("vec") == dim) & ~F.exists("vec", lambda v: v.isNull() | F.isnan(v) | (F.abs(v.cast("float")) == float("inf"))) & F.exists("vec", lambda v: v != 0))
     return v.select(F.col("chunk_id").cast("bigint").alias("id"), F.col("vec").cast("array<float>").alias("vec")).dropDuplicates(["id"])
 
 
@@ -146,12 +141,14 @@ def _copies(u: DataFrame, k: int) -> tuple[DataFrame, DataFrame] | None:
     return same.join(first.select("id"), "id", "left_anti"), first
 
 
-def neighbours(vectors: DataFrame, k: int = 5, least: float = -1.0, dim: int = DIM, probes: int = PROBES, ask: Column | None = None) -> DataFrame:
+def neighbours(vectors: DataFrame, k: int = 5, least: float = -1.0, dim: int = DIM, ask: Column | None = None) -> DataFrame:
     """(id, other, cos, rank): for every vector, or those that `ask` holds for, its k most similar others of a cosine of at least `least`, equal ones by id.
 
     Null, empty, all-zero vectors and those of another length take no part; repeated rows count once; of several vectors
     of one id one is taken. Of more than k + 1 equal vectors only the k + 1 smallest ids are indexed; the others' most similar
     are the first k of these. The sample is at most SAMPLE vectors, chosen by a hash of their ids; all vectors are indexed.
+    The result is exact at nine decimals, and no lists are passed over but by their bounds: where these rule out nothing,
+    every vector asked for is compared with every other.
     """
     spark = vectors.sparkSession
     u = checkpoint(usable(vectors, dim))
@@ -167,20 +164,22 @@ def neighbours(vectors: DataFrame, k: int = 5, least: float = -1.0, dim: int = D
     sample = u.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(share * (1 << 20))).orderBy(F.xxhash64("id")).limit(SAMPLE).select("vec").toPandas()["vec"]
     x = np.stack(sample.to_numpy()).astype(np.float32) if len(sample) else np.ones((1, dim), np.float32)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    model = spark.sparkContext.broadcast(fit(x, lists))
-    fields = [("id", T.LongType()), ("lists", T.ArrayType(T.IntegerType())), ("code", T.BinaryType()), ("vec", T.BinaryType())]
-    coded = checkpoint(u.mapInPandas(_coded(model, probes), T.StructType([T.StructField(c, t) for c, t in fields])))
-
-    own, asked = F.col("lists")[0].alias("list"), F.explode("lists").alias("list")
-    sizes = coded.select(own).groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    wanted = coded if ask is None else coded.where(ask)
-    queues = wanted.select(asked).groupBy("list").agg(F.ceil(F.count("*") / ASKED).cast("int").alias("queues"))
-    shape = F.broadcast(sizes.join(queues, "list", "left").withColumn("queues", F.coalesce("queues", F.lit(0))))  # a row for each list, at most MAX_LISTS
+    model = spark.sparkContext.broadcast(kmeans(x, max(1, min(lists, len(x))), True))
+    filed = checkpoint(u.mapInPandas(_filed(model), "id bigint, list int, angle double, vec binary"))
+    widest = filed.groupBy("list").agg(F.max("angle").alias("angle"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    wide = np.full(len(model.value), -1.0)
+    for r in widest.collect():  # a row for each list, at most MAX_LISTS
+        wide[r.list] = r.angle
+
+    wanted = filed if ask is None else filed.where(ask)
+    reached = checkpoint(wanted.select("id", "vec").mapInPandas(_reached(model, wide, least), "id bigint, lists array<int>, vec binary"))
+    queues = reached.select(F.explode("lists").alias("list")).groupBy("list").agg(F.ceil(F.count("*") / ASKED).cast("int").alias("queues"))
+    shape = F.broadcast(widest.select("list", "blocks").join(queues, "list"))
     mix = F.xxhash64("id", F.lit(7))
-    stored = coded.select("id", own, "code", "vec").join(shape, "list").select("id", "list", "code", "vec", F.pmod(mix, F.col("blocks")).cast("int").alias("block"), F.explode(F.expr("filter(sequence(0, queues), q -> q < queues)")).alias("queue"))
-    queries = wanted.select("id", asked, F.lit(None).cast("binary").alias("code"), "vec").join(shape, "list").select("id", "list", "code", "vec", F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"), F.pmod(mix, F.col("queues")).cast("int").alias("queue"))
-    out = T.StructType([T.StructField("id", T.LongType()), T.StructField("other", T.LongType()), T.StructField("cos", T.DoubleType())])
-    found = stored.unionByName(queries).groupBy("list", "block", "queue").applyInPandas(_searched(model, k, least, dim), out)
+    cols = ["id", "list", "vec", "block", "queue", "stored"]
+    stored = filed.join(shape, "list").withColumns({"block": F.pmod(mix, F.col("blocks")).cast("int"), "queue": F.explode(F.expr("sequence(0, queues - 1)")), "stored": F.lit(True)}).select(*cols)
+    queries = reached.select("id", F.explode("lists").alias("list"), "vec").join(shape, "list").withColumns({"block": F.explode(F.expr("sequence(0, blocks - 1)")), "queue": F.pmod(mix, F.col("queues")).cast("int"), "stored": F.lit(False)}).select(*cols)
+    found = stored.unionByName(queries).groupBy("list", "block", "queue").applyInPandas(_searched(k, least, dim), "id bigint, other bigint, cos double")
     best = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("cos"), "other"))
     ranked = found.withColumn("rank", best).where(F.col("rank") <= k)
     return ranked if direct is None else ranked.unionByName(direct)

@@ -49,3 +49,15 @@ def test_groups_of_copies_are_linked_to_their_first(spark):
     got = {tuple(p) for p in ann.similar_pairs(df).collect()}
     copies = {(j, i) for i in range(40) for j in [n for n in range(6) if n != i][:5] if j < i} | {(a, b) for a in range(5) for b in range(a + 1, 6)}
     assert got == copies | {(j, 100) for j in range(5)}
+
+
+def test_a_third_of_all_in_one_noisy_group_loses_nothing(spark, monkeypatch):
+    monkeypatch.setattr(ann, "PER_LIST", 30)
+    monkeypatch.setattr(ann, "BLOCK", 400)
+    for noise in (0.3, 0.02):
+        r = np.random.default_rng(4)
+        one = r.normal(size=64)
+        x = np.concatenate([one + noise * r.normal(size=(500, 64)), r.normal(size=(1000, 64))]).astype(np.float32)
+        ids = [int(i) for i in r.permutation(len(x))]
+        df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in zip(ids, x)], "chunk_id bigint, vec array<float>")
+        assert {tuple(p) for p in ann.similar_pairs(df).collect()} == exact(x.astype(np.float64), ids, 5, 0.85), noise
