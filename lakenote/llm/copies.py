@@ -1,6 +1,6 @@
 """Groups of equal items inside pair results.
 
-Equal items form one class and only its representative takes part in a join. Small classes are expanded to their
+Equal items (for p2, records of one raw text) form one class and only its representative takes part in a join. Small classes are expanded to their
 members afterwards; a class of more than EXPAND members is given as pairs of its smallest member with each other member,
 and takes part in links to other classes through that smallest member, so that no link between different texts is lost
 and no group of copies is multiplied out.

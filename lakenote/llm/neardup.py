@@ -117,25 +117,45 @@ def similar_sets(sets: DataFrame, percent: int) -> DataFrame:
     return candidates.join(side("a"), "a").join(side("b"), "b").where((100 + percent) * both >= percent * (F.col("n_a") + F.col("n_b"))).select("a", "b")
 
 
-def near_duplicates(records: DataFrame, percent: int = 80) -> DataFrame:
-    """(tab, id_a, id_b), id_a < id_b, of the records (tab, id, toks) that are near-duplicates within their tab.
-
-    Records with a null id take no part, and the builders leave out null and short texts; repeated rows count once; a record with two sets pairs by
-    either. Classes of equal sets of more than copies.EXPAND records are given by their smallest member (see copies).
-    """
+def _classes(records: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(members, pairs): members (tab, cls, id, raw), cls standing for one set of one tab; pairs (tab, a, b) of similar classes."""
     # no filter on toks here: pushed below, it would work the words out anew for every shingle
-    r = records.where("id is not null").select("tab", F.col("id").cast("bigint").alias("id"), F.array_sort("toks").alias("toks")).withColumn("cls", F.xxhash64("tab", "toks"))
+    raw = F.col("raw") if "raw" in records.columns else F.lit(0).cast("bigint")
+    r = records.where("id is not null").select("tab", F.col("id").cast("bigint").alias("id"), F.array_sort("toks").alias("toks"), raw.alias("raw")).withColumn("cls", F.xxhash64("tab", "toks"))
     r = checkpoint(r)
     # tokens of different tabs are different, so the tab itself need not travel with every token
     sets = r.groupBy("cls").agg(F.first("tab").alias("tab"), F.first("toks").alias("toks")).select("cls", F.transform("toks", lambda t: F.xxhash64("tab", t)).alias("toks"))
-    members = r.select("tab", "cls", "id").distinct()
-    pairs = similar_sets(sets, percent).join(r.select("tab", F.col("cls").alias("a")).distinct(), "a")
-    return expand(pairs, members, ["tab"])
+    pairs = similar_sets(sets, percent).join(r.select("tab", F.col("cls").alias("a")).distinct(), "a").select("tab", "a", "b")
+    return r.select("tab", "cls", "id", "raw").distinct(), pairs
+
+
+def near_duplicates(records: DataFrame, percent: int = 80) -> DataFrame:
+    """(tab, id_a, id_b), id_a < id_b, of the records (tab, id, toks, raw) that are near-duplicates within their tab.
+
+    Records with a null id take no part, and the builders leave out null and short texts; repeated rows count once; a record with two sets pairs by
+    either. Records of one raw text (raw: its hash; without the column, of one set) are copies, and those of more than
+    copies.EXPAND copies are given by their smallest member (see copies); different texts of one set are linked like any others.
+    """
+    members, pairs = _classes(records, percent)
+    members = checkpoint(members.withColumn("text", F.xxhash64("cls", "raw")))
+    texts = members.select("tab", "cls", "text").distinct()
+    side = lambda s: texts.select("tab", F.col("cls").alias(s), F.col("text").alias(f"t{s}"))
+    across = pairs.join(side("a"), ["tab", "a"]).join(side("b"), ["tab", "b"]).select("tab", F.col("ta").alias("a"), F.col("tb").alias("b"))
+    several = texts.groupBy("tab", "cls").agg(F.count("*").alias("n")).where("n > 1").select("tab", F.col("cls").alias("a"))
+    equal = side("a").join(several, ["tab", "a"]).join(side("b").withColumnRenamed("b", "a"), ["tab", "a"]).where("ta < tb").select("tab", F.col("ta").alias("a"), F.col("tb").alias("b"))
+    return expand(across.unionByName(equal), members.select("tab", F.col("text").alias("cls"), "id").distinct(), ["tab"])
+
+
+def copy_members(records: DataFrame) -> DataFrame:
+    """(tab, class, id) of the records (tab, id, toks, raw) whose text stands in several: with the pairs of near_duplicates,
+    all that classes of more than copies.EXPAND leave out, as each member has the links of the smallest."""
+    m = records.where("id is not null").select("tab", F.xxhash64(F.xxhash64("tab", F.array_sort("toks")), "raw").alias("class"), F.col("id").cast("bigint").alias("id")).distinct()
+    return m.join(m.groupBy("tab", "class").agg(F.count("*").alias("n")).where("n > 1").select("tab", "class"), ["tab", "class"]).select("tab", "class", "id")
 
 
 def chunk_records(chunks: DataFrame, n: int = 3, least: int = 20) -> DataFrame:
-    return word_shingles(chunks, "text", n, least).select(F.lit("chunks").alias("tab"), F.col("chunk_id").alias("id"), "toks")
+    return word_shingles(chunks, "text", n, least).select(F.lit("chunks").alias("tab"), F.col("chunk_id").alias("id"), "toks", F.xxhash64("text").alias("raw"))
 
 
 def title_records(docs: DataFrame, n: int = 3, least: int = 20) -> DataFrame:
-    return char_shingles(docs.select("doc_id", "title").distinct(), "title", n, least).select(F.lit("docs").alias("tab"), F.col("doc_id").alias("id"), "toks")
+    return char_shingles(docs.select("doc_id", "title").distinct(), "title", n, least).select(F.lit("docs").alias("tab"), F.col("doc_id").alias("id"), "toks", F.xxhash64("title").alias("raw"))

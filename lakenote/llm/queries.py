@@ -18,9 +18,17 @@ def p1_neighbours(spark, d):
     return ann.neighbours(v, ask=F.col("id") % 100 == 0).select("id", "other", F.round("cos", 6).alias("cos"), "rank")
 
 
+def _p2_records(spark, d):
+    return neardup.chunk_records(read(spark, d, "chunks")).unionByName(neardup.title_records(read(spark, d, "docs")))
+
+
 def p2_found(spark, d):
-    records = neardup.chunk_records(read(spark, d, "chunks")).unionByName(neardup.title_records(read(spark, d, "docs")))
-    return neardup.near_duplicates(records, 60)
+    return neardup.near_duplicates(_p2_records(spark, d), 60)
+
+
+def p2_members(spark, d):
+    """The records of p2_found that have copies, with their class of equal texts."""
+    return neardup.copy_members(_p2_records(spark, d))
 
 
 def p2_classes(spark, d):
@@ -83,7 +91,7 @@ from chunks where length(text) > 2000
 
 QUERIES = {
     "p1_found": p1_found, "p1_neighbours": p1_neighbours,
-    "p2_found": p2_found, "p2_classes": p2_classes, "p3_found": p3_found, "p3_pieces": p3_pieces,
+    "p2_found": p2_found, "p2_members": p2_members, "p2_classes": p2_classes, "p3_found": p3_found, "p3_pieces": p3_pieces,
     "p4_found": p4_found, "p4_pages": p4_pages, "p6_ids": p6_ids,
     "p7_found": p7_found, "p7_coverage": p7_coverage, "p8_found": p8_found, "p8_shares": p8_shares,
 }

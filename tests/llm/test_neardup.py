@@ -62,3 +62,18 @@ def test_titles_and_empty_tables(spark):
     got = {(r.tab, r.id_a, r.id_b) for r in neardup.near_duplicates(neardup.title_records(df), 60).collect()}
     assert got == {("docs", 1, 2), ("docs", 1, 3), ("docs", 2, 3)}
     assert neardup.near_duplicates(neardup.title_records(df.limit(0)), 60).collect() == []
+
+
+def test_different_texts_of_one_set_keep_all_links(spark, monkeypatch):
+    monkeypatch.setattr(copies, "EXPAND", 3)
+    same = "one text that stands in many records and has quite a few words so that it takes part in the comparison here"
+    rows = [(i, same) for i in range(5)] + [(10, same.upper()), (11, same.replace(" ", "\n")), (12, same + "!"), (50, same + " indeed"), (60, "Another stock passage " * 8)]
+    df = spark.createDataFrame(rows, "chunk_id bigint, text string")
+    records = neardup.chunk_records(df)
+    shown = {(r.id_a, r.id_b) for r in neardup.near_duplicates(records, 60).collect()}
+    others = [0, 10, 11, 12, 50]
+    assert shown == {(0, i) for i in range(1, 5)} | set(itertools.combinations(others, 2))
+    members = neardup.copy_members(records).collect()
+    assert sorted(r.id for r in members) == [0, 1, 2, 3, 4] and len({r["class"] for r in members}) == 1
+    derived = shown | set(itertools.combinations(range(5), 2)) | {(i, j) for i in range(1, 5) for a, j in shown if a == 0 and j > 4}
+    assert derived == brute(rows, 3, 60, 20)
