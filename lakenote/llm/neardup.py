@@ -146,6 +146,50 @@ def near_duplicates(records: DataFrame, percent: int = 80) -> DataFrame:
     return expand(across.unionByName(equal), members.select("tab", F.col("text").alias("cls"), "id").distinct(), ["tab"])
 
 
+def components(edges: DataFrame) -> DataFrame:
+    """(node, component): the smallest node that each node of the edges (a, b) is connected with.
+
+    In each round a node takes the least label of its neighbours, then the label of that label, until nothing changes."""
+    both = checkpoint(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    label = checkpoint(both.groupBy("a").agg(F.least("a", F.min("b")).alias("c")))
+    while True:
+        near = both.join(label.select(F.col("a").alias("b"), "c"), "b").groupBy("a").agg(F.min("c").alias("m"))
+        least = label.join(near, "a").select("a", F.col("c").alias("was"), F.least("c", "m").alias("m"))
+        jump = label.select(F.col("a").alias("m"), F.col("c").alias("next"))
+        new = checkpoint(least.join(jump, "m").select("a", "was", F.least("m", "next").alias("c")))
+        label = new.select("a", "c")
+        if new.where("c <> was").isEmpty():
+            return label.select(F.col("a").alias("node"), F.col("c").alias("component"))
+
+
+def classes(records: DataFrame, ids: DataFrame, percent: int = 80) -> DataFrame:
+    """(id, class, component, links) for every id of `ids`: the smallest id with an equal set, the smallest id that it is
+    connected with through near-duplicates, and the number of other records that are near-duplicates of it, copies included.
+
+    Records and links are as in near_duplicates, but nothing is multiplied out: links are counted from the sizes of the linked
+    classes. An id without a set is its own class and component."""
+    members, pairs = _classes(records.withColumn("tab", F.lit("")), percent)
+    members = checkpoint(members.select("id", "cls").distinct())
+    pairs = checkpoint(pairs.select("a", "b"))
+    sizes = members.groupBy("cls").agg(F.count("*").alias("size"), F.min("id").alias("first"))
+    # ids of one set are counted together under their class, an id of several sets under a key of its own
+    own = members.groupBy("id").agg(F.min("cls").alias("g"), F.count("*").alias("sets"))
+    own = own.select("id", F.when(F.col("sets") == 1, F.col("g")).otherwise(F.xxhash64("id", F.lit(7))).alias("g"), "sets")
+    filed = checkpoint(members.join(own, "id"))
+    each = sizes.select(F.col("cls").alias("a"), F.col("cls").alias("b"))
+    linked = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).unionByName(each)
+    reach = checkpoint(filed.select("g", F.col("cls").alias("a")).distinct().join(linked, "a").select("g", F.col("b").alias("cls")).distinct())
+    again = reach.join(filed.where("sets > 1").select("id", "cls"), "cls").groupBy("g", "id").agg((F.count("*") - 1).alias("again")).groupBy("g").agg(F.sum("again").alias("again"))
+    links = reach.join(sizes, "cls").groupBy("g").agg(F.sum("size").alias("links")).join(again, "g", "left").select("g", (F.col("links") - F.coalesce("again", F.lit(0)) - 1).alias("links"))
+    several = filed.where("sets > 1")
+    joined = several.join(several.groupBy("id").agg(F.min("cls").alias("a")), "id").where("a <> cls").select("a", F.col("cls").alias("b"))
+    part = sizes.join(components(pairs.unionByName(joined)).withColumnRenamed("node", "cls"), "cls", "left").withColumn("part", F.coalesce("component", "cls"))
+    part = part.join(part.groupBy("part").agg(F.min("first").alias("component_first")), "part").select("cls", "first", "component_first")
+    found = filed.join(part, "cls").groupBy("id", "g").agg(F.min("first").alias("class"), F.min("component_first").alias("component")).join(links, "g")
+    out = ids.where("id is not null").select(F.col("id").cast("bigint").alias("id")).distinct().join(found, "id", "left")
+    return out.select("id", F.coalesce("class", "id").alias("class"), F.coalesce("component", "id").alias("component"), F.coalesce("links", F.lit(0).cast("bigint")).alias("links"))
+
+
 def copy_members(records: DataFrame) -> DataFrame:
     """(tab, class, id) of the records (tab, id, toks, raw) whose text stands in several: with the pairs of near_duplicates,
     all that classes of more than copies.EXPAND leave out, as each member has the links of the smallest."""

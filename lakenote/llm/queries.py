@@ -32,11 +32,11 @@ def p2_members(spark, d):
 
 
 def p2_classes(spark, d):
-    """Near-duplicate documents on sets of five words at a similarity of 0.8: links of each document."""
-    docs = neardup.word_shingles(read(spark, d, "documents"), "text", 5).select(F.lit("documents").alias("tab"), F.col("doc_id").alias("id"), "toks")
-    p = neardup.near_duplicates(docs, 80)
-    ends = p.select(F.col("id_a").alias("doc_id"), F.col("id_b").alias("other")).unionByName(p.select(F.col("id_b").alias("doc_id"), F.col("id_a").alias("other")))
-    return ends.groupBy("doc_id").agg(F.count("*").alias("links"), F.least(F.col("doc_id"), F.min("other")).alias("first"))
+    """Every document with text by its near-duplicates on sets of five words at a similarity of 0.8: the smallest document of
+    an equal set (class), the smallest that it is connected with (component), and its number of near-duplicates (links)."""
+    docs = read(spark, d, "documents")
+    records = neardup.word_shingles(docs, "text", 5).select(F.lit("documents").alias("tab"), F.col("doc_id").alias("id"), "toks")
+    return neardup.classes(records, docs.where("text <> ''").select(F.col("doc_id").alias("id")), 80).withColumnRenamed("id", "doc_id")
 
 
 def p3_found(spark, d):

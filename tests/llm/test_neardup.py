@@ -77,3 +77,26 @@ def test_different_texts_of_one_set_keep_all_links(spark, monkeypatch):
     assert sorted(r.id for r in members) == [0, 1, 2, 3, 4] and len({r["class"] for r in members}) == 1
     derived = shown | set(itertools.combinations(range(5), 2)) | {(i, j) for i in range(1, 5) for a, j in shown if a == 0 and j > 4}
     assert derived == brute(rows, 3, 60, 20)
+
+
+def test_classes_components_and_links_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(copies, "EXPAND", 3)
+    rows = [(i, t) for i, t in corpus(8) if i < 3000]
+    rows += [(1, rows[0][1]), (20, rows[-1][1] if rows[-1][1] else "x"), (30, rows[0][1])]  # ids with several sets
+    words = [f"w{i}" for i in range(60)]
+    rows += [(4000 + i, " ".join(words[i * 4 : i * 4 + 40])) for i in range(5)]  # a chain
+    df = spark.createDataFrame(rows, "id bigint, text string")
+    records = neardup.word_shingles(df, "text", 3, 20).select(neardup.F.lit("x").alias("tab"), "id", "toks")
+    got = {r.id: (r["class"], r.component, r.links) for r in neardup.classes(records, df.where("text <> ''"), 60).collect()}
+    pairs = brute(rows, 3, 60, 20)
+    ids = {i for i, t in rows if t}
+    part, links = {i: i for i in ids}, dict.fromkeys(ids, 0)
+    for a, b in pairs:
+        links[a] += 1
+        links[b] += 1
+    for _ in ids:
+        for a, b in pairs:
+            part[a] = part[b] = min(part[a], part[b])
+    assert {i: v[1:] for i, v in got.items()} == {i: (part[i], links[i]) for i in ids}
+    assert [got[i][0] for i in range(1000, 1005)] == [1000] * 5 and got[2002] == (2002, 2002, 0)
+    assert {got[4000 + i][1] for i in range(5)} == {4000} and (4000, 4004) not in pairs
