@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lakenote.operators.skew import merge_join, salted_join
+
 EXPAND = 100
 
 
@@ -20,14 +22,15 @@ def expand(pairs: DataFrame, members: DataFrame, by: list[str] = []) -> DataFram
     members: (by..., cls, id), distinct rows, one for every id of a class; a class without rows there is its own only member.
     """
     sizes = members.groupBy(*by, "cls").agg(F.count("*").alias("n"), F.min("id").alias("first"))
-    m = members.join(sizes.where("n > 1"), [*by, "cls"])
+    sized = salted_join(members, sizes.withColumn("size", F.col("n")), [*by, "cls"]).withColumnRenamed("size", "n")
+    m, keys = sized.where("n > 1"), [*by, "cls"]
+    small = m.where(F.col("n") <= EXPAND)
     within = (
-        m.where(F.col("n") <= EXPAND).alias("x").join(m.select(*by, "cls", F.col("id").alias("other")), [*by, "cls"])
-        .select(*by, F.col("id").alias("id_a"), F.col("other").alias("id_b"))
+        merge_join(small, small.select(*keys, F.col("id").alias("other")), keys).select(*by, F.col("id").alias("id_a"), F.col("other").alias("id_b"))
         .unionByName(m.where(F.col("n") > EXPAND).select(*by, F.col("first").alias("id_a"), F.col("id").alias("id_b")))
     )
-    shown = members.join(sizes, [*by, "cls"]).where((F.col("n") <= EXPAND) | (F.col("id") == F.col("first")))
+    shown = sized.where((F.col("n") <= EXPAND) | (F.col("id") == F.col("first")))
     side = lambda s: shown.select(*by, F.col("cls").alias(s), F.col("id").alias(f"i{s}"))
     ia, ib = F.coalesce("ia", "a"), F.coalesce("ib", "b")
-    across = pairs.join(side("a"), [*by, "a"], "left").join(side("b"), [*by, "b"], "left").select(*by, F.least(ia, ib).alias("id_a"), F.greatest(ia, ib).alias("id_b"))
+    across = merge_join(merge_join(pairs, side("a"), [*by, "a"], "left"), side("b"), [*by, "b"], "left").select(*by, F.least(ia, ib).alias("id_a"), F.greatest(ia, ib).alias("id_b"))
     return across.unionByName(within).where("id_a < id_b").distinct()

@@ -5,7 +5,8 @@ a token among the first few of each (prefix filter). Candidates are joined on th
 must also share prefix tokens under every other order; the prefixes of the other orders travel as small bit sets with each
 row, so all filters are intersected inside the join, before the sets themselves are fetched and compared exactly. All
 orders put rarer tokens first and differ in the order among tokens of like frequency. Tokens of a single set only count as
-places in a prefix. No filter loses a pair; equal sets form one class, and frequent prefix tokens are split into blocks.
+places in a prefix: a count-min sketch takes nearly all of them out before anything is shuffled, and an exact count the
+rest. No filter loses a pair; equal sets form one class, and frequent prefix tokens are split into blocks.
 """
 
 from __future__ import annotations
@@ -14,32 +15,73 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lakenote.llm import sketch
 from lakenote.llm.copies import expand
+from lakenote.operators.skew import merge_join, salted_join
 from lakenote.tables import checkpoint, words
 
 #: Token orders; the first is joined, the others are intersected. Words of 64 bits in each bit set.
-ORDERS, WORDS = 3, 4
+ORDERS, WORDS = 3, 2
 #: Records with one prefix token that are compared in one block.
 BLOCK = 4096
+#: Bits of a token's hash; the others number the records while their tokens are sorted.
+BITS = 50
+#: Cells of the sketch; as one bit each (32 MB) they are sent to every task.
+WIDTH = 1 << 28
+
+
+def run_sets(off: np.ndarray, flat: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct hashes of all runs of n consecutive items of each list, ascending: offsets and values like those given."""
+    size, m = np.diff(off), len(flat) - n + 1
+    w, lists, room = np.zeros(max(0, m), np.uint64), len(off) - 1, 1 << (64 - BITS)
+    with np.errstate(over="ignore"):
+        for k in range(n if m > 0 else 0):
+            w = (w + flat[k : k + m]) * sketch.MIX
+            w ^= w >> np.uint64(29)
+    owner = np.repeat(np.arange(lists, dtype=np.uint64), size)
+    inside = owner[: len(w)] == owner[n - 1 : n - 1 + len(w)]
+    w, owner = w[inside] >> np.uint64(64 - BITS), owner[: len(w)][inside]
+    ends, out = [np.zeros(1, np.int64)], []
+    for s in range(0, lists, room):  # as many lists as the free bits can number
+        a, b = np.searchsorted(owner, [s, s + room])
+        key = np.sort(((owner[a:b] - np.uint64(s)) << np.uint64(BITS)) | w[a:b])
+        key = key[np.concatenate([[True], key[1:] != key[:-1]])] if len(key) else key
+        many = np.bincount((key >> np.uint64(BITS)).astype(np.int64), minlength=min(room, lists - s))
+        ends.append(np.cumsum(many) + ends[-1][-1])
+        out.append(key & np.uint64((1 << BITS) - 1))
+    return np.concatenate(ends), np.concatenate([*out, np.zeros(0, np.uint64)]).view(np.int64)
+
+
+def _runs(n: int):
+    @F.arrow_udf("array<bigint>")
+    def runs(h: pa.Array) -> pa.Array:
+        h = h.fill_null([])
+        off = h.offsets.to_numpy().astype(np.int64)
+        flat = h.values.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)[off[0] : off[-1]]
+        ends, toks = run_sets(off - off[0], flat, n)
+        return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(toks))
+
+    return runs
 
 
 def word_shingles(df: DataFrame, text: str, n: int = 3, least: int = 1) -> DataFrame:
     """Add toks: hashes of all runs of n consecutive words; rows of fewer than max(n, least) words or of null are left out."""
-    w = F.col("_w")
-    runs = F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: F.xxhash64(*(F.get(w, i + k) for k in range(n))))
-    return df.withColumn("_w", words(F.col(text))).where(F.size(w) >= max(n, least)).withColumn("toks", F.array_distinct(runs)).drop("_w")
+    w = df.withColumn("_w", F.transform(words(F.col(text)), lambda x: F.xxhash64(x))).where(F.size("_w") >= max(n, least))
+    return w.withColumn("toks", _runs(n)("_w")).drop("_w")
 
 
 def char_shingles(df: DataFrame, text: str, n: int = 3, least: int = 1) -> DataFrame:
     """Add toks: hashes of all n-character substrings of the words joined by single spaces; rows whose joined words have
     fewer than max(n, least) characters or are null are left out."""
     s = F.col("_s")
-    runs = F.transform(F.sequence(F.lit(1), F.length(s) - (n - 1)), lambda i: F.xxhash64(F.substring(s, i, n)))
-    return df.withColumn("_s", F.array_join(words(F.col(text)), " ")).where(F.length(s) >= max(n, least)).withColumn("toks", F.array_distinct(runs)).drop("_s")
+    runs = F.transform(F.sequence(F.lit(1), F.length(s)), lambda i: F.xxhash64(F.substring(s, i, 1)))
+    w = df.withColumn("_s", F.array_join(words(F.col(text)), " ")).where(F.length(s) >= max(n, least))
+    return w.withColumn("toks", _runs(n)(runs)).drop("_s")
 
 
 def _mixed(t: np.ndarray, seed: int) -> np.ndarray:
@@ -56,6 +98,39 @@ def _bits(row: np.ndarray, tok: np.ndarray, rows: int) -> np.ndarray:
     return np.packbits(on, axis=1).view(np.int64)
 
 
+def _flat(f: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(row, token) of a frame with tabs and sets; tokens of different tabs are different, so the tab need not travel with them."""
+    size = f["toks"].map(len).to_numpy()
+    row = np.repeat(np.arange(len(f)), size)
+    tok = np.concatenate([*f["toks"], np.zeros(0, np.int64)]).astype(np.int64).view(np.uint64)
+    tab = f["tab"].map({t: _mixed(np.frombuffer(str(t).encode().ljust(8)[:8], np.uint64), len(str(t)))[0] for t in f["tab"].unique()})
+    return row, tok ^ tab.to_numpy().astype(np.uint64)[row]
+
+
+def _hashes(f: pd.DataFrame) -> np.ndarray:
+    return _flat(f)[1]
+
+
+def _pruned(sent, width: int):
+    """Records (tab, id, raw, toks) with their class, the number of their tokens, and those estimated to stand in several."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bits = sent.value
+        for f in frames:
+            row, tok = _flat(f)
+            n = np.bincount(row, minlength=len(f))
+            total = np.zeros((len(f), 2), np.uint64)
+            with np.errstate(over="ignore"):
+                for j in (0, 1):  # a set's hash must not hang on the order of its tokens
+                    np.add.at(total[:, j], row, _mixed(tok, 11 + j))
+                cls = _mixed(total[:, 0] * sketch.MIX + total[:, 1] + n.astype(np.uint64), 5)
+            ok = sketch.repeated(tok, bits, width)
+            cut = np.cumsum(np.bincount(row[ok], minlength=len(f)))[:-1]
+            yield pd.DataFrame({"tab": f["tab"], "id": f["id"], "raw": f["raw"], "cls": cls.view(np.int64), "n": n.astype(np.int32), "toks": np.split(tok[ok].view(np.int64), cut) if len(f) else []})
+
+    return run
+
+
 def _prefixes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Sets (…, k, toks, dfs) with the prefix of k tokens under the first order, and the bit sets of all tokens and of the
     prefixes under the other orders."""
@@ -81,11 +156,13 @@ def _prefixes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def similar_sets(sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b), a < b: all pairs of the distinct sets (cls, toks) with a Jaccard similarity of at least percent / 100."""
-    seen = sets.select("cls", F.size("toks").alias("n"), F.explode("toks").alias("tok"))
-    often = seen.groupBy("tok").agg(F.count("*").alias("df")).where("df > 1")
+    """(a, b), a < b: all pairs of the distinct sets with a Jaccard similarity of at least percent / 100.
+
+    sets: (cls, n, toks), n the size of the set, toks those of its tokens that may stand in other sets."""
+    seen = sets.select("cls", "n", F.explode("toks").alias("tok"))
+    often = seen.groupBy("tok").agg(F.count("*").alias("df")).where("df > 1").withColumn("rows", F.col("df"))
     shared = (
-        seen.join(often, "tok").groupBy("cls")
+        salted_join(seen, often, ["tok"], "rows").groupBy("cls")
         .agg(F.first("n").alias("n"), F.collect_list("tok").alias("toks"), F.collect_list("df").alias("dfs"))
         .withColumn("own", F.col("n") - F.size("toks"))
         # places left in the prefix once the set's own tokens are counted; without any, no pair can reach the threshold
@@ -97,12 +174,9 @@ def similar_sets(sets: DataFrame, percent: int) -> DataFrame:
     fields += [(c, T.LongType()) for c in bits] + [("p", longs), ("pdf", longs)]
     base = checkpoint(shared.select("cls", "n", "own", "k", "toks", "dfs").mapInPandas(_prefixes, T.StructType([T.StructField(c, t) for c, t in fields])))
 
-    keys = ["tok", "row", "col"]
-    one = base.select("cls", "n", "own", *bits, F.explode(F.arrays_zip("p", "pdf")).alias("z")).select("*", F.col("z.p").alias("tok"), F.ceil(F.col("z.pdf") / BLOCK).cast("int").alias("blocks")).drop("z")
-    mine, every = F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"), F.explode(F.expr("sequence(0, blocks - 1)"))
-    left = one.select(*(F.col(c).alias(f"{c}_a") for c in ("cls", "n", "own", *bits)), "tok", mine.alias("row"), every.alias("col"))
-    right = one.select(*(F.col(c).alias(f"{c}_b") for c in ("cls", "n", "own", *bits)), "tok", every.alias("row"), mine.alias("col"))
-    a, b = (lambda c: F.col(f"{c}_a")), (lambda c: F.col(f"{c}_b"))
+    cols = ["cls", "n", "own", *bits]
+    one = base.select(*cols, F.explode(F.arrays_zip("p", "pdf")).alias("z")).select(*cols, F.col("z.p").alias("tok"), F.ceil(F.col("z.pdf") / BLOCK).cast("int").alias("blocks"))
+    a, b = (lambda c: F.col(f"a.{c}")), (lambda c: F.col(f"b.{c}"))
     total = a("n") + b("n")
     differ = sum((F.bit_count(a(f"f{j}").bitwiseXOR(b(f"f{j}"))) for j in range(WORDS)), a("own") + b("own"))
     ok = (a("cls") < b("cls")) & (100 * a("n") >= percent * b("n")) & (100 * b("n") >= percent * a("n")) & ((100 + percent) * differ <= (100 - percent) * total)
@@ -111,21 +185,27 @@ def similar_sets(sets: DataFrame, percent: int) -> DataFrame:
         for j in range(WORDS):
             meets = meets.bitwiseOR(a(f"b{i}{j}").bitwiseAND(b(f"b{i}{j}")))
         ok = ok & (meets != 0)
-    candidates = left.join(right, keys).where(ok).select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b")).distinct()
+    few, many = one.where("blocks = 1").drop("blocks"), one.where("blocks > 1")
+    mine, every = F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"), F.explode(F.expr("sequence(0, blocks - 1)"))
+    left = many.select(*cols, "tok", mine.alias("row"), every.alias("col"))
+    right = many.select(*cols, "tok", every.alias("row"), mine.alias("col"))
+    meet = lambda x, y, keys: merge_join(x.alias("a"), y.alias("b"), [F.col(f"a.{c}") == F.col(f"b.{c}") for c in keys]).where(ok).select(a("cls").alias("a"), b("cls").alias("b"))
+    candidates = meet(few, few, ["tok"]).unionByName(meet(left, right, ["tok", "row", "col"])).distinct()
     side = lambda s: base.select(F.col("cls").alias(s), F.col("n").alias(f"n_{s}"), F.col("toks").alias(f"toks_{s}"))
     both = F.size(F.array_intersect("toks_a", "toks_b"))
-    return candidates.join(side("a"), "a").join(side("b"), "b").where((100 + percent) * both >= percent * (F.col("n_a") + F.col("n_b"))).select("a", "b")
+    fetched = merge_join(merge_join(candidates, side("a"), "a"), side("b"), "b")
+    return fetched.where((100 + percent) * both >= percent * (F.col("n_a") + F.col("n_b"))).select("a", "b")
 
 
 def _classes(records: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """(members, pairs): members (tab, cls, id, raw), cls standing for one set of one tab; pairs (tab, a, b) of similar classes."""
-    # no filter on toks here: pushed below, it would work the words out anew for every shingle
     raw = F.col("raw") if "raw" in records.columns else F.lit(0).cast("bigint")
-    r = records.where("id is not null").select("tab", F.col("id").cast("bigint").alias("id"), F.array_sort("toks").alias("toks"), raw.alias("raw")).withColumn("cls", F.xxhash64("tab", "toks"))
-    r = checkpoint(r)
-    # tokens of different tabs are different, so the tab itself need not travel with every token
-    sets = r.groupBy("cls").agg(F.first("tab").alias("tab"), F.first("toks").alias("toks")).select("cls", F.transform("toks", lambda t: F.xxhash64("tab", t)).alias("toks"))
-    pairs = similar_sets(sets, percent).join(r.select("tab", F.col("cls").alias("a")).distinct(), "a").select("tab", "a", "b")
+    r = records.where("id is not null").select("tab", F.col("id").cast("bigint").alias("id"), raw.alias("raw"), "toks")
+    # the sets are made twice, for the sketch and for pruning: that reads less than storing every token would write
+    sent = r.sparkSession.sparkContext.broadcast(sketch.repeated_cells(r.select("tab", "toks"), _hashes, WIDTH, 1))
+    r = checkpoint(r.mapInPandas(_pruned(sent, WIDTH), "tab string, id bigint, raw bigint, cls bigint, n int, toks array<bigint>"))
+    sets = r.groupBy("cls").agg(F.first("n").alias("n"), F.first("toks").alias("toks"))
+    pairs = merge_join(similar_sets(sets, percent), r.select("tab", F.col("cls").alias("a")).distinct(), "a").select("tab", "a", "b")
     return r.select("tab", "cls", "id", "raw").distinct(), pairs
 
 
@@ -140,9 +220,10 @@ def near_duplicates(records: DataFrame, percent: int = 80) -> DataFrame:
     members = checkpoint(members.withColumn("text", F.xxhash64("cls", "raw")))
     texts = members.select("tab", "cls", "text").distinct()
     side = lambda s: texts.select("tab", F.col("cls").alias(s), F.col("text").alias(f"t{s}"))
-    across = pairs.join(side("a"), ["tab", "a"]).join(side("b"), ["tab", "b"]).select("tab", F.col("ta").alias("a"), F.col("tb").alias("b"))
+    across = merge_join(merge_join(pairs, side("a"), ["tab", "a"]), side("b"), ["tab", "b"]).select("tab", F.col("ta").alias("a"), F.col("tb").alias("b"))
     several = texts.groupBy("tab", "cls").agg(F.count("*").alias("n")).where("n > 1").select("tab", F.col("cls").alias("a"))
-    equal = side("a").join(several, ["tab", "a"]).join(side("b").withColumnRenamed("b", "a"), ["tab", "a"]).where("ta < tb").select("tab", F.col("ta").alias("a"), F.col("tb").alias("b"))
+    mine = merge_join(side("a"), several, ["tab", "a"])
+    equal = merge_join(mine, side("b").withColumnRenamed("b", "a"), ["tab", "a"]).where("ta < tb").select("tab", F.col("ta").alias("a"), F.col("tb").alias("b"))
     return expand(across.unionByName(equal), members.select("tab", F.col("text").alias("cls"), "id").distinct(), ["tab"])
 
 
@@ -153,10 +234,10 @@ def components(edges: DataFrame) -> DataFrame:
     both = checkpoint(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     label = checkpoint(both.groupBy("a").agg(F.least("a", F.min("b")).alias("c")))
     while True:
-        near = both.join(label.select(F.col("a").alias("b"), "c"), "b").groupBy("a").agg(F.min("c").alias("m"))
-        least = label.join(near, "a").select("a", F.col("c").alias("was"), F.least("c", "m").alias("m"))
+        near = merge_join(both, label.select(F.col("a").alias("b"), "c"), "b").groupBy("a").agg(F.min("c").alias("m"))
+        least = merge_join(label, near, "a").select("a", F.col("c").alias("was"), F.least("c", "m").alias("m"))
         jump = label.select(F.col("a").alias("m"), F.col("c").alias("next"))
-        new = checkpoint(least.join(jump, "m").select("a", "was", F.least("m", "next").alias("c")))
+        new = checkpoint(merge_join(least, jump, "m").select("a", "was", F.least("m", "next").alias("c")))
         label = new.select("a", "c")
         if new.where("c <> was").isEmpty():
             return label.select(F.col("a").alias("node"), F.col("c").alias("component"))
@@ -175,26 +256,28 @@ def classes(records: DataFrame, ids: DataFrame, percent: int = 80) -> DataFrame:
     # ids of one set are counted together under their class, an id of several sets under a key of its own
     own = members.groupBy("id").agg(F.min("cls").alias("g"), F.count("*").alias("sets"))
     own = own.select("id", F.when(F.col("sets") == 1, F.col("g")).otherwise(F.xxhash64("id", F.lit(7))).alias("g"), "sets")
-    filed = checkpoint(members.join(own, "id"))
+    filed = checkpoint(merge_join(members, own, "id"))
     each = sizes.select(F.col("cls").alias("a"), F.col("cls").alias("b"))
     linked = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).unionByName(each)
-    reach = checkpoint(filed.select("g", F.col("cls").alias("a")).distinct().join(linked, "a").select("g", F.col("b").alias("cls")).distinct())
-    again = reach.join(filed.where("sets > 1").select("id", "cls"), "cls").groupBy("g", "id").agg((F.count("*") - 1).alias("again")).groupBy("g").agg(F.sum("again").alias("again"))
-    links = reach.join(sizes, "cls").groupBy("g").agg(F.sum("size").alias("links")).join(again, "g", "left").select("g", (F.col("links") - F.coalesce("again", F.lit(0)) - 1).alias("links"))
+    reach = checkpoint(merge_join(filed.select("g", F.col("cls").alias("a")).distinct(), linked, "a").select("g", F.col("b").alias("cls")).distinct())
     several = filed.where("sets > 1")
-    joined = several.join(several.groupBy("id").agg(F.min("cls").alias("a")), "id").where("a <> cls").select("a", F.col("cls").alias("b"))
-    part = sizes.join(components(pairs.unionByName(joined)).withColumnRenamed("node", "cls"), "cls", "left").withColumn("part", F.coalesce("component", "cls"))
-    part = part.join(part.groupBy("part").agg(F.min("first").alias("component_first")), "part").select("cls", "first", "component_first")
-    found = filed.join(part, "cls").groupBy("id", "g").agg(F.min("first").alias("class"), F.min("component_first").alias("component")).join(links, "g")
-    out = ids.where("id is not null").select(F.col("id").cast("bigint").alias("id")).distinct().join(found, "id", "left")
+    again = merge_join(reach, several.select("id", "cls"), "cls").groupBy("g", "id").agg((F.count("*") - 1).alias("again")).groupBy("g").agg(F.sum("again").alias("again"))
+    links = merge_join(merge_join(reach, sizes, "cls").groupBy("g").agg(F.sum("size").alias("links")), again, "g", "left").select("g", (F.col("links") - F.coalesce("again", F.lit(0)) - 1).alias("links"))
+    joined = merge_join(several, several.groupBy("id").agg(F.min("cls").alias("a")), "id").where("a <> cls").select("a", F.col("cls").alias("b"))
+    part = merge_join(sizes, components(pairs.unionByName(joined)).withColumnRenamed("node", "cls"), "cls", "left").withColumn("part", F.coalesce("component", "cls"))
+    # a class, or a component, may hold a third of all records
+    part = salted_join(part, part.groupBy("part").agg(F.min("first").alias("component_first"), F.count("*").alias("n")), ["part"]).select("cls", "first", "component_first", "size")
+    found = salted_join(filed, part, ["cls"], "size").groupBy("id", "g").agg(F.min("first").alias("class"), F.min("component_first").alias("component"))
+    found = salted_join(found, merge_join(links, filed.groupBy("g").agg(F.count("*").alias("n")), "g"), ["g"])
+    out = merge_join(ids.where("id is not null").select(F.col("id").cast("bigint").alias("id")).distinct(), found, "id", "left")
     return out.select("id", F.coalesce("class", "id").alias("class"), F.coalesce("component", "id").alias("component"), F.coalesce("links", F.lit(0).cast("bigint")).alias("links"))
 
 
 def copy_members(records: DataFrame) -> DataFrame:
     """(tab, class, id) of the records (tab, id, toks, raw) whose text stands in several: with the pairs of near_duplicates,
     all that classes of more than copies.EXPAND leave out, as each member has the links of the smallest."""
-    m = records.where("id is not null").select("tab", F.xxhash64(F.xxhash64("tab", F.array_sort("toks")), "raw").alias("class"), F.col("id").cast("bigint").alias("id")).distinct()
-    return m.join(m.groupBy("tab", "class").agg(F.count("*").alias("n")).where("n > 1").select("tab", "class"), ["tab", "class"]).select("tab", "class", "id")
+    m = records.where("id is not null").select("tab", F.xxhash64("tab", "raw").alias("class"), F.col("id").cast("bigint").alias("id")).distinct()
+    return salted_join(m, m.groupBy("tab", "class").agg(F.count("*").alias("n")).where("n > 1"), ["tab", "class"]).select("tab", "class", "id")
 
 
 def chunk_records(chunks: DataFrame, n: int = 3, least: int = 20) -> DataFrame:
