@@ -1,8 +1,14 @@
-"""The most similar vectors of every vector (problem 1), exactly.
+"""The most similar vectors of every vector (problem 1).
 
-An inverted file over coarse centroids, fitted on a bounded sample. Every vector is filed under its nearest centroid; a list
-is passed over for a vector only when the triangle inequality of angles says that none of its members can have the wanted
-cosine. Lists are split into blocks of bounded size, and each block is compared by matrix products; every member counts.
+An inverted file in two levels. Coarse centroids, fitted on a bounded sample, deal the vectors out to cells of bounded
+blocks; a vector asked for goes to the cells that can hold similar ones. Within a block, fine lists are fitted where the
+vectors lie, so their number follows the data, and what a vector differs by from its list's centroid is product-quantised.
+For each list that can hold similar vectors, the entries of the asked vector's distance tables are summed at the stored
+codes (asymmetric distances), and every row whose estimate can reach the wanted cosine is compared exactly.
+
+Nothing is kept or probed by a fixed number: a list is passed over, and an estimate dropped, only when the wanted cosine
+lies more than SPREAD or SLACK standard deviations off, for parts that are unrelated between two vectors. In a group of like
+vectors these bounds widen by themselves, up to comparing all.
 """
 
 from __future__ import annotations
@@ -14,43 +20,41 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lakenote.operators.skew import merge_join, salted_join
 from lakenote.tables import checkpoint
 
 DIM = 64
-#: Vectors a list has on average, and the most lists.
-PER_LIST, MAX_LISTS = 16384, 4096
+#: Vectors that a coarse cell has on average, and the most cells: their centroids are sent to every task (1 MB).
+PER_LIST, MAX_CELLS = 32768, 4096
 #: Rounds of k-means, and vectors of the sample it is fitted on.
-ROUNDS, SAMPLE = 8, 65536
-#: Most stored vectors of a block, vectors asked for in a block, and those of them that are compared at once.
-BLOCK, ASKED, STRIP = 8192, 16384, 256
+ROUNDS, SAMPLE = 6, 65536
+#: Most stored vectors of a block, vectors asked for with one block, and those of them whose tables are held at once.
+BLOCK, ASKED, STRIP = 32768, 32768, 4096
+#: Vectors of a fine list on average, of a ring of a list, and of a block's own sample.
+FINE, RING, LOCAL = 256, 64, 8192
+#: Parts of a vector that are quantised each, and values of a part.
+PARTS, VALUES = 8, 256
+#: Standard deviations at which lists are passed over, and at which estimates are dropped.
+SPREAD, SLACK = 4.0, 5.0
 
 
 def kmeans(x: np.ndarray, k: int, unit: bool, seed: int = 1) -> np.ndarray:
     """Centroids by Lloyd's rounds from evenly spaced rows of a fixed shuffle; empty ones keep their place."""
     c = x[np.random.default_rng(seed).permutation(len(x))[:k]].copy()
     for _ in range(ROUNDS):
-        near = nearest(x, c, 1)[:, 0]
-        total = np.zeros_like(c)
-        np.add.at(total, near, x)
-        n = np.bincount(near, minlength=len(c))
-        c[n > 0] = total[n > 0] / n[n > 0, None]
+        near = nearest(x, c)
+        by = np.argsort(near, kind="stable")
+        lists, first = np.unique(near[by], return_index=True)
+        c[lists] = np.add.reduceat(x[by], first, axis=0) / np.diff(first, append=len(x))[:, None]
         if unit:
             c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)
     return c
 
 
-def nearest(x: np.ndarray, c: np.ndarray, k: int) -> np.ndarray:
-    """The k nearest centroids of each row, nearest first."""
-    out = []
+def nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """The nearest centroid of each row."""
     half = (c * c).sum(1) / 2
-    for s in range(0, len(x), 2048):
-        score = x[s : s + 2048] @ c.T - half
-        if k == 1:
-            out.append(score.argmax(1)[:, None])
-            continue
-        top = np.argpartition(-score, min(k, len(c)) - 1, axis=1)[:, :k]
-        out.append(np.take_along_axis(top, np.argsort(-np.take_along_axis(score, top, 1), axis=1, kind="stable"), 1))
-    return np.concatenate(out) if out else np.zeros((0, k), np.int64)
+    return np.concatenate([(x[s : s + 2048] @ c.T - half).argmax(1) for s in range(0, len(x), 2048)]) if len(x) else np.zeros(0, np.int64)
 
 
 def _unit(raw: np.ndarray) -> np.ndarray:
@@ -58,8 +62,13 @@ def _unit(raw: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def reach(least: np.ndarray | float, s: np.ndarray, dim: int) -> np.ndarray:
+    """The cosine to a centroid from which a vector may have a cosine of `least` with a vector whose own is s."""
+    return least * s - SPREAD * np.sqrt(np.maximum(0, (1 - np.square(least)) * (1 - s * s)) / max(1, dim - 1)) - 1e-6
+
+
 def _filed(model):
-    """Rows (id, vec) with their list, and the angle to its centroid."""
+    """Rows (id, vec) with their cell and their cosine to its centroid."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         c = model.value.astype(np.float64)
@@ -68,54 +77,103 @@ def _filed(model):
                 continue
             raw = np.stack(f["vec"].to_numpy()).astype(np.float32)
             x = _unit(raw)
-            near = nearest(x, c, 1)[:, 0]
-            angle = np.arccos(np.clip(np.einsum("nd,nd->n", x, c[near]) / np.linalg.norm(c[near], axis=1), -1, 1))
-            yield pd.DataFrame({"id": f["id"], "list": near.astype(np.int32), "angle": angle, "vec": [r.tobytes() for r in raw]})
+            near = nearest(x, c)
+            yield pd.DataFrame({"id": f["id"], "cell": near.astype(np.int32), "s": np.einsum("nd,nd->n", x, c[near]), "vec": [r.tobytes() for r in raw]})
 
     return run
 
 
-def _reached(model, wide: np.ndarray, least: float):
-    """Rows (id, vec) with the lists that can have a member of a cosine of at least `least`: the angle between two vectors
-    is at least that to the centroid less the list's widest, `wide` (below zero for empty lists)."""
+def _reached(model, low: np.ndarray, own: bool):
+    """Rows (id, least, vec) with the cells that can have a vector of a cosine of at least `least`; low is the smallest
+    cosine of a cell's vectors to its centroid, above 1 for empty cells. own: the nearest cell only."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         c = model.value.astype(np.float64)
-        c /= np.linalg.norm(c, axis=1, keepdims=True)
-        most = np.arccos(np.clip(least, -1, 1)) + 1e-6
         for f in frames:
             if not len(f):
                 continue
             x = _unit(np.frombuffer(b"".join(f["vec"]), np.float32).reshape(len(f), -1))
-            ok = (np.arccos(np.clip(x @ c.T, -1, 1)) <= wide + most) & (wide >= 0)
-            yield pd.DataFrame({"id": f["id"], "lists": [np.flatnonzero(r).astype(np.int32) for r in ok], "vec": f["vec"]})
+            near, cos = nearest(x, c), x @ c.T
+            if own:
+                cells = list(near.astype(np.int32)[:, None])
+            else:
+                ok = (cos >= reach(f["least"].to_numpy()[:, None], np.minimum(low, 1)[None, :], x.shape[1])) & (low <= 1)
+                cells = [np.flatnonzero(r).astype(np.int32) for r in ok]
+            yield pd.DataFrame({"id": f["id"], "least": f["least"], "cells": cells, "vec": f["vec"]})
 
     return run
 
 
-def _searched(k: int, least: float, dim: int):
+class _Block:
+    """The fine lists and codes of the stored vectors of one block, cut into rings of like cosine to their centroid."""
+
+    def __init__(self, x: np.ndarray):
+        small = x.astype(np.float32)
+        some = small[np.random.default_rng(2).permutation(len(x))[:LOCAL]]
+        self.c = kmeans(some, max(1, len(x) // FINE), True)
+        near = nearest(small, self.c)
+        s = np.einsum("nd,nd->n", small, self.c[near])
+        sub, rest = x.shape[1] // PARTS, small - self.c[near]
+        some = rest[np.random.default_rng(3).permutation(len(x))[:LOCAL]]
+        cut = [slice(p * sub, (p + 1) * sub if p < PARTS - 1 else x.shape[1]) for p in range(PARTS)]
+        self.cut, self.books = cut, [kmeans(np.ascontiguousarray(some[:, q]), min(VALUES, len(some)), False) for q in cut]
+        self.codes = np.stack([nearest(np.ascontiguousarray(rest[:, q]), b) for q, b in zip(cut, self.books)], axis=1)
+        err = np.linalg.norm(rest - np.concatenate([b[self.codes[:, p]] for p, b in enumerate(self.books)], axis=1), axis=1)
+        self.slack = np.minimum(err, SLACK * err / np.sqrt(x.shape[1])) + 1e-5
+        by = np.lexsort((s, near))
+        cuts = np.flatnonzero(np.diff(near[by])) + 1
+        # of rows of equal cosine the smaller id, which comes first in x, must stay first
+        self.rings = [(int(near[r[0]]), np.sort(r)) for one in np.split(by, cuts) for r in np.array_split(one, max(1, len(one) // RING))]
+        self.low = [float(s[r].min()) for _, r in self.rings]
+
+    def tables(self, q: np.ndarray) -> np.ndarray:
+        """(parts, rows, values): the products of every asked vector's parts with the values."""
+        out = np.zeros((PARTS, len(q), max(map(len, self.books))), np.float32)
+        for p, (cut, b) in enumerate(zip(self.cut, self.books)):
+            out[p, :, : len(b)] = q[:, cut] @ b.T
+        return out
+
+
+def _searched(k: int, dim: int):
     def run(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
-        stored = f["stored"].to_numpy()
+        stored = f["least"].isna().to_numpy()
         ids = f["id"].to_numpy()
         vec = _unit(np.frombuffer(b"".join(f["vec"]), np.float32).reshape(-1, dim))
         by_id = np.flatnonzero(stored)[np.argsort(ids[stored], kind="stable")]
-        own, x, asked, q = ids[by_id], vec[by_id], ids[~stored], vec[~stored]
+        own, x, asked, q, wanted = ids[by_id], vec[by_id], ids[~stored], vec[~stored], f["least"].to_numpy()[~stored]
         out = []
         if len(own) and len(asked):
-            place = np.minimum(np.searchsorted(own, asked), len(own) - 1)
-            itself = own[place] == asked
-            for s in range(0, len(q), STRIP):
-                cos = q[s : s + STRIP] @ x.T
-                here = np.flatnonzero(itself[s : s + STRIP])
-                cos[here, place[s : s + STRIP][here]] = -9
-                hit = np.flatnonzero(cos.max(1) >= least - 1e-8)
-                cos, rows, name = np.round(cos[hit], 9), np.arange(len(hit)), asked[s : s + STRIP][hit]
-                for _ in range(min(k, len(own))):
-                    j = cos.argmax(1)  # of equal ones the smallest id
-                    v = cos[rows, j]
-                    ok = v >= max(least, -1.5)
-                    out.append((name[ok], own[j[ok]], v[ok]))
-                    cos[rows, j] = -9
+            block = _Block(x)
+            for at in range(0, len(q), STRIP):
+                part = q[at : at + STRIP]
+                name, least = asked[at : at + STRIP], wanted[at : at + STRIP].copy()
+                small = part.astype(np.float32)
+                table, to = block.tables(small), small @ block.c.T
+                width = table.shape[2]
+                flat = table.reshape(PARTS, -1)
+                best, other = np.full((len(part), k), -9.0), np.full((len(part), k), np.iinfo(np.int64).max)
+                for (one, ring), low in zip(block.rings, block.low):
+                    row = np.flatnonzero(to[:, one] >= reach(least, np.float64(low), dim))
+                    if not len(row):
+                        continue
+                    guess = to[row, one][:, None] + np.take(flat[0], (row * width)[:, None] + block.codes[ring, 0])
+                    for p in range(1, PARTS):
+                        guess += np.take(flat[p], (row * width)[:, None] + block.codes[ring, p])
+                    row = row[((guess + block.slack[ring]) >= least[row, None]).any(1)]
+                    if not len(row):
+                        continue
+                    cos = np.round(part[row] @ x[ring].T, 9)
+                    cos[name[row][:, None] == own[ring]] = -9
+                    cos[cos < wanted[at : at + STRIP][row, None]] = -9
+                    row, cos = row[cos.max(1) > -9], cos[cos.max(1) > -9]
+                    if len(row):
+                        all_cos = np.concatenate([best[row], cos], axis=1)
+                        all_ids = np.concatenate([other[row], np.broadcast_to(own[ring], cos.shape)], axis=1)
+                        top = np.lexsort((all_ids, -all_cos), axis=1)[:, :k]
+                        best[row], other[row] = np.take_along_axis(all_cos, top, 1), np.take_along_axis(all_ids, top, 1)
+                        least[row] = np.maximum(least[row], best[row, -1])
+                r, j = np.nonzero(best > -9)
+                out.append((name[r], other[r, j], best[r, j]))
         a, b, c = (np.concatenate(z) for z in zip(*out)) if out else (np.zeros(0, np.int64),) * 2 + (np.zeros(0),)
         return pd.DataFrame({"id": a, "other": b, "cos": c})
 
@@ -129,16 +187,18 @@ def usable(vectors: DataFrame, dim: int = DIM) -> DataFrame:
 
 
 def _copies(u: DataFrame, k: int) -> tuple[DataFrame, DataFrame] | None:
-    """(rest, first) where more than k + 1 vectors are the same: first has the k + 1 smallest ids of each such group with
-    their rank, rest the others. No vector has one of the rest among its k most similar before those of first."""
+    """(rest, first) where more than k + 1 vectors are the same: first has for each such group (h) the k + 1 smallest ids in
+    order and in `n` its size, rest the others. No vector has one of the rest among its k most similar before those of first."""
     keyed = u.select("id", F.xxhash64("vec").alias("h"))
-    hot = keyed.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > k + 1).select("h")
-    same = checkpoint(keyed.join(hot, "h"))
+    hot = keyed.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > k + 1)
+    same = checkpoint(salted_join(keyed, hot.withColumn("size", F.col("n")), ["h"]))
     if same.isEmpty():
         return None
     # the limit on the rank is applied in each task before the shuffle, so a group is never gathered whole
     first = same.withColumn("rank", F.row_number().over(Window.partitionBy("h").orderBy("id"))).where(F.col("rank") <= k + 1)
-    return same.join(first.select("id"), "id", "left_anti"), first
+    first = checkpoint(first.groupBy("h").agg(F.array_sort(F.collect_list("id")).alias("first"), F.first("size").alias("n")))
+    rest = salted_join(same, first, ["h"]).where(~F.array_contains("first", F.col("id"))).select("id", "h")
+    return checkpoint(rest), first
 
 
 def neighbours(vectors: DataFrame, k: int = 5, least: float = -1.0, dim: int = DIM, ask: Column | None = None) -> DataFrame:
@@ -147,41 +207,48 @@ def neighbours(vectors: DataFrame, k: int = 5, least: float = -1.0, dim: int = D
     Null, empty, all-zero vectors and those of another length take no part; repeated rows count once; of several vectors
     of one id one is taken. Of more than k + 1 equal vectors only the k + 1 smallest ids are indexed; the others' most similar
     are the first k of these. The sample is at most SAMPLE vectors, chosen by a hash of their ids; all vectors are indexed.
-    The result is exact at nine decimals, and no lists are passed over but by their bounds: where these rule out nothing,
-    every vector asked for is compared with every other.
+    Cosines are exact at nine decimals; a pair is lost only if its vectors lie further apart from the centroids, or from their
+    codes, than SPREAD and SLACK allow. Without a lower bound from `least`, each vector's own cell gives one first.
     """
     spark = vectors.sparkSession
     u = checkpoint(usable(vectors, dim))
     direct = None
     if copies := _copies(u, k):
         rest, first = copies
-        u = checkpoint(u.join(rest.select("id"), "id", "left_anti"))
+        u = checkpoint(merge_join(u, rest.select("id"), "id", "left_anti"))
         asked_rest = rest if ask is None else rest.where(ask)
-        direct = asked_rest.join(first.where(F.col("rank") <= k).withColumnRenamed("id", "other"), "h").where(F.lit(least <= 1)).select("id", "other", F.lit(1.0).alias("cos"), "rank")
+        direct = salted_join(asked_rest, first, ["h"]).where(F.lit(least <= 1)).select("id", F.posexplode(F.slice("first", 1, k)).alias("rank", "other")).select("id", "other", F.lit(1.0).alias("cos"), (F.col("rank") + 1).alias("rank"))
     n = u.count()
-    lists = max(1, min(MAX_LISTS, n // PER_LIST))
     share = min(1.0, SAMPLE / max(1, n))
     sample = u.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(share * (1 << 20))).orderBy(F.xxhash64("id")).limit(SAMPLE).select("vec").toPandas()["vec"]
     x = np.stack(sample.to_numpy()).astype(np.float32) if len(sample) else np.ones((1, dim), np.float32)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    model = spark.sparkContext.broadcast(kmeans(x, max(1, min(lists, len(x))), True))
-    filed = checkpoint(u.mapInPandas(_filed(model), "id bigint, list int, angle double, vec binary"))
-    widest = filed.groupBy("list").agg(F.max("angle").alias("angle"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    wide = np.full(len(model.value), -1.0)
-    for r in widest.collect():  # a row for each list, at most MAX_LISTS
-        wide[r.list] = r.angle
-
-    wanted = filed if ask is None else filed.where(ask)
-    reached = checkpoint(wanted.select("id", "vec").mapInPandas(_reached(model, wide, least), "id bigint, lists array<int>, vec binary"))
-    queues = reached.select(F.explode("lists").alias("list")).groupBy("list").agg(F.ceil(F.count("*") / ASKED).cast("int").alias("queues"))
-    shape = F.broadcast(widest.select("list", "blocks").join(queues, "list"))
+    model = spark.sparkContext.broadcast(kmeans(x, max(1, min(n // PER_LIST, MAX_CELLS, len(x))), True))
+    filed = checkpoint(u.mapInPandas(_filed(model), "id bigint, cell int, s double, vec binary"))
+    shape = filed.groupBy("cell").agg(F.min("s").alias("low"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    low = np.full(len(model.value), 2.0)
+    for r in shape.collect():  # a row for each cell, at most MAX_CELLS
+        low[r.cell] = r.low
+
+    cols = ["id", "least", "cell", "vec", "block", "queue"]
     mix = F.xxhash64("id", F.lit(7))
-    cols = ["id", "list", "vec", "block", "queue", "stored"]
-    stored = filed.join(shape, "list").withColumns({"block": F.pmod(mix, F.col("blocks")).cast("int"), "queue": F.explode(F.expr("sequence(0, queues - 1)")), "stored": F.lit(True)}).select(*cols)
-    queries = reached.select("id", F.explode("lists").alias("list"), "vec").join(shape, "list").withColumns({"block": F.explode(F.expr("sequence(0, blocks - 1)")), "queue": F.pmod(mix, F.col("queues")).cast("int"), "stored": F.lit(False)}).select(*cols)
-    found = stored.unionByName(queries).groupBy("list", "block", "queue").applyInPandas(_searched(k, least, dim), "id bigint, other bigint, cos double")
-    best = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("cos"), "other"))
-    ranked = found.withColumn("rank", best).where(F.col("rank") <= k)
+
+    def search(wanted: DataFrame, own: bool) -> DataFrame:
+        reached = checkpoint(wanted.mapInPandas(_reached(model, low, own), "id bigint, least double, cells array<int>, vec binary"))
+        queues = reached.select(F.explode("cells").alias("cell")).groupBy("cell").agg(F.ceil(F.count("*") / ASKED).cast("int").alias("queues"))
+        both = F.broadcast(shape.select("cell", "blocks").join(queues, "cell"))  # a row for each cell, at most MAX_CELLS
+        stored = filed.join(both, "cell").withColumns({"block": F.pmod(mix, F.col("blocks")).cast("int"), "queue": F.explode(F.expr("sequence(0, queues - 1)")), "least": F.lit(None).cast("double")}).select(*cols)
+        queries = reached.select("id", "least", F.explode("cells").alias("cell"), "vec").join(both, "cell").withColumns({"block": F.explode(F.expr("sequence(0, blocks - 1)")), "queue": F.pmod(mix, F.col("queues")).cast("int")}).select(*cols)
+        found = stored.unionByName(queries).groupBy("cell", "block", "queue").applyInPandas(_searched(k, dim), "id bigint, other bigint, cos double")
+        best = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("cos"), "other"))
+        return found.withColumn("rank", best).where(F.col("rank") <= k)
+
+    wanted = (filed if ask is None else filed.where(ask)).select("id", F.lit(float(least)).alias("least"), "vec")
+    if least <= 0:
+        # the k-th best of the own cell bounds what other cells must offer
+        bound = search(wanted, True).where(F.col("rank") == k).select("id", F.col("cos").alias("bound"))
+        wanted = checkpoint(merge_join(wanted, bound, "id", "left").select("id", F.greatest("least", F.coalesce("bound", "least")).alias("least"), "vec"))
+    ranked = search(wanted, False)
     return ranked if direct is None else ranked.unionByName(direct)
 
 

@@ -4,9 +4,10 @@ Every record becomes a set of hashed tokens. Under any total order of the tokens
 a token among the first few of each (prefix filter). Candidates are joined on the prefix tokens of the first order and
 must also share prefix tokens under every other order; the prefixes of the other orders travel as small bit sets with each
 row, so all filters are intersected inside the join, before the sets themselves are fetched and compared exactly. All
-orders put rarer tokens first and differ in the order among tokens of like frequency. Tokens of a single set only count as
-places in a prefix: a count-min sketch takes nearly all of them out before anything is shuffled, and an exact count the
-rest. No filter loses a pair; equal sets form one class, and frequent prefix tokens are split into blocks.
+orders put rarer tokens first, by a count-min sketch that is sent to every task, and differ in the order among tokens of
+like frequency. So no token is shuffled but those of the prefixes; tokens that the sketch knows to be of a single set only
+count as places in a prefix. No filter loses a pair, whatever the sketch says; equal sets form one class, and frequent
+prefix tokens are split into blocks.
 """
 
 from __future__ import annotations
@@ -18,7 +19,6 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from lakenote.llm import sketch
 from lakenote.llm.copies import expand
@@ -31,8 +31,9 @@ ORDERS, WORDS = 3, 2
 BLOCK = 4096
 #: Bits of a token's hash; the others number the records while their tokens are sorted.
 BITS = 50
-#: Cells of the sketch; as one bit each (32 MB) they are sent to every task.
-WIDTH = 1 << 28
+#: Cells of the sketch; at four bits each (64 MB) they are sent to every task.
+WIDTH = 1 << 27
+BIT_SETS = [f"f{j}" for j in range(WORDS)] + [f"b{i}{j}" for i in range(1, ORDERS) for j in range(WORDS)]
 
 
 def run_sets(off: np.ndarray, flat: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -111,71 +112,61 @@ def _hashes(f: pd.DataFrame) -> np.ndarray:
     return _flat(f)[1]
 
 
-def _pruned(sent, width: int):
-    """Records (tab, id, raw, toks) with their class, the number of their tokens, and those estimated to stand in several."""
+def _prefixed(sent, width: int, percent: int):
+    """Records (tab, id, raw, toks) with their class (cls), the number of their tokens (n), of those that stand in no other
+    record (own), the other tokens in the first order, how many of these are the prefix (k) and their levels, and bit sets of
+    all and of the prefixes under the other orders. Only the first record of a class in a frame has tokens."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bits = sent.value
+        counts = sent.value
         for f in frames:
             row, tok = _flat(f)
-            n = np.bincount(row, minlength=len(f))
-            total = np.zeros((len(f), 2), np.uint64)
+            rows = len(f)
+            n = np.bincount(row, minlength=rows)
+            total = np.zeros((2, rows), np.uint64)
+            first = np.cumsum(n) - n
+            full = np.flatnonzero(n)
             with np.errstate(over="ignore"):
                 for j in (0, 1):  # a set's hash must not hang on the order of its tokens
-                    np.add.at(total[:, j], row, _mixed(tok, 11 + j))
-                cls = _mixed(total[:, 0] * sketch.MIX + total[:, 1] + n.astype(np.uint64), 5)
-            ok = sketch.repeated(tok, bits, width)
-            cut = np.cumsum(np.bincount(row[ok], minlength=len(f)))[:-1]
-            yield pd.DataFrame({"tab": f["tab"], "id": f["id"], "raw": f["raw"], "cls": cls.view(np.int64), "n": n.astype(np.int32), "toks": np.split(tok[ok].view(np.int64), cut) if len(f) else []})
+                    if len(full):
+                        total[j, full] = np.add.reduceat(_mixed(tok, 11 + j), first[full])
+                cls = _mixed(total[0] * sketch.MIX + total[1] + n.astype(np.uint64), 5).view(np.int64)
+            level = sketch.levels(tok, counts, width)
+            own = np.bincount(row[level == 0], minlength=rows)
+            # places left in the prefix once the set's own tokens are counted; without any, no pair can reach the threshold
+            k = np.minimum(n - (n * percent + 99) // 100 + 1 - own, n - own)
+            take = (k > 0) & ~pd.Series(cls).duplicated().to_numpy()
+            keep = (level > 0) & take[row]
+            row, tok, level = row[keep], tok[keep], level[keep]
+            size = np.bincount(row, minlength=rows)
+            place = np.arange(len(tok)) - np.repeat(np.cumsum(size) - size, size)
+            out = f[["tab", "id", "raw"]].copy()
+            out["cls"], out["n"], out["own"], out["k"] = cls, n.astype(np.int32), own.astype(np.int32), k.astype(np.int32)
+            cut = np.cumsum(size)[:-1]
+            lists = lambda x: pd.Series(np.split(x, cut) if rows else [], dtype=object, index=f.index).where(pd.Series(take, index=f.index), None)
+            for j, w in enumerate(_bits(row, tok, rows).T):
+                out[f"f{j}"] = w
+            for i in range(ORDERS):
+                by = np.lexsort((_mixed(tok, i), level, row))
+                if i == 0:
+                    out["toks"], out["levels"] = lists(tok[by].view(np.int64)), lists(level[by].astype(np.int16))
+                else:
+                    by = by[place < k[row]]
+                    for j, w in enumerate(_bits(row[by], tok[by], rows).T):
+                        out[f"b{i}{j}"] = w
+            yield out
 
     return run
 
 
-def _prefixes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Sets (…, k, toks, dfs) with the prefix of k tokens under the first order, and the bit sets of all tokens and of the
-    prefixes under the other orders."""
-    for f in frames:
-        size, k = f["toks"].map(len).to_numpy(), f["k"].to_numpy()
-        row = np.repeat(np.arange(len(f)), size)
-        tok = np.concatenate([*f["toks"], np.zeros(0, np.int64)]).astype(np.int64).view(np.uint64)
-        df = np.concatenate([*f["dfs"], np.zeros(0, np.int64)]).astype(np.int64)
-        place = np.arange(len(tok)) - np.repeat(np.cumsum(size) - size, size)
-        out = f[["cls", "n", "own", "toks"]].copy()
-        for j, w in enumerate(_bits(row, tok, len(f)).T):
-            out[f"f{j}"] = w
-        for i in range(ORDERS):
-            by = np.lexsort((_mixed(tok, i), np.floor(np.log2(df)), row))
-            by = by[place < k[row]]
-            if i == 0:
-                cut = np.cumsum(np.minimum(size, k))[:-1]
-                out["p"], out["pdf"] = np.split(tok[by].view(np.int64), cut), np.split(df[by], cut)
-            else:
-                for j, w in enumerate(_bits(row[by], tok[by], len(f)).T):
-                    out[f"b{i}{j}"] = w
-        yield out
-
-
-def similar_sets(sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b), a < b: all pairs of the distinct sets with a Jaccard similarity of at least percent / 100.
-
-    sets: (cls, n, toks), n the size of the set, toks those of its tokens that may stand in other sets."""
-    seen = sets.select("cls", "n", F.explode("toks").alias("tok"))
-    often = seen.groupBy("tok").agg(F.count("*").alias("df")).where("df > 1").withColumn("rows", F.col("df"))
-    shared = (
-        salted_join(seen, often, ["tok"], "rows").groupBy("cls")
-        .agg(F.first("n").alias("n"), F.collect_list("tok").alias("toks"), F.collect_list("df").alias("dfs"))
-        .withColumn("own", F.col("n") - F.size("toks"))
-        # places left in the prefix once the set's own tokens are counted; without any, no pair can reach the threshold
-        .withColumn("k", F.expr(f"n - ((n * {percent} + 99) div 100) + 1 - own").cast("int")).where("k > 0")
-    )
-    bits = [f"f{j}" for j in range(WORDS)] + [f"b{i}{j}" for i in range(1, ORDERS) for j in range(WORDS)]
-    longs = T.ArrayType(T.LongType())
-    fields = [("cls", T.LongType()), ("n", T.IntegerType()), ("own", T.IntegerType()), ("toks", longs)]
-    fields += [(c, T.LongType()) for c in bits] + [("p", longs), ("pdf", longs)]
-    base = checkpoint(shared.select("cls", "n", "own", "k", "toks", "dfs").mapInPandas(_prefixes, T.StructType([T.StructField(c, t) for c, t in fields])))
-
-    cols = ["cls", "n", "own", *bits]
-    one = base.select(*cols, F.explode(F.arrays_zip("p", "pdf")).alias("z")).select(*cols, F.col("z.p").alias("tok"), F.ceil(F.col("z.pdf") / BLOCK).cast("int").alias("blocks"))
+def similar_sets(base: DataFrame, percent: int) -> DataFrame:
+    """(a, b), a < b: all pairs of the classes of `base` (see _prefixed) with a Jaccard similarity of at least percent / 100."""
+    cols = ["cls", "n", "own", *BIT_SETS]
+    sets = base.where("toks is not null")
+    place = F.posexplode(F.slice("toks", 1, F.col("k")))
+    # a class that stands in several frames comes several times; its rows meet in the partition of their token
+    one = sets.select(*cols, "levels", place.alias("at", "tok")).select(*cols, "tok", F.pow(F.lit(4.0), F.get("levels", F.col("at"))).alias("most"))
+    one = one.select(*cols, "tok", F.ceil(F.col("most") / BLOCK).cast("int").alias("blocks")).repartition("tok").dropDuplicates(["tok", "cls"])
     a, b = (lambda c: F.col(f"a.{c}")), (lambda c: F.col(f"b.{c}"))
     total = a("n") + b("n")
     differ = sum((F.bit_count(a(f"f{j}").bitwiseXOR(b(f"f{j}"))) for j in range(WORDS)), a("own") + b("own"))
@@ -185,15 +176,16 @@ def similar_sets(sets: DataFrame, percent: int) -> DataFrame:
         for j in range(WORDS):
             meets = meets.bitwiseOR(a(f"b{i}{j}").bitwiseAND(b(f"b{i}{j}")))
         ok = ok & (meets != 0)
-    few, many = one.where("blocks = 1").drop("blocks"), one.where("blocks > 1")
+    few, many = one.where("blocks = 1"), one.where("blocks > 1")
     mine, every = F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"), F.explode(F.expr("sequence(0, blocks - 1)"))
     left = many.select(*cols, "tok", mine.alias("row"), every.alias("col"))
     right = many.select(*cols, "tok", every.alias("row"), mine.alias("col"))
     meet = lambda x, y, keys: merge_join(x.alias("a"), y.alias("b"), [F.col(f"a.{c}") == F.col(f"b.{c}") for c in keys]).where(ok).select(a("cls").alias("a"), b("cls").alias("b"))
     candidates = meet(few, few, ["tok"]).unionByName(meet(left, right, ["tok", "row", "col"])).distinct()
-    side = lambda s: base.select(F.col("cls").alias(s), F.col("n").alias(f"n_{s}"), F.col("toks").alias(f"toks_{s}"))
+    whole = sets.select("cls", "n", "toks").dropDuplicates(["cls"])
+    one_side = merge_join(candidates.alias("p"), whole.alias("a"), F.col("p.a") == F.col("a.cls")).select("p.a", "p.b", a("n").alias("n_a"), a("toks").alias("toks_a"))
+    fetched = merge_join(one_side.alias("q"), whole.alias("b"), F.col("q.b") == F.col("b.cls")).select("q.*", b("n").alias("n_b"), b("toks").alias("toks_b"))
     both = F.size(F.array_intersect("toks_a", "toks_b"))
-    fetched = merge_join(merge_join(candidates, side("a"), "a"), side("b"), "b")
     return fetched.where((100 + percent) * both >= percent * (F.col("n_a") + F.col("n_b"))).select("a", "b")
 
 
@@ -201,12 +193,13 @@ def _classes(records: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """(members, pairs): members (tab, cls, id, raw), cls standing for one set of one tab; pairs (tab, a, b) of similar classes."""
     raw = F.col("raw") if "raw" in records.columns else F.lit(0).cast("bigint")
     r = records.where("id is not null").select("tab", F.col("id").cast("bigint").alias("id"), raw.alias("raw"), "toks")
-    # the sets are made twice, for the sketch and for pruning: that reads less than storing every token would write
-    sent = r.sparkSession.sparkContext.broadcast(sketch.repeated_cells(r.select("tab", "toks"), _hashes, WIDTH, 1))
-    r = checkpoint(r.mapInPandas(_pruned(sent, WIDTH), "tab string, id bigint, raw bigint, cls bigint, n int, toks array<bigint>"))
-    sets = r.groupBy("cls").agg(F.first("n").alias("n"), F.first("toks").alias("toks"))
-    pairs = merge_join(similar_sets(sets, percent), r.select("tab", F.col("cls").alias("a")).distinct(), "a").select("tab", "a", "b")
-    return r.select("tab", "cls", "id", "raw").distinct(), pairs
+    # the sets are made twice, for the sketch and for the prefixes: that costs less than storing every token
+    sent = r.sparkSession.sparkContext.broadcast(sketch.counted(r.select("tab", "toks"), _hashes, WIDTH))
+    bits = ", ".join(f"{c} bigint" for c in BIT_SETS)
+    base = checkpoint(r.mapInPandas(_prefixed(sent, WIDTH, percent), f"tab string, id bigint, raw bigint, cls bigint, n int, own int, k int, {bits}, toks array<bigint>, levels array<smallint>"))
+    members = base.select("tab", "cls", "id", "raw").distinct()
+    pairs = merge_join(similar_sets(base, percent), members.select("tab", F.col("cls").alias("a")).distinct(), "a").select("tab", "a", "b")
+    return members, pairs
 
 
 def near_duplicates(records: DataFrame, percent: int = 80) -> DataFrame:

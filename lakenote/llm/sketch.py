@@ -1,8 +1,9 @@
-"""A count-min sketch of 64-bit hashes, merged over the partitions, that tells which hashes stand but once.
+"""A count-min sketch of 64-bit hashes, merged over the partitions, that tells about how often each hash stands.
 
 Each task counts its hashes by cell and sends the occupied cells of a stretch of the sketch as one row; stretches are
-merged by adding. The merged sketch has one bit for each cell: whether its count is two or more. It only overestimates, so
-what it calls single is single. Its size is fixed by the width; a full sketch drops less, and never a repeated hash.
+merged by adding. The merged sketch has four bits for each cell: 0 where it was met once at most, c where it was met fewer
+than 4**c times. It only overestimates, so what it calls single is single. Its size is fixed by the width, whatever the
+data; a full sketch tells less, and nothing untrue.
 """
 
 from __future__ import annotations
@@ -18,30 +19,30 @@ MIX = np.uint64(0x9E3779B97F4A7C15)
 STRETCH, PART, HELD = 1 << 20, 1 << 16, 1 << 22
 
 
-def cells(h: np.ndarray, width: int, row: int) -> np.ndarray:
-    """The cell of each hash in one row of the sketch."""
+def cells(h: np.ndarray, width: int) -> np.ndarray:
+    """The cell of each hash."""
     with np.errstate(over="ignore"):
-        m = (h ^ (h >> np.uint64(31))) * (MIX * np.uint64(2 * row + 1))
-        return ((m ^ (m >> np.uint64(32))) & np.uint64(width - 1)).astype(np.int64)
-
-
-def _counted(hashes: Callable[[pd.DataFrame], np.ndarray], width: int, depth: int):
-    def rows(h: np.ndarray) -> Iterator[pd.DataFrame]:
-        for r in range(depth):
-            cell = np.sort(cells(h, width, r))
-            first = np.ones(len(cell), bool)
-            first[1:] = cell[1:] != cell[:-1]
-            at = np.flatnonzero(first)
-            cell, twice = cell[at], np.diff(at, append=len(cell)) > 1
-            block = cell // STRETCH
-            cut = np.flatnonzero(np.diff(block)) + 1
-            spots, parts = np.split((cell % PART).astype(np.uint16), cut), np.split((cell % STRETCH) // PART, cut)
-            yield pd.DataFrame({
-                "row": r, "block": block[np.concatenate([[0], cut])],
-                "spots": [s.tobytes() for s in spots],
-                "sizes": [np.bincount(p, minlength=STRETCH // PART).astype(np.int32).tobytes() for p in parts],
-                "twice": [np.packbits(t).tobytes() for t in np.split(twice, cut)],
-            })
+        m = (h ^ (h >> np.uint64(31))) * MIX
+    return ((m ^ (m >> np.uint64(32))) & np.uint64(width - 1)).astype(np.int64)
+
+
+def _log(n: np.ndarray) -> np.ndarray:
+    return np.frexp(n.astype(np.float64))[1] - 1
+
+
+def _counted(hashes: Callable[[pd.DataFrame], np.ndarray], width: int):
+    def rows(h: np.ndarray) -> pd.DataFrame:
+        cell = np.sort(cells(h, width))
+        at = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
+        cell, power = cell[at], _log(np.diff(at, append=len(cell))).astype(np.uint8)
+        block = cell // STRETCH
+        cut = np.flatnonzero(np.diff(block)) + 1
+        return pd.DataFrame({
+            "block": block[np.concatenate([[0], cut])],
+            "spots": [s.tobytes() for s in np.split((cell % PART).astype(np.uint16), cut)],
+            "sizes": [np.bincount(p, minlength=STRETCH // PART).astype(np.int32).tobytes() for p in np.split((cell % STRETCH) // PART, cut)],
+            "powers": [p.tobytes() for p in np.split(power, cut)],
+        })
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, n = [], 0
@@ -49,39 +50,35 @@ def _counted(hashes: Callable[[pd.DataFrame], np.ndarray], width: int, depth: in
             held.append(hashes(f))
             n += len(held[-1])
             if n >= HELD:
-                yield from rows(np.concatenate(held))
+                yield rows(np.concatenate(held))
                 held, n = [], 0
         if n:
-            yield from rows(np.concatenate(held))
+            yield rows(np.concatenate(held))
 
     return run
 
 
 def _merged(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
-    once, twice = np.zeros(STRETCH, bool), np.zeros(STRETCH, bool)
-    for spots, sizes, more in zip(f["spots"], f["sizes"], f["twice"]):
-        s = np.frombuffer(spots, np.uint16)
-        at = s + np.repeat(np.arange(STRETCH // PART) * PART, np.frombuffer(sizes, np.int32))
-        twice[at] |= once[at] | np.unpackbits(np.frombuffer(more, np.uint8), count=len(s)).astype(bool)
-        once[at] = True
-    return pd.DataFrame({"row": [key[0]], "block": [key[1]], "bits": [np.packbits(twice).tobytes()]})
-
-
-def repeated_cells(df: DataFrame, hashes: Callable[[pd.DataFrame], np.ndarray], width: int, depth: int) -> np.ndarray:
-    """(depth, width / 8) bytes: the bits of the cells counted twice or more. hashes gives the hashes (uint64) of a frame of df.
-
-    depth * width / 8 bytes come to the driver, whatever the size of df; width is a power of two."""
-    out = np.zeros((depth, max(1, width // STRETCH), STRETCH // 8), np.uint8)
-    part = df.mapInPandas(_counted(hashes, width, depth), "row int, block bigint, spots binary, sizes binary, twice binary")
-    for r in part.groupBy("row", "block").applyInPandas(_merged, "row int, block bigint, bits binary").toLocalIterator():
-        out[r["row"], r["block"]] = np.frombuffer(r["bits"], np.uint8)
-    return out.reshape(depth, -1)
-
-
-def repeated(h: np.ndarray, bits: np.ndarray, width: int) -> np.ndarray:
-    """Which of the hashes the sketch estimates to stand twice or more."""
-    ok = np.ones(len(h), bool)
-    for r in range(len(bits)):
-        c = cells(h, width, r)
-        ok &= (bits[r, c >> 3] >> (7 - (c & 7)).astype(np.uint8)) & 1 == 1
-    return ok
+    total = np.zeros(STRETCH, np.int64)
+    for spots, sizes, powers in zip(f["spots"], f["sizes"], f["powers"]):
+        at = np.frombuffer(spots, np.uint16) + np.repeat(np.arange(STRETCH // PART) * PART, np.frombuffer(sizes, np.int32))
+        total[at] += (2 << np.frombuffer(powers, np.uint8).astype(np.int64)) - 1  # the most that a count of that power can be
+    level = np.where(total < 2, 0, np.minimum(15, 1 + _log(np.maximum(total, 1)) // 2)).astype(np.uint8)
+    return pd.DataFrame({"block": [key[0]], "levels": [(level[::2] << 4 | level[1::2]).tobytes()]})
+
+
+def counted(df: DataFrame, hashes: Callable[[pd.DataFrame], np.ndarray], width: int) -> np.ndarray:
+    """The merged sketch, width / 2 bytes. hashes gives the hashes (uint64) of a frame of df; width is a power of two.
+
+    width / 2 bytes come to the driver, stretch by stretch, whatever the size of df."""
+    out = np.zeros((max(1, width // STRETCH), STRETCH // 2), np.uint8)
+    part = df.mapInPandas(_counted(hashes, width), "block bigint, spots binary, sizes binary, powers binary")
+    for r in part.groupBy("block").applyInPandas(_merged, "block bigint, levels binary").toLocalIterator():
+        out[r["block"]] = np.frombuffer(r["levels"], np.uint8)
+    return out.ravel()
+
+
+def levels(h: np.ndarray, sketch: np.ndarray, width: int) -> np.ndarray:
+    """For each hash a c so that it stands fewer than 4**c times; 0: once."""
+    c = cells(h, width)
+    return (sketch[c >> 1] >> np.where(c & 1, 0, 4).astype(np.uint8)) & np.uint8(15)
