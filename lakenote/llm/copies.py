@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakenote.operators.skew import merge_join, salted_join
+from lakenote.tables import checkpoint
 
 EXPAND = 100
 
@@ -22,7 +23,7 @@ def expand(pairs: DataFrame, members: DataFrame, by: list[str] = []) -> DataFram
     members: (by..., cls, id), distinct rows, one for every id of a class; a class without rows there is its own only member.
     """
     sizes = members.groupBy(*by, "cls").agg(F.count("*").alias("n"), F.min("id").alias("first"))
-    sized = salted_join(members, sizes.withColumn("size", F.col("n")), [*by, "cls"]).withColumnRenamed("size", "n")
+    sized = checkpoint(salted_join(members, sizes.withColumn("size", F.col("n")), [*by, "cls"]).withColumnRenamed("size", "n"))
     m, keys = sized.where("n > 1"), [*by, "cls"]
     small = m.where(F.col("n") <= EXPAND)
     within = (

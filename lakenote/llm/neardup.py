@@ -31,8 +31,8 @@ ORDERS, WORDS = 3, 2
 BLOCK = 4096
 #: Bits of a token's hash; the others number the records while their tokens are sorted.
 BITS = 50
-#: Cells of the sketch; at four bits each (64 MB) they are sent to every task.
-WIDTH = 1 << 27
+#: Cells of the sketch; at four bits each (32 MB) they are sent to every task.
+WIDTH = 1 << 26
 BIT_SETS = [f"f{j}" for j in range(WORDS)] + [f"b{i}{j}" for i in range(1, ORDERS) for j in range(WORDS)]
 
 
@@ -197,6 +197,7 @@ def _classes(records: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     sent = r.sparkSession.sparkContext.broadcast(sketch.counted(r.select("tab", "toks"), _hashes, WIDTH))
     bits = ", ".join(f"{c} bigint" for c in BIT_SETS)
     base = checkpoint(r.mapInPandas(_prefixed(sent, WIDTH, percent), f"tab string, id bigint, raw bigint, cls bigint, n int, own int, k int, {bits}, toks array<bigint>, levels array<smallint>"))
+    sent.destroy()
     members = base.select("tab", "cls", "id", "raw").distinct()
     pairs = merge_join(similar_sets(base, percent), members.select("tab", F.col("cls").alias("a")).distinct(), "a").select("tab", "a", "b")
     return members, pairs
