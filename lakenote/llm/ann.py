@@ -7,8 +7,8 @@ For each list that can hold similar vectors, the entries of the asked vector's d
 codes (asymmetric distances), and every row whose estimate can reach the wanted cosine is compared exactly.
 
 Nothing is kept or probed by a fixed number: a list is passed over, and an estimate dropped, only when the wanted cosine
-lies more than SPREAD or SLACK standard deviations off, for parts that are unrelated between two vectors. In a group of like
-vectors these bounds widen by themselves, up to comparing all.
+lies more than SPREAD (at least MARGIN) or SLACK standard deviations off, where what two vectors have apart from the
+centroid is taken as unrelated. So in a group of like vectors all of its lists are searched, and all that may count compared.
 """
 
 from __future__ import annotations
@@ -29,13 +29,15 @@ PER_LIST, MAX_CELLS = 32768, 4096
 #: Rounds of k-means, and vectors of the sample it is fitted on.
 ROUNDS, SAMPLE = 6, 65536
 #: Most stored vectors of a block, vectors asked for with one block, and those of them whose tables are held at once.
-BLOCK, ASKED, STRIP = 32768, 32768, 4096
-#: Vectors of a fine list on average, of a ring of a list, and of a block's own sample.
-FINE, RING, LOCAL = 256, 64, 8192
+BLOCK, ASKED, STRIP = 32768, 32768, 8192
+#: Vectors of a fine list on average, and of a block's own sample.
+FINE, LOCAL = 64, 8192
 #: Parts of a vector that are quantised each, and values of a part.
-PARTS, VALUES = 8, 256
-#: Standard deviations at which lists are passed over, and at which estimates are dropped.
-SPREAD, SLACK = 4.0, 5.0
+PARTS, VALUES = 4, 256
+#: Standard deviations at which lists are passed over (and the least such distance), and at which estimates are dropped.
+SPREAD, MARGIN, SLACK = 1.2, 0.06, 4.0
+#: The share of a cell's, and of a fine list's vectors that may lie further from the centroid than its bound assumes.
+FAR_CELL, FAR_LIST = 0.01, 0.25
 
 
 def kmeans(x: np.ndarray, k: int, unit: bool, seed: int = 1) -> np.ndarray:
@@ -62,9 +64,10 @@ def _unit(raw: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def reach(least: np.ndarray | float, s: np.ndarray, dim: int) -> np.ndarray:
+def reach(least: np.ndarray | float, s: np.ndarray | float, dim: int, spread: float) -> np.ndarray:
     """The cosine to a centroid from which a vector may have a cosine of `least` with a vector whose own is s."""
-    return least * s - SPREAD * np.sqrt(np.maximum(0, (1 - np.square(least)) * (1 - s * s)) / max(1, dim - 1)) - 1e-6
+    apart = np.sqrt(np.maximum(0, (1 - np.square(least)) * (1 - np.square(s))) / max(1, dim - 1))
+    return least * s - np.maximum(MARGIN, spread * apart)
 
 
 def _filed(model):
@@ -83,9 +86,9 @@ def _filed(model):
     return run
 
 
-def _reached(model, low: np.ndarray, own: bool):
-    """Rows (id, least, vec) with the cells that can have a vector of a cosine of at least `least`; low is the smallest
-    cosine of a cell's vectors to its centroid, above 1 for empty cells. own: the nearest cell only."""
+def _reached(model, low: np.ndarray, own: bool, spread: float):
+    """Rows (id, least, vec) with the cells that can have a vector of a cosine of at least `least`; low is the cosine to
+    the centroid that all but FAR_CELL of a cell's vectors have, above 1 for empty cells. own: the nearest cell only."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         c = model.value.astype(np.float64)
@@ -97,7 +100,7 @@ def _reached(model, low: np.ndarray, own: bool):
             if own:
                 cells = list(near.astype(np.int32)[:, None])
             else:
-                ok = (cos >= reach(f["least"].to_numpy()[:, None], np.minimum(low, 1)[None, :], x.shape[1])) & (low <= 1)
+                ok = (cos >= reach(f["least"].to_numpy()[:, None], np.minimum(low, 1)[None, :], x.shape[1], spread)) & (low <= 1)
                 cells = [np.flatnonzero(r).astype(np.int32) for r in ok]
             yield pd.DataFrame({"id": f["id"], "least": f["least"], "cells": cells, "vec": f["vec"]})
 
@@ -105,7 +108,7 @@ def _reached(model, low: np.ndarray, own: bool):
 
 
 class _Block:
-    """The fine lists and codes of the stored vectors of one block, cut into rings of like cosine to their centroid."""
+    """The fine lists and codes of the stored vectors of one block."""
 
     def __init__(self, x: np.ndarray):
         small = x.astype(np.float32)
@@ -115,26 +118,23 @@ class _Block:
         s = np.einsum("nd,nd->n", small, self.c[near])
         sub, rest = x.shape[1] // PARTS, small - self.c[near]
         some = rest[np.random.default_rng(3).permutation(len(x))[:LOCAL]]
-        cut = [slice(p * sub, (p + 1) * sub if p < PARTS - 1 else x.shape[1]) for p in range(PARTS)]
-        self.cut, self.books = cut, [kmeans(np.ascontiguousarray(some[:, q]), min(VALUES, len(some)), False) for q in cut]
-        self.codes = np.stack([nearest(np.ascontiguousarray(rest[:, q]), b) for q, b in zip(cut, self.books)], axis=1)
-        err = np.linalg.norm(rest - np.concatenate([b[self.codes[:, p]] for p, b in enumerate(self.books)], axis=1), axis=1)
-        self.slack = np.minimum(err, SLACK * err / np.sqrt(x.shape[1])) + 1e-5
-        by = np.lexsort((s, near))
-        cuts = np.flatnonzero(np.diff(near[by])) + 1
-        # of rows of equal cosine the smaller id, which comes first in x, must stay first
-        self.rings = [(int(near[r[0]]), np.sort(r)) for one in np.split(by, cuts) for r in np.array_split(one, max(1, len(one) // RING))]
-        self.low = [float(s[r].min()) for _, r in self.rings]
+        self.cut = [slice(p * sub, (p + 1) * sub if p < PARTS - 1 else x.shape[1]) for p in range(PARTS)]
+        self.books = [kmeans(np.ascontiguousarray(some[:, q]), min(VALUES, len(some)), False) for q in self.cut]
+        codes = np.stack([nearest(np.ascontiguousarray(rest[:, q]), b) for q, b in zip(self.cut, self.books)], axis=1)
+        err = np.linalg.norm(rest - np.concatenate([b[codes[:, p]] for p, b in enumerate(self.books)], axis=1), axis=1)
+        slack = np.minimum(err, SLACK * err / np.sqrt(x.shape[1])) + 1e-5
+        self.first = np.cumsum([0, *map(len, self.books)])
+        by = np.argsort(near, kind="stable")  # rows stay in the order of their ids
+        self.lists = []
+        for rows in np.split(by, np.flatnonzero(np.diff(near[by])) + 1):
+            self.lists.append((int(near[rows[0]]), rows, float(np.quantile(s[rows], FAR_LIST)), (codes[rows] + self.first[:-1]).T.ravel(), slack[rows]))
 
     def tables(self, q: np.ndarray) -> np.ndarray:
-        """(parts, rows, values): the products of every asked vector's parts with the values."""
-        out = np.zeros((PARTS, len(q), max(map(len, self.books))), np.float32)
-        for p, (cut, b) in enumerate(zip(self.cut, self.books)):
-            out[p, :, : len(b)] = q[:, cut] @ b.T
-        return out
+        """For every asked vector the products of its parts with all values of the part, one after the other."""
+        return np.concatenate([q[:, cut] @ b.T for cut, b in zip(self.cut, self.books)], axis=1)
 
 
-def _searched(k: int, dim: int):
+def _searched(k: int, dim: int, spread: float):
     def run(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
         stored = f["least"].isna().to_numpy()
         ids = f["id"].to_numpy()
@@ -145,30 +145,27 @@ def _searched(k: int, dim: int):
         if len(own) and len(asked):
             block = _Block(x)
             for at in range(0, len(q), STRIP):
-                part = q[at : at + STRIP]
-                name, least = asked[at : at + STRIP], wanted[at : at + STRIP].copy()
-                small = part.astype(np.float32)
-                table, to = block.tables(small), small @ block.c.T
-                width = table.shape[2]
-                flat = table.reshape(PARTS, -1)
+                part, name, bar = q[at : at + STRIP], asked[at : at + STRIP], wanted[at : at + STRIP]
+                least, small = bar.copy(), part.astype(np.float32)
+                table, to = block.tables(small), block.c @ small.T
                 best, other = np.full((len(part), k), -9.0), np.full((len(part), k), np.iinfo(np.int64).max)
-                for (one, ring), low in zip(block.rings, block.low):
-                    row = np.flatnonzero(to[:, one] >= reach(least, np.float64(low), dim))
+                for one, rows, low, codes, slack in block.lists:
+                    row = np.flatnonzero(to[one] >= reach(least, low, dim, spread))
                     if not len(row):
                         continue
-                    guess = to[row, one][:, None] + np.take(flat[0], (row * width)[:, None] + block.codes[ring, 0])
-                    for p in range(1, PARTS):
-                        guess += np.take(flat[p], (row * width)[:, None] + block.codes[ring, p])
-                    row = row[((guess + block.slack[ring]) >= least[row, None]).any(1)]
+                    # the asymmetric distances: table entries at the stored codes, summed over the parts
+                    guess = np.take(table[row], codes, axis=1).reshape(len(row), PARTS, -1).sum(1)
+                    row = row[(guess + slack >= (least[row] - to[one, row])[:, None]).any(1)]
                     if not len(row):
                         continue
-                    cos = np.round(part[row] @ x[ring].T, 9)
-                    cos[name[row][:, None] == own[ring]] = -9
-                    cos[cos < wanted[at : at + STRIP][row, None]] = -9
-                    row, cos = row[cos.max(1) > -9], cos[cos.max(1) > -9]
+                    cos = np.round(part[row] @ x[rows].T, 9)
+                    cos[(name[row][:, None] == own[rows]) | (cos < bar[row, None])] = -9
+                    hit = cos.max(1) > best[row, -1]
+                    hit |= (cos.max(1) == best[row, -1]) & (best[row, -1] > -9)  # of equal ones the smaller id
+                    row, cos = row[hit], cos[hit]
                     if len(row):
                         all_cos = np.concatenate([best[row], cos], axis=1)
-                        all_ids = np.concatenate([other[row], np.broadcast_to(own[ring], cos.shape)], axis=1)
+                        all_ids = np.concatenate([other[row], np.broadcast_to(own[rows], cos.shape)], axis=1)
                         top = np.lexsort((all_ids, -all_cos), axis=1)[:, :k]
                         best[row], other[row] = np.take_along_axis(all_cos, top, 1), np.take_along_axis(all_ids, top, 1)
                         least[row] = np.maximum(least[row], best[row, -1])
@@ -201,14 +198,14 @@ def _copies(u: DataFrame, k: int) -> tuple[DataFrame, DataFrame] | None:
     return checkpoint(rest), first
 
 
-def neighbours(vectors: DataFrame, k: int = 5, least: float = -1.0, dim: int = DIM, ask: Column | None = None) -> DataFrame:
+def neighbours(vectors: DataFrame, k: int = 5, least: float = -1.0, dim: int = DIM, ask: Column | None = None, spread: float = SPREAD) -> DataFrame:
     """(id, other, cos, rank): for every vector, or those that `ask` holds for, its k most similar others of a cosine of at least `least`, equal ones by id.
 
     Null, empty, all-zero vectors and those of another length take no part; repeated rows count once; of several vectors
     of one id one is taken. Of more than k + 1 equal vectors only the k + 1 smallest ids are indexed; the others' most similar
     are the first k of these. The sample is at most SAMPLE vectors, chosen by a hash of their ids; all vectors are indexed.
-    Cosines are exact at nine decimals; a pair is lost only if its vectors lie further apart from the centroids, or from their
-    codes, than SPREAD and SLACK allow. Without a lower bound from `least`, each vector's own cell gives one first.
+    Cosines are exact at nine decimals; a pair is lost only if its vectors lie less alike to the centroids, or to their codes,
+    than `spread` and SLACK allow. Without a lower bound from `least`, each vector's own cell gives one first.
     """
     spark = vectors.sparkSession
     u = checkpoint(usable(vectors, dim))
@@ -225,7 +222,7 @@ def neighbours(vectors: DataFrame, k: int = 5, least: float = -1.0, dim: int = D
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     model = spark.sparkContext.broadcast(kmeans(x, max(1, min(n // PER_LIST, MAX_CELLS, len(x))), True))
     filed = checkpoint(u.mapInPandas(_filed(model), "id bigint, cell int, s double, vec binary"))
-    shape = filed.groupBy("cell").agg(F.min("s").alias("low"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    shape = filed.groupBy("cell").agg(F.percentile_approx("s", FAR_CELL, 1000).alias("low"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     low = np.full(len(model.value), 2.0)
     for r in shape.collect():  # a row for each cell, at most MAX_CELLS
         low[r.cell] = r.low
@@ -234,12 +231,12 @@ def neighbours(vectors: DataFrame, k: int = 5, least: float = -1.0, dim: int = D
     mix = F.xxhash64("id", F.lit(7))
 
     def search(wanted: DataFrame, own: bool) -> DataFrame:
-        reached = checkpoint(wanted.mapInPandas(_reached(model, low, own), "id bigint, least double, cells array<int>, vec binary"))
+        reached = checkpoint(wanted.mapInPandas(_reached(model, low, own, spread), "id bigint, least double, cells array<int>, vec binary"))
         queues = reached.select(F.explode("cells").alias("cell")).groupBy("cell").agg(F.ceil(F.count("*") / ASKED).cast("int").alias("queues"))
         both = F.broadcast(shape.select("cell", "blocks").join(queues, "cell"))  # a row for each cell, at most MAX_CELLS
         stored = filed.join(both, "cell").withColumns({"block": F.pmod(mix, F.col("blocks")).cast("int"), "queue": F.explode(F.expr("sequence(0, queues - 1)")), "least": F.lit(None).cast("double")}).select(*cols)
         queries = reached.select("id", "least", F.explode("cells").alias("cell"), "vec").join(both, "cell").withColumns({"block": F.explode(F.expr("sequence(0, blocks - 1)")), "queue": F.pmod(mix, F.col("queues")).cast("int")}).select(*cols)
-        found = stored.unionByName(queries).groupBy("cell", "block", "queue").applyInPandas(_searched(k, dim), "id bigint, other bigint, cos double")
+        found = stored.unionByName(queries).groupBy("cell", "block", "queue").applyInPandas(_searched(k, dim, spread), "id bigint, other bigint, cos double")
         best = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("cos"), "other"))
         return found.withColumn("rank", best).where(F.col("rank") <= k)
 

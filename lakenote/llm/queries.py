@@ -15,7 +15,7 @@ def p1_found(spark, d):
 def p1_neighbours(spark, d):
     """The 5 most similar chunks of every chunk whose id is divisible by 100, of any cosine."""
     v = read(spark, d, "vectors")
-    return ann.neighbours(v, ask=F.col("id") % 100 == 0).select("id", "other", F.round("cos", 6).alias("cos"), "rank")
+    return ann.neighbours(v, ask=F.col("id") % 100 == 0, spread=2.0).select("id", "other", F.round("cos", 6).alias("cos"), "rank")
 
 
 def _p2_records(spark, d):
