@@ -10,9 +10,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lakenote.operators.skew import hot_keys, split_join
+
 WORDS = 8
 BYTES_PER_BLOCK = 72
-#: Most bytes of a filter that is broadcast; beyond it the probe is an ordinary shuffled join on the block.
+#: Most bytes of a filter that is broadcast; beyond it rows meet their block by a shuffle in which hot blocks are split.
 MAX_BROADCAST = 64 << 20
 
 
@@ -41,5 +43,10 @@ def probe(df: DataFrame, key: str, filt: DataFrame, n_blocks: int, out: str = "m
     hit = F.lit(True)
     for i, m in enumerate(masks):
         hit = hit & (F.col(f"_w{i}").bitwiseAND(m) != 0)
-    joined = df.withColumn("_block", block).join(F.broadcast(filt) if small else filt, "_block", "left")
+    placed = df.withColumn("_block", block)
+    if small:
+        joined = placed.join(F.broadcast(filt), "_block", "left")
+    else:
+        counts = placed.groupBy("_block").agg(F.count("*").alias("n"))
+        joined = split_join(placed, filt, ["_block"], hot_keys(counts, ["_block"]), "left")
     return joined.withColumn(out, F.coalesce(hit, F.lit(False))).drop("_block", *(f"_w{i}" for i in range(WORDS)))

@@ -2,7 +2,8 @@
 
 Each reference is tested against a broadcast Bloom filter of the parents' keys. A miss proves an orphan; only the
 references that pass are verified by an exact join. References are distinct per key and month before anything is
-shuffled, and the exact join is salted, so one key that holds a third of all references is spread over several tasks.
+shuffled, and the exact joins split the keys that are measured to be hot, so one key that holds a third of all references
+is spread over as many tasks as it needs.
 """
 
 from __future__ import annotations
@@ -12,11 +13,9 @@ from pyspark.sql import functions as F
 
 from lakenote.functions.paths import plain_paths
 from lakenote.operators import bloom
+from lakenote.operators.skew import hot_keys, split_join
 from lakenote.tables import month
 
-#: Tasks over which the references to one key are spread.
-SALTS = 4
-
 
 def parents(docs: DataFrame) -> DataFrame:
     """(side, key, first_at): every doc_id and every path in plain form with the time it was first indexed.
@@ -44,7 +43,7 @@ def references(links: DataFrame) -> DataFrame:
     return src.unionByName(dst).groupBy("side", "key", "src_id", "dst_path", "found_month").agg(F.min("found_at").alias("found_at"))
 
 
-def orphan_references(links: DataFrame, docs: DataFrame, removed: DataFrame, salts: int = SALTS) -> DataFrame:
+def orphan_references(links: DataFrame, docs: DataFrame, removed: DataFrame) -> DataFrame:
     """(side, found_month, src_id, dst_path, reason) of every reference without a parent at the time it was found.
 
     reason is `late` where the parent was first indexed after found_at, `deleted` where only removed_docs has the key,
@@ -55,18 +54,20 @@ def orphan_references(links: DataFrame, docs: DataFrame, removed: DataFrame, sal
     n_blocks = bloom.blocks_for(2 * docs.count())
     key = F.concat_ws(":", "side", "key")
     filt = bloom.build(owners.select(key.alias("k")), "k", n_blocks)
-    probed = bloom.probe(references(links).withColumn("k", key), "k", filt, n_blocks).drop("k")
-    salted = owners.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    spread = F.pmod(F.xxhash64("src_id", "dst_path", "found_month"), F.lit(salts)).cast("int")
+    refs = references(links)
+    probed = bloom.probe(refs.withColumn("k", key), "k", filt, n_blocks).drop("k")
+    on = ["side", "key"]
+    hot = hot_keys(refs.groupBy(*on).agg(F.count("*").alias("n")), on)
+    cols = ["side", "key", "src_id", "dst_path", "found_month", "found_at"]
     verified = (
-        probed.where("maybe").withColumn("salt", spread)
-        .join(salted.withColumn("known", F.lit(True)), ["side", "key", "salt"], "left")
-        .where("known is null or first_at > found_at")
-        .select("side", "key", "src_id", "dst_path", "found_month", F.col("known").isNotNull().alias("late"))
+        split_join(probed.where("maybe").select(*cols), owners.withColumn("known", F.lit(True)), on, hot, "left")
+        .where("known is null or first_at > found_at").select(*cols, "first_at", "known")
     )
-    proven = probed.where("not maybe").select("side", "key", "src_id", "dst_path", "found_month", F.lit(False).alias("late"))
-    reason = F.when(F.col("late"), "late").when(F.col("gone"), "deleted").otherwise("missing")
-    return verified.unionByName(proven).join(removed_keys(removed), ["side", "key"], "left").select(
+    proven = probed.where("not maybe").select(*cols, F.lit(None).cast("timestamp").alias("first_at"), F.lit(None).cast("boolean").alias("known"))
+    # whether it is late is told after the union, so that both sides need the same columns and share one shuffle
+    late = F.col("known") & (F.col("first_at") > F.col("found_at"))
+    reason = F.when(late, "late").when(F.col("gone"), "deleted").otherwise("missing")
+    return split_join(verified.unionByName(proven), removed_keys(removed), on, hot, "left").select(
         "side", "found_month", F.coalesce("src_id", F.lit(-1).cast("bigint")).alias("src_id"), F.coalesce("dst_path", F.lit("")).alias("dst_path"), reason.alias("reason"),
     )
 

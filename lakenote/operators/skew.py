@@ -22,13 +22,17 @@ def hot_keys(counted: DataFrame, on: list[str], n: str = "n") -> DataFrame:
     return hot.select(*on, F.ceil(F.col(n) / SALT_ROWS).cast("int").alias("salts"))
 
 
-def salted_join(left: DataFrame, counted: DataFrame, on: list[str], n: str = "n", how: str = "inner") -> DataFrame:
-    """left joined with `counted`, which has one row for each key and in `n` how many rows of left have it (n is dropped).
+def split_join(left: DataFrame, right: DataFrame, on: list[str], hot: DataFrame, how: str = "inner") -> DataFrame:
+    """left joined with right, which has few rows for each key; the keys of `hot` (see hot_keys) are split.
 
-    Rows of a hot key are dealt out to several tasks by a hash of the whole row, and the row of counted goes to each. how:
+    Rows of a hot key are dealt out to several tasks by a hash of the whole row, and right's rows of it go to each. how:
     inner, left, left_semi or left_anti. A null key meets nothing, as in any join."""
-    hot = F.broadcast(hot_keys(counted, on, n))  # at most HOT_KEYS rows
-    salts = F.coalesce("salts", F.lit(1))
+    hot, salts = F.broadcast(hot), F.coalesce("salts", F.lit(1))  # at most HOT_KEYS rows
     dealt = left.join(hot, on, "left").withColumn("_salt", F.pmod(F.xxhash64(*left.columns), salts).cast("int")).drop("salts")
-    every = counted.join(hot, on, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("salts", n)
+    every = right.join(hot, on, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("salts")
     return merge_join(dealt, every, [*on, "_salt"], how).drop("_salt")
+
+
+def salted_join(left: DataFrame, counted: DataFrame, on: list[str], n: str = "n", how: str = "inner") -> DataFrame:
+    """split_join with `counted`, which has one row for each key and in `n` how many rows of left have it (n is dropped)."""
+    return split_join(left, counted.drop(n), on, hot_keys(counted, on, n), how)
