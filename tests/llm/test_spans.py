@@ -53,3 +53,27 @@ def test_winnowing_keeps_a_common_window_of_every_common_run():
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id bigint, text string")
     assert spans.shared_pairs(df).collect() == [] and spans.shared_shares(df).collect() == []
+
+
+def test_a_footer_in_thousands_of_texts_makes_no_pairs_for_the_shares(spark):
+    r = random.Random(5)
+    text = lambda n: "".join(r.choice("abcdefgh ijklmn\nöß") for _ in range(n))
+    footer = text(340)
+    df = spark.createDataFrame([(i, text(40 + i % 7) + footer) for i in range(5000)] + [(9000, text(500))], "doc_id bigint, text string")
+    got = {row.doc_id: row.shared for row in spans.shared_shares(df).collect()}
+    assert got.pop(9000) == 0 and len(got) == 5000 and all(n >= 340 for n in got.values())
+
+
+def test_windows_of_many_records_are_compared_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(spans, "BLOCK", 8)
+    r = random.Random(6)
+    text = lambda n: "".join(r.choice("abcdefgh ijklmn\nöß") for _ in range(n))
+    footer = text(340)
+    rows = [(i, text(30) + footer[i % 60 :]) for i in range(90)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert {tuple(p) for p in spans.shared_pairs(df).collect()} == brute(rows, 300)
+
+
+def test_a_text_of_one_character_has_few_places(spark):
+    owner, w, place = spans.placed(["x" * 200000, "y" + "x" * 700])
+    assert len(owner) < 2000 and len(set(w.tolist())) < 80
