@@ -1,7 +1,8 @@
 """Evaluation texts leaking into training text (problem 7).
 
 The items' windows of `span` words are the seeds. Every task runs a rolling hash (Karp-Rabin) over the words of its
-documents and keeps the windows whose hash is a seed; only these few positions are joined with the items. Greedy string
+documents and keeps the windows that a sketch of the seeds may hold; only these few positions are joined with the items,
+windows of many documents split over several tasks. The sketch has one size, however many items there are. Greedy string
 tiling then marks, for each document and item, the longest matches that do not overlap, checked word by word, and the
 share of the item's words that they cover catches passages that were cut or reordered.
 """
@@ -10,6 +11,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pandas as pd
@@ -17,12 +19,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lakenote.tables import words
+from lakenote.llm import sketch
+from lakenote.operators.skew import hot_keys, merge_join, split_join
+from lakenote.tables import checkpoint, words
 
 #: Words of a seed for finding a passage, and of one for the coverage of a reordered passage.
 SPAN, SHORT = 13, 5
-#: Most windows of items that are sent to every task (16 bytes each); with more, the windows are joined by a shuffle.
-MAX_SENT = 2_000_000
+#: Cells of the sketch of the items' windows; at four bits each (32 MB) they are sent to every task.
+WIDTH = 1 << 26
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -38,8 +42,8 @@ def windows(h: np.ndarray, span: int) -> np.ndarray:
     return out
 
 
-def _rolled(span: int, seeds: np.ndarray | None):
-    """Rows (id, hashes) to rows (id, at, window); with seeds only those windows that are seeds."""
+def _rolled(span: int, sent):
+    """Rows (id, hashes) to rows (id, at, window); with a sketch sent only the windows that it holds."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -49,39 +53,34 @@ def _rolled(span: int, seeds: np.ndarray | None):
             owner = np.repeat(np.arange(len(f)), size)
             first = np.repeat(np.cumsum(size) - size, size)
             keep = owner[: len(w)] == owner[span - 1 :] if len(w) else np.zeros(0, bool)
-            if seeds is not None:
-                spot = np.minimum(np.searchsorted(seeds, w), max(0, len(seeds) - 1))
-                keep &= (seeds[spot] == w) if len(seeds) else False
+            if sent is not None:
+                keep &= sketch.levels(w, sent.value, WIDTH) > 0
             p = np.flatnonzero(keep)
             yield pd.DataFrame({"id": f["id"].to_numpy()[owner[p]], "at": (p - first[p]).astype(np.int32), "window": w[p].view(np.int64)})
 
     return run
 
 
-def rolling(texts: DataFrame, span: int, seeds: np.ndarray | None = None) -> DataFrame:
+def rolling(texts: DataFrame, span: int, sent=None) -> DataFrame:
     """(id, at, window) of the texts (id, text); null, empty and shorter texts have no window."""
     schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("at", T.IntegerType()), T.StructField("window", T.LongType())])
     hashed = texts.where("id is not null and text is not null").select("id", F.transform(words(F.col("text")), lambda w: F.xxhash64(w)).alias("h"))
-    return hashed.where(F.size("h") >= span).mapInPandas(_rolled(span, seeds), schema)
+    return hashed.where(F.size("h") >= span).mapInPandas(_rolled(span, sent), schema)
 
 
-def seeded(documents: DataFrame, items: DataFrame, span: int) -> DataFrame:
-    """(doc_id, at, item_id, item_at): every window that a document and an item share by its hash.
+def _twice(f: pd.DataFrame) -> np.ndarray:
+    """The windows of a frame, each counted twice, so that the sketch tells those it met from those it did not."""
+    return np.repeat(f["window"].to_numpy().view(np.uint64), 2)
 
-    The items' windows are counted first. Up to MAX_SENT of them go to every task and drop the windows that no item has
-    before anything is shuffled; with more, all windows are joined by a shuffle. Both give the same rows.
-    """
-    spark = documents.sparkSession
-    i = rolling(items.select(F.col("item_id").alias("id"), "text").distinct(), span).select(F.col("id").alias("item_id"), F.col("at").alias("item_at"), "window")
-    docs = documents.select(F.col("doc_id").alias("id"), "text")
-    n = i.select("window").distinct().count()
-    if n <= MAX_SENT:
-        seeds = np.sort(np.array([r[0] for r in i.select("window").distinct().collect()], np.int64).view(np.uint64))
-        d = rolling(docs, span, seeds)
-        i = F.broadcast(i)
-    else:
-        d = rolling(docs, span)
-    return d.withColumnRenamed("id", "doc_id").join(i, "window").select("doc_id", "at", "item_id", "item_at")
+
+def seeded(documents: DataFrame, items: DataFrame, span: int) -> DataFrame:
+    """(doc_id, at, item_id, item_at): every window that a document and an item share by its hash."""
+    i = checkpoint(rolling(items.select(F.col("item_id").alias("id"), "text").distinct(), span).select(F.col("id").alias("item_id"), F.col("at").alias("item_at"), "window"))
+    sent = documents.sparkSession.sparkContext.broadcast(sketch.counted(i.select("window"), _twice, WIDTH))
+    d = checkpoint(rolling(documents.select(F.col("doc_id").alias("id"), "text"), span, sent).select(F.col("id").alias("doc_id"), "at", "window"))
+    sent.destroy()
+    hot = hot_keys(d.groupBy("window").agg(F.count("*").alias("n")), ["window"])
+    return split_join(d, i, ["window"], hot).select("doc_id", "at", "item_id", "item_at")
 
 
 def tile(doc: list[str], item: list[str], seeds: set[tuple[int, int]], span: int) -> list[tuple[int, int, int]]:
@@ -105,17 +104,19 @@ def tile(doc: list[str], item: list[str], seeds: set[tuple[int, int]], span: int
             if end - p >= span:
                 runs.append((p, p - gap, end - p))
     d_used, i_used = np.zeros(len(doc), bool), np.zeros(len(item), bool)
-    out = []
-    while runs:
-        p, q, n = max(runs, key=lambda r: (r[2], -r[0], -r[1]))
-        runs.remove((p, q, n))
-        taken = np.flatnonzero(d_used[p : p + n] | i_used[q : q + n])
+    out, heap = [], [(-n, p, q) for p, q, n in runs]
+    heapify(heap)
+    while heap:
+        n, p, q = heappop(heap)
+        taken = np.flatnonzero(d_used[p : p - n] | i_used[q : q - n])
         if not len(taken):
-            d_used[p : p + n] = i_used[q : q + n] = True
-            out.append((p, q, n))
+            d_used[p : p - n] = i_used[q : q - n] = True
+            out.append((p, q, -n))
             continue
-        cuts = [-1, *taken.tolist(), n]
-        runs += [(p + a + 1, q + a + 1, b - a - 1) for a, b in zip(cuts, cuts[1:]) if b - a - 1 >= span]
+        cuts = [-1, *taken.tolist(), -n]
+        for a, b in zip(cuts, cuts[1:]):
+            if b - a - 1 >= span:
+                heappush(heap, (a + 1 - b, p + a + 1, q + a + 1))
     return out
 
 
@@ -140,10 +141,12 @@ def leaks(documents: DataFrame, items: DataFrame, span: int = SPAN) -> DataFrame
     """
     schema = T.StructType([T.StructField(c, T.LongType()) for c in ("doc_id", "item_id", "longest", "covered", "item_words", "tiles")])
     pairs = seeded(documents, items, span).groupBy("doc_id", "item_id").agg(F.collect_set(F.struct("at", "item_at")).alias("seeds"))
-    hit = documents.select("doc_id", "text").join(pairs.select("doc_id").distinct(), "doc_id", "left_semi").distinct()
+    pairs = checkpoint(pairs)
+    hit = merge_join(documents.select("doc_id", "text"), pairs.select("doc_id").distinct(), "doc_id", "left_semi").distinct()
     texts = hit.select("doc_id", words(F.col("text")).alias("doc_words"))
     own = items.select("item_id", words(F.col("text")).alias("item_words")).distinct()
-    return pairs.join(texts, "doc_id").join(own, "item_id").select("doc_id", "item_id", "doc_words", "item_words", "seeds").mapInPandas(_tiled(span), schema)
+    many = hot_keys(pairs.groupBy("item_id").agg(F.count("*").alias("n")), ["item_id"])
+    return split_join(merge_join(pairs, texts, "doc_id"), own, ["item_id"], many).select("doc_id", "item_id", "doc_words", "item_words", "seeds").mapInPandas(_tiled(span), schema)
 
 
 def covered(documents: DataFrame, items: DataFrame, share: float = 0.5, span: int = SHORT) -> DataFrame:

@@ -18,7 +18,7 @@ def test_documents_with_thirteen_words_in_a_row(spark, monkeypatch):
     want = {(1, 10), (6, 10), (6, 14), (7, 10), (7, 14), (8, 10)}
     got = leak.leaks(d, i).collect()
     assert sorted((r.doc_id, r.item_id) for r in got) == sorted(want)
-    monkeypatch.setattr(leak, "MAX_SENT", 3)  # the joined way gives the same rows
+    monkeypatch.setattr(leak, "WIDTH", 2)  # a sketch that is full lets all windows pass to the join
     assert sorted(map(tuple, leak.leaks(d, i).collect())) == sorted(map(tuple, got))
 
 
@@ -42,3 +42,13 @@ def test_empty_tables(spark):
     d, i = frames(spark)
     assert leak.leaks(d.limit(0), i).collect() == []
     assert leak.leaks(d, i.limit(0)).collect() == []
+
+
+def test_a_window_of_many_documents_and_items_is_split(spark, monkeypatch):
+    from lakenote.operators import skew
+
+    monkeypatch.setattr(skew, "SALT_ROWS", 5)
+    passage = " ".join(W[:13])
+    d = spark.createDataFrame([(k, f"text {k} {passage}") for k in range(40)], "doc_id bigint, text string")
+    i = spark.createDataFrame([(k, f"{passage} item {k}") for k in range(12)], "item_id bigint, text string")
+    assert sorted((r.doc_id, r.item_id, r.longest) for r in leak.leaks(d, i).collect()) == [(a, b, 13) for a in range(40) for b in range(12)]
