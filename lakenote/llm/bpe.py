@@ -3,7 +3,8 @@
 Spark cuts each text into pre-tokens with a built-in regular expression. Every task then holds its own DuckDB connection
 with the merge table: the distinct words of a batch become token-position rows, and one recursive query joins them with
 the merges and contracts each word's leftmost pair of lowest rank until no pair of any word is in the table. The ids of
-the words are then laid out in the order of each text. Texts are never shuffled.
+the words are then laid out in the order of each text. Texts are never shuffled. Decoding joins the ids with the vocabulary
+and puts the pieces of each text together by an ordered aggregation.
 """
 
 from __future__ import annotations
@@ -61,7 +62,7 @@ class Encoder:
         if (np.diff(new) <= 0).any():
             raise ValueError("the ids of this vocabulary are not in the order of its merges")
         merges = pa.table({"l": pa.array([vocab[a] for a, _ in pairs], pa.int32()), "r": pa.array([vocab[b] for _, b in pairs], pa.int32()), "new": new})
-        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "192MB"})
+        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "192MB", "temp_directory": ""})
         self.con.register("given", merges)
         self.con.execute("create table merges as select * from given")
         self.con.unregister("given")
@@ -82,7 +83,40 @@ class Encoder:
         return np.diff(got.offsets.to_numpy()), got.flatten().to_numpy(zero_copy_only=False).astype(np.int32)
 
 
+DECODE = """
+select r as row, string_agg(v.piece, '' order by t.pos) as text
+from range({rows}) n(r) left join toks t on t.row = n.r left join vocab v on v.id = t.tok group by r order by r
+"""
+
+
+class Decoder:
+    """One task's DuckDB connection with the vocabulary; bytes are written as characters of the same number."""
+
+    def __init__(self, path: str):
+        import duckdb
+
+        with open(path, encoding="utf-8") as f:
+            vocab = json.load(f)["model"]["vocab"]
+        back = {s: chr(b) for b, s in enumerate(byte_symbols())}
+        known = [(i, "".join(back[c] for c in s)) for s, i in vocab.items() if all(c in back for c in s)]
+        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "192MB", "temp_directory": ""})
+        self.con.register("given", pa.table({"id": pa.array([i for i, _ in known], pa.int32()), "piece": [s for _, s in known]}))
+        self.con.execute("create table vocab as select * from given")
+        self.con.unregister("given")
+
+    def decode(self, ids: pa.ListArray) -> list[str]:
+        ends = ids.offsets.to_numpy()
+        size = np.diff(ends)
+        row = np.repeat(np.arange(len(ids), dtype=np.int64), size)
+        pos = np.arange(ends[-1] - ends[0]) - np.repeat(ends[:-1] - ends[0], size)
+        self.con.register("toks", pa.table({"row": row, "pos": pos, "tok": ids.flatten().cast(pa.int32())}))
+        got = self.con.execute(DECODE.format(rows=len(ids))).to_arrow_table().column("text").to_pylist()
+        self.con.unregister("toks")
+        return [(t or "").encode("latin-1").decode("utf-8", errors="replace") for t in got]
+
+
 _held: dict[str, Encoder] = {}
+_open: dict[str, Decoder] = {}
 
 
 def encode_batches(path: str):
@@ -114,3 +148,20 @@ def encode_corpus(documents: DataFrame, tokenizers: str = TOKENIZERS, name: str
     pieces = F.coalesce(F.regexp_extract_all("text", F.lit(PIECES), F.lit(0)), F.array().cast("array<string>"))
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType()))])
     return documents.select(F.col("doc_id").cast("bigint"), pieces.alias("pieces")).mapInArrow(encode_batches(f"{tokenizers}/{name}.json"), schema)
+
+
+def decode_batches(path: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            dec = _open.get(path) or _open.setdefault(path, Decoder(path))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(dec.decode(b.column(1)), pa.string())], names=["doc_id", "text"])
+
+    return run
+
+
+def decode_corpus(encoded: DataFrame, tokenizers: str = TOKENIZERS, name: str = "byte_bpe_50k") -> DataFrame:
+    """(doc_id, text) of (doc_id, ids): the texts that the ids stand for. Null and empty lists, and ids that are not in the
+    vocabulary, give no text; repeated rows give repeated results; extra columns are ignored."""
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType())])
+    ids = F.coalesce(F.col("ids").cast("array<int>"), F.array().cast("array<int>"))
+    return encoded.select(F.col("doc_id").cast("bigint"), ids.alias("ids")).mapInArrow(decode_batches(f"{tokenizers}/{name}.json"), schema)

@@ -64,6 +64,11 @@ def p6_ids(spark, d):
     return bpe.encode_corpus(read(spark, d, "documents"))
 
 
+def p6_decoded(spark, d):
+    """Every document's text as it comes back from its ids, by hash; null texts come back empty."""
+    return bpe.decode_corpus(bpe.encode_corpus(read(spark, d, "documents"))).select("doc_id", F.md5("text").alias("digest"))
+
+
 def p7_found(spark, d):
     return leak.leaks(read(spark, d, "documents"), read(spark, d, "eval_items")).select("doc_id", "item_id")
 
@@ -97,8 +102,8 @@ from chunks where length(text) > 2000
 QUERIES = {
     "p1_found": p1_found, "p1_neighbours": p1_neighbours,
     "p2_found": p2_found, "p2_members": p2_members, "p2_classes": p2_classes, "p3_found": p3_found, "p3_pieces": p3_pieces, "p3_whole": p3_whole,
-    "p4_found": p4_found, "p4_pages": p4_pages, "p6_ids": p6_ids,
+    "p4_found": p4_found, "p4_pages": p4_pages, "p6_ids": p6_ids, "p6_decoded": p6_decoded,
     "p7_found": p7_found, "p7_coverage": p7_coverage, "p8_found": p8_found, "p8_shares": p8_shares,
 }
 P3_WHOLE_SQL = "select distinct chunk_id, true as whole, true as within, true as linked from chunks where length(text) > 2000"
-SQL = {"p3_found": P3_SQL, "p3_whole": P3_WHOLE_SQL, "p7_found": P7_SQL}
+SQL = {"p3_found": P3_SQL, "p3_whole": P3_WHOLE_SQL, "p6_decoded": "select doc_id, md5(coalesce(text, '')) as digest from documents", "p7_found": P7_SQL}
