@@ -138,6 +138,8 @@ def _occurrences(sent, width: int, length: int, gram: int):
             for at in _passes(texts, length):
                 owner, w, place = placed([texts[i] for i in at], length, gram)
                 ok = sketch.levels(w, counts, width) > 0
+                if not ok.any():
+                    continue
                 who, place = np.array(at)[owner[ok]], place[ok]
                 lead = np.minimum(place, side)
                 around = [texts[i][p - n : p + gram + side] for i, p, n in zip(who, place, lead)]
