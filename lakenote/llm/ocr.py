@@ -3,8 +3,10 @@
 Running headers and page numbers are found by their place on the page: lines at either end whose folded form stands on
 several pages of a document, and numbers that run with the pages. A character editor, an averaged perceptron trained here
 on a bounded sample of the corpus's own misread words, proposes keep, replace, delete and insert operations for each word
-that is not known, and a second one decides how lines broken inside a word are joined. What they propose is checked
-against the known words; the rest of the text stays as it is.
+that is not known; a word is read once, however often it stands in the corpus, and its pages get the reading by a join. A
+second perceptron decides how lines broken inside a word are joined: it is trained on breaks whose word, whole or with a
+hyphen, stands unbroken elsewhere in the corpus. What both propose is checked against the known words; the rest of the text
+stays as it is.
 """
 
 from __future__ import annotations
@@ -19,12 +21,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lakenote.operators.skew import hot_keys, merge_join, split_join
 from lakenote.tables import checkpoint
 
 #: Word types and line breaks the editors are trained on at most, rounds of training, and candidates of a word.
 SAMPLE, ROUNDS, BEAM = 6000, 4, 16
-#: Pages on which a header stands at least, lines at either end, and the longest line of a scanned page.
-PAGES, EDGE, WIDEST = 3, 2, 110
+#: Pages on which a header stands at least, lines at either end, and the length of a wide line; a document of which more than
+#: this share of the lines is wide was not scanned.
+PAGES, EDGE, WIDE, WIDE_SHARE = 3, 2, 110, 0.25
 #: Most known words that are sent to every task; more are refused, not dropped.
 MAX_WORDS = 2_000_000
 BREAKS = "-¬­‐"
@@ -160,18 +164,12 @@ class Editor:
 
     def __init__(self, known: set[str], chars: Perceptron, joins: Perceptron):
         self.known, self.seen, self.chars, self.joins = known, trigrams(known), chars, joins
-        self.done: dict[str, str | None] = {}
+        self.longest = max(map(len, known), default=0)
 
     def fix(self, word: str) -> str | None:
-        """The best-scored reading of an unknown word that is a known word, or None."""
-        if word not in self.done:
-            if len(self.done) > 200_000:
-                self.done.clear()
-            self.done[word] = self._fix(word)
-        return self.done[word]
-
-    def _fix(self, word: str) -> str | None:
-        if not 2 <= len(word) <= 40:
+        """The best-scored reading of an unknown word that is a known word, or None. A single character has no reading, nor
+        has a word of more than twice the length of any known one."""
+        if not 2 <= len(word) <= 2 * self.longest:
             return None
         beam: list[tuple[float, str]] = [(0.0, "")]
         for i, c in enumerate(word):
@@ -189,7 +187,7 @@ class Editor:
     def join(self, left: str, right: str) -> str | None:
         """A known word broken after `left`, as it is written whole, or None where the line break stays a space."""
         s = self.joins.scores(join_features(left, right, self.known))
-        for label in sorted(s, key=lambda x: -s[x]):
+        for label in sorted(("join", "keep", "space"), key=lambda x: -s.get(x, 0.0)):
             if label == "space":
                 return None
             whole = left + right if label == "join" else f"{left}-{right}"
@@ -204,8 +202,13 @@ def join_features(left: str, right: str, known: set[str]) -> list[str]:
     return ["", f"ab{a}{b}", f"abcd{a}{b}{c}{d}", f"a{a}{left[-2:]}", f"b{b}{left}", f"d{d}{a}{b}", f"r{a}{right[:2]}"]
 
 
-def joined_label(left: str, right: str, known: set[str]) -> str:
-    return "join" if left + right in known else "keep" if f"{left}-{right}" in known else "space"
+def joined_label(left: str, right: str, times: dict[str, int]) -> str | None:
+    """How a break is to be read by what stands unbroken in the corpus, and how often: as one word, with its hyphen, or as two
+    words. None where the corpus doesn't tell."""
+    one, two = times.get(left + right, 0), times.get(f"{left}-{right}", 0)
+    if one or two:
+        return "join" if one >= two else "keep"
+    return "space" if left in times and right in times else None
 
 
 def core(tok: str) -> str:
@@ -237,42 +240,79 @@ def unknown(tok: str, known: set[str]) -> str | None:
     return w
 
 
-def _sampled(known: set[str]):
+def _found(known):
+    """Pages (chunk_id, text, drop) to rows (kind, a, b, n, chunk_id): `break` with the parts of a broken word, `word` with an
+    unknown word of the page, and `seen` with a word that stands unbroken and how often, summed up over the frame."""
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        words = known.value
         for f in frames:
-            out: dict[tuple[str, str, str], int] = {}
-            for text in f["text"]:
-                lines = body(text, set())
+            rows: set[tuple[str, str, str, int | None]] = set()
+            times: dict[str, int] = defaultdict(int)
+            for chunk, text, drop in f[["chunk_id", "text", "drop"]].itertuples(index=False):
+                lines = body(text, set() if drop is None else set(drop))
                 cut = set()
                 for k, j, left, right in broken(lines):
-                    out["break", left, right] = 1
+                    rows.add(("break", left, right, None))
                     cut |= {(k, -1), (j, 0)}
                 for k, (_, line) in enumerate(lines):
                     toks = line.split()
                     for i, t in enumerate(toks):
-                        if (k, i) not in cut and (k, i - len(toks)) not in cut and (w := unknown(t, known)) and len(w) > 3:
-                            out["word", w, ""] = 1
-            yield pd.DataFrame(list(out), columns=["kind", "a", "b"])
+                        if (k, i) in cut or (k, i - len(toks)) in cut:
+                            continue
+                        times[core(t)] += 1
+                        if w := unknown(t, words):
+                            rows.add(("word", w, "", chunk))
+                            rows |= {("word", x, "", chunk) for x in w.split("-") if len(x) > 2 and x not in words and "-" in w}
+            out = [(kind, a, b, 1, chunk) for kind, a, b, chunk in rows] + [("seen", w, "", n, None) for w, n in times.items() if w]
+            if out:
+                yield pd.DataFrame(out, columns=["kind", "a", "b", "n", "chunk_id"]).astype({"chunk_id": "Int64"})
+
+    return run
+
+
+def _cuts(least: int):
+    """Words to rows (word, head, tail, at, part): each way of cutting `least` to two characters out."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows = [(w, w[:i], w[i + n :], w[i : i + n]) for w in f["word"] for n in range(least, 3) for i in range(len(w) - n + 1)]
+            if rows:
+                yield pd.DataFrame(rows, columns=["word", "head", "tail", "part"])
 
     return run
 
 
-def train(pages: DataFrame, known: set[str], sample: int = SAMPLE) -> Editor:
-    """Editors trained on at most `sample` distinct unknown words and as many line breaks of the pages, chosen by hash, and
-    on the known words, of which every character is kept."""
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in ("kind", "a", "b")])
-    seen = checkpoint(pages.select("text").mapInPandas(_sampled(known), schema).distinct())
-    pick = lambda kind: sorted((r["a"], r["b"]) for r in seen.where(F.col("kind") == kind).orderBy(F.xxhash64("a", "b")).limit(sample).collect())
-    edits, tri = single_edits(known), trigrams(known)
+def near_known(sample: DataFrame, words: DataFrame) -> dict[tuple[str, str], set[str]]:
+    """single_edits of the known words as far as the words of the sample can meet them: found by a join, so that no table of
+    all edits is ever made on the driver. sample and words: (word)."""
+    mine = sample.mapInPandas(_cuts(1), "word string, head string, tail string, part string").select("head", "tail").distinct()
+    whole = words.mapInPandas(_cuts(0), "word string, head string, tail string, part string")
+    out: dict[tuple[str, str], set[str]] = defaultdict(set)
+    for r in merge_join(whole, mine, ["head", "tail"]).select("head", "tail", "part").distinct().toLocalIterator():
+        out[r["head"], r["tail"]].add(r["part"])
+    return out
+
+
+def train(found: DataFrame, known: set[str], words: DataFrame, sample: int = SAMPLE) -> Editor:
+    """Editors trained on at most `sample` distinct unknown words, as many line breaks and as many known words, of which every
+    character is kept, each chosen by hash. found: see _found; words: (word), the known words."""
+    tri = trigrams(known)
+    chosen = found.where("kind = 'word'").select(F.col("a").alias("word")).distinct().orderBy(F.xxhash64("word"), "word").limit(sample)
+    chosen = checkpoint(chosen)
+    edits = near_known(chosen, words)
     rows = []
-    for w, _ in pick("word"):
+    for w in sorted(r["word"] for r in chosen.collect()):
         if labels := labelled(w, edits, known):
             rows += [(char_features(w, i, tri), x) for i, x in enumerate(labels)]
-    for w in sorted(known)[:sample]:
-        rows += [(char_features(w, i, tri), KEEP) for i in range(len(w))]
-    breaks = [(join_features(a, b, known), joined_label(a, b, known)) for a, b in pick("break")]
-    breaks = breaks or [([""], "space")]
-    return Editor(known, Perceptron().train(_mixed(rows)), Perceptron().train(_mixed(breaks)))
+    for r in words.orderBy(F.xxhash64("word"), "word").limit(sample).collect():
+        rows += [(char_features(r["word"], i, tri), KEEP) for i in range(len(r["word"]))]
+    breaks = checkpoint(found.where("kind = 'break'").select(F.col("a").alias("l"), F.col("b").alias("r")).distinct().orderBy(F.xxhash64("l", "r"), "l", "r").limit(sample))
+    forms = breaks.select(F.explode(F.array("l", "r", F.concat("l", "r"), F.concat("l", F.lit("-"), "r"))).alias("a")).distinct()
+    seen = found.where("kind = 'seen'").groupBy("a").agg(F.sum("n").alias("n"))
+    times = {r["a"]: r["n"] for r in merge_join(seen, forms, "a").collect()}  # four forms for each of at most `sample` breaks
+    taught = [(join_features(a, b, known), label) for a, b in sorted(map(tuple, breaks.collect())) if (label := joined_label(a, b, times))]
+    return Editor(known, Perceptron().train(_mixed(rows)), Perceptron().train(_mixed(taught or [([""], "space")])))
 
 
 def _mixed(rows: list) -> list:
@@ -280,8 +320,9 @@ def _mixed(rows: list) -> list:
     return [rows[i] for i in sorted(range(len(rows)), key=lambda i: (i * 2654435761) % (1 << 32))]
 
 
-def repair(text: str, drop: set[int], ed: Editor) -> tuple[str, list[tuple[str, str]]]:
-    """(text, cases): the page as paragraphs of one line each without the dropped lines, and the words that were mended."""
+def repair(text: str, drop: set[int], ed: Editor, read: dict[str, str]) -> tuple[str, list[tuple[str, str]]]:
+    """(text, cases): the page as paragraphs of one line each without the dropped lines, and the words that were mended.
+    read has the readings of the page's unknown words."""
     lines = body(text, drop)
     cases: list[tuple[str, str]] = []
     joins = {k: (j, whole) for k, j, left, right in broken(lines) if (whole := ed.join(left, right))}
@@ -312,10 +353,10 @@ def repair(text: str, drop: set[int], ed: Editor) -> tuple[str, list[tuple[str,
                 continue
             w = unknown(t, ed.known)
             if w:
-                fixed = ed.fix(w)
+                fixed = read.get(w)
                 if fixed is None and "-" in w:
                     parts = w.split("-")
-                    mended = [x if x in ed.known or len(x) < 3 else ed.fix(x) for x in parts]
+                    mended = [x if x in ed.known or len(x) < 3 else read.get(x) for x in parts]
                     for x, y in zip(parts, mended):
                         if y and y != x:
                             cases.append(("glyph", y))
@@ -340,38 +381,41 @@ def _recase(tok: str, old: str, new: str) -> str:
 
 
 def scanned_pages(chunks: DataFrame) -> DataFrame:
-    """(doc_id, chunk_id, page, text) of the pages of scanned documents: those with an anchor `page-N`, whose lines are
-    never wide, and of which some line ends inside a word or some word holds a sign among letters."""
+    """(doc_id, chunk_id, page, text) of the pages of scanned documents: those with an anchor `page-N`, most of whose lines
+    are not wide, and of which some line ends inside a word or some word holds a sign among letters."""
     page = F.regexp_extract("anchor", r"^page-(\d{1,9})$", 1)
     p = chunks.where(F.col("anchor").rlike(r"^page-\d{1,9}$") & (F.length(F.trim("text")) > 0) & F.col("chunk_id").isNotNull()).select("doc_id", "chunk_id", page.cast("int").alias("page"), "text").distinct()
     marks = F.regexp_count("text", F.lit(rf"\p{{L}}[{BREAKS}][ \t]*[\r\n]|\p{{L}}[0156|+]\p{{L}}"))
-    wide = F.col("text").rlike(rf"[^\r\n]{{{WIDEST + 1}}}")
-    docs = p.groupBy("doc_id").agg(F.sum(marks).alias("marks"), F.max(wide).alias("wide")).where("marks > 0 and not wide").select("doc_id")
-    return p.join(docs, "doc_id", "left_semi")
+    wide, lines = F.regexp_count("text", F.lit(rf"[^\r\n]{{{WIDE + 1}}}[^\r\n]*")), F.regexp_count("text", F.lit(r"[^\r\n]*\S[^\r\n]*"))
+    docs = p.groupBy("doc_id").agg(F.sum(marks).alias("marks"), F.sum(wide).alias("wide"), F.sum(lines).alias("lines"))
+    docs = docs.where((F.col("marks") > 0) & (F.col("wide") <= WIDE_SHARE * F.col("lines"))).select(F.col("doc_id").alias("of"))
+    return merge_join(p, docs, F.col("doc_id").eqNullSafe(F.col("of")), "left_semi")
 
 
 def _edges(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for f in frames:
         rows = []
-        for doc, chunk, page, text in f[["doc_id", "chunk_id", "page", "text"]].itertuples(index=False):
+        for doc, chunk, page, text in f[["doc", "chunk_id", "page", "text"]].itertuples(index=False):
             full = [(n, line.strip()) for n, line in enumerate(LINE.split(text)) if line.strip()]
             for n, line in dict(full[:EDGE] + full[-EDGE:]).items():
                 num = page_number(line)
                 rows.append((doc, chunk, page, n, line, None if num is not None else line_key(line), num))
-        yield pd.DataFrame(rows, columns=["doc_id", "chunk_id", "page", "line", "raw", "key", "num"]).astype({"num": "Int64"})
+        yield pd.DataFrame(rows, columns=["doc", "chunk_id", "page", "line", "raw", "key", "num"]).astype({"num": "Int64"})
 
 
 def furniture(pages: DataFrame) -> DataFrame:
     """(chunk_id, line, raw, kind): running headers and page numbers among the first and last lines of the pages."""
-    fields = [("doc_id", T.LongType()), ("chunk_id", T.LongType()), ("page", T.IntegerType()), ("line", T.IntegerType()), ("raw", T.StringType()), ("key", T.StringType()), ("num", T.LongType())]
-    edges = checkpoint(pages.mapInPandas(_edges, T.StructType([T.StructField(c, t) for c, t in fields])))
+    fields = [("doc", T.StringType()), ("chunk_id", T.LongType()), ("page", T.IntegerType()), ("line", T.IntegerType()), ("raw", T.StringType()), ("key", T.StringType()), ("num", T.LongType())]
+    # pages without a doc_id are one document
+    named = pages.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("doc"), "chunk_id", "page", "text")
+    edges = checkpoint(named.mapInPandas(_edges, T.StructType([T.StructField(c, t) for c, t in fields])))
     named = edges.where("length(key) > 0")
-    heads = named.groupBy("doc_id", "key").agg(F.countDistinct("page").alias("n")).where(F.col("n") >= PAGES)
+    heads = named.groupBy("doc", "key").agg(F.countDistinct("page").alias("n")).where(F.col("n") >= PAGES)
     counted = edges.where("num is not null").withColumn("off", F.col("num") - F.col("page"))
-    runs = counted.groupBy("doc_id", "off").agg(F.countDistinct("page").alias("n")).where("n > 1")
+    runs = counted.groupBy("doc", "off").agg(F.countDistinct("page").alias("n")).where("n > 1")
     return (
-        named.join(heads, ["doc_id", "key"], "left_semi").select("chunk_id", "line", "raw", F.lit("header").alias("kind"))
-        .unionByName(counted.join(runs, ["doc_id", "off"], "left_semi").select("chunk_id", "line", "raw", F.lit("page_no").alias("kind")))
+        named.join(heads, ["doc", "key"], "left_semi").select("chunk_id", "line", "raw", F.lit("header").alias("kind"))
+        .unionByName(counted.join(runs, ["doc", "off"], "left_semi").select("chunk_id", "line", "raw", F.lit("page_no").alias("kind")))
     )
 
 
@@ -380,24 +424,43 @@ def _repaired(sent, full: bool):
         ed = sent.value
         for f in frames:
             rows = []
-            for chunk, text, drop in f[["chunk_id", "text", "drop"]].itertuples(index=False):
-                whole, cases = repair(text, set() if drop is None else set(drop), ed)
+            for chunk, text, drop, read in f[["chunk_id", "text", "drop", "read"]].itertuples(index=False):
+                whole, cases = repair(text, set() if drop is None else set(drop), ed, {} if read is None else {r["word"]: r["fixed"] for r in read})
                 rows += [(chunk, whole)] if full else [(chunk, k, w) for k, w in cases]
             yield pd.DataFrame(rows, columns=["chunk_id", "text"] if full else ["chunk_id", "kind", "fixed"])
 
     return run
 
 
+def _readings(sent):
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            out = pd.DataFrame({"word": f["word"], "fixed": [sent.value.fix(w) for w in f["word"]]})
+            if out["fixed"].notna().any():
+                yield out[out["fixed"].notna()]
+
+    return run
+
+
 def _prepared(chunks: DataFrame, words: DataFrame):
+    """(pages with their lines to drop and the readings of their unknown words, furniture, the editors)."""
+    sc = chunks.sparkSession.sparkContext
     pages = checkpoint(scanned_pages(chunks))
-    given = words.select("word").where("word is not null").distinct().limit(MAX_WORDS + 1).collect()
+    words = words.where("word is not null").select(F.lower("word").alias("word")).distinct()
+    given = words.limit(MAX_WORDS + 1).collect()
     if len(given) > MAX_WORDS:
         raise ValueError(f"more than {MAX_WORDS} known words; raise ocr.MAX_WORDS if the tasks have memory for them")
-    known = {r[0].lower() for r in given}
+    known = {r[0] for r in given}
     lines = checkpoint(furniture(pages))
-    sent = chunks.sparkSession.sparkContext.broadcast(train(pages, known))
     drops = lines.groupBy("chunk_id").agg(F.collect_set("line").alias("drop"))
-    return pages.join(drops, "chunk_id", "left"), lines, sent
+    pages = checkpoint(merge_join(pages, drops, "chunk_id", "left"))
+    found = checkpoint(pages.mapInPandas(_found(sc.broadcast(known)), "kind string, a string, b string, n bigint, chunk_id bigint"))
+    sent = sc.broadcast(train(found, known, words))
+    odd = found.where("kind = 'word'").select(F.col("a").alias("word"), "chunk_id").distinct()
+    times = odd.groupBy("word").agg(F.count("*").alias("n"))
+    readings = times.select("word").repartition(F.col("word")).mapInPandas(_readings(sent), "word string, fixed string")
+    by_page = split_join(odd, readings, ["word"], hot_keys(times, ["word"])).groupBy("chunk_id").agg(F.collect_list(F.struct("word", "fixed")).alias("read"))
+    return merge_join(pages, by_page, "chunk_id", "left"), lines, sent
 
 
 def repaired_pages(chunks: DataFrame, words: DataFrame) -> DataFrame:

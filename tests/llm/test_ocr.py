@@ -50,3 +50,25 @@ def test_empty_tables(spark):
     chunks, words = frames(spark)
     assert ocr.repairs(chunks.limit(0), words).collect() == []
     assert {r.kind for r in ocr.repairs(chunks, words.limit(0)).collect()} == {"header", "page_no"}
+
+
+def test_one_wide_line_does_not_drop_a_document_and_null_ids_are_one(spark):
+    rows = [(None, 10 + n, f"page-{n + 1}", t + ("\nhttps://example.org/" + "x" * 200 if n == 1 else "")) for n, t in enumerate(PAGES)]
+    chunks = spark.createDataFrame(rows, "doc_id bigint, chunk_id bigint, anchor string, text string")
+    words = spark.createDataFrame([(w,) for w in KNOWN], "word string")
+    got = {tuple(r) for r in ocr.repairs(chunks, words).collect()}
+    assert {x[0] for x in got if x[1] == "hyphen"} == {10, 11, 12} and (10, "header", "Annual Report Fulbar") in got
+
+
+def test_edits_found_by_the_join_are_those_of_all_known_words(spark):
+    sample = ["rneeting", "gardcn", "clescribed", "xyz", "wimter"]
+    words = spark.createDataFrame([(w,) for w in KNOWN], "word string").distinct()
+    met = ocr.near_known(spark.createDataFrame([(w,) for w in sample], "word string"), words)
+    whole = ocr.single_edits(set(KNOWN))
+    assert all(ocr.labelled(w, met, set(KNOWN)) == ocr.labelled(w, whole, set(KNOWN)) for w in sample)
+    assert len(met) < len(whole) and ocr.labelled("gardcn", met, set(KNOWN)) == ["=", "=", "=", "=", "e", "="]
+
+
+def test_breaks_are_labelled_by_what_stands_unbroken():
+    times = {"garden": 3, "read-only": 2, "readonly": 1, "old": 5, "tree": 4}
+    assert [ocr.joined_label(*x, times) for x in (("gar", "den"), ("read", "only"), ("old", "tree"), ("qu", "zz"))] == ["join", "keep", "space", None]
