@@ -35,12 +35,16 @@ def removed_keys(removed: DataFrame) -> DataFrame:
     return ids.unionByName(paths).distinct().withColumn("gone", F.lit(True))
 
 
-def references(links: DataFrame) -> DataFrame:
-    """(side, key, src_id, dst_path, found_month, found_at): each end of a link, once per month with its earliest time."""
+def ends(links: DataFrame) -> DataFrame:
+    """(side, key, src_id, dst_path, found_month, found_at): each end of a link that is not null."""
     base = links.select("src_id", "dst_path", "found_at", month(F.col("found_at")).alias("found_month"))
     src = base.where("src_id is not null").withColumns({"side": F.lit("src"), "key": F.col("src_id").cast("string")})
-    dst = base.where("dst_path is not null").withColumns({"side": F.lit("dst"), "key": plain_paths("dst_path")})
-    return src.unionByName(dst).groupBy("side", "key", "src_id", "dst_path", "found_month").agg(F.min("found_at").alias("found_at"))
+    return src.unionByName(base.where("dst_path is not null").withColumns({"side": F.lit("dst"), "key": plain_paths("dst_path")}))
+
+
+def references(links: DataFrame) -> DataFrame:
+    """The ends of the links, once per month with their earliest time."""
+    return ends(links).groupBy("side", "key", "src_id", "dst_path", "found_month").agg(F.min("found_at").alias("found_at"))
 
 
 def orphan_references(links: DataFrame, docs: DataFrame, removed: DataFrame) -> DataFrame:
@@ -57,7 +61,7 @@ def orphan_references(links: DataFrame, docs: DataFrame, removed: DataFrame) ->
     refs = references(links)
     probed = bloom.probe(refs.withColumn("k", key), "k", filt, n_blocks).drop("k")
     on = ["side", "key"]
-    hot = hot_keys(refs.groupBy(*on).agg(F.count("*").alias("n")), on)
+    hot = hot_keys(ends(links).groupBy(*on).agg(F.count("*").alias("n")), on)  # repeated rows count too: no key is split too little
     cols = ["side", "key", "src_id", "dst_path", "found_month", "found_at"]
     verified = (
         split_join(probed.where("maybe").select(*cols), owners.withColumn("known", F.lit(True)), on, hot, "left")
