@@ -48,6 +48,7 @@ def slugify(s: Column) -> Column:
     return F.regexp_replace(bare, r"(?U)\s+", "-")
 
 
+# The forms of images in notes.
 IMAGE = r"!\[([^\]]*)\]\(([^)\s]+)\)"
 IMAGE_SIZE = r"\s*\|\s*\d+(?:\s*x\s*\d+)?\s*$"
 HTML_IMAGE = r"(?i)<img\b[^>]*?\bsrc\s*=\s*[\"']([^\"']+)[\"'][^>]*>"
@@ -65,7 +66,18 @@ def image_refs(md: Column) -> Column:
     """array<struct<url, alt>> of the Markdown images with a web or application address."""
     pairs = F.arrays_zip(F.regexp_extract_all(md, F.lit(IMAGE), F.lit(2)).alias("url"), F.regexp_extract_all(md, F.lit(IMAGE), F.lit(1)).alias("alt"))
     clean = F.transform(pairs, lambda p: F.struct(p["url"].alias("url"), F.trim(F.regexp_replace(p["alt"], IMAGE_SIZE, "")).alias("alt")))
-    return F.filter(clean, lambda p: p["url"].startswith("/api/") | p["url"].startswith("http://") | p["url"].startswith("https://"))
+    return F.filter(clean, _shown)
+
+
+def _shown(image: Column) -> Column:
+    return image["url"].startswith("/api/") | image["url"].startswith("http://") | image["url"].startswith("https://")
+
+
+def html_images(md: Column) -> Column:
+    """array<struct<url, alt>> of the HTML images with a web or application address; without an alt it is empty."""
+    found = F.regexp_extract_all(md, F.lit(HTML_IMAGE), F.lit(0))
+    alt = r"(?i)\balt\s*=\s*[\"']([^\"']*)[\"']"
+    return F.filter(F.transform(found, lambda i: F.struct(F.regexp_extract(i, HTML_IMAGE, 1).alias("url"), F.regexp_extract(i, alt, 1).alias("alt"))), _shown)
 
 
 def word_count(s: Column) -> Column:
@@ -79,6 +91,7 @@ def excerpt(s: Column, n: int) -> Column:
     return F.concat(F.array_join(F.slice(w, 1, n), " "), F.when(F.size(w) > n, " …").otherwise(""))
 
 
+# Fixed value: what stands in a text in place of an image.
 IMAGE_MARK = r"\s*\[image(?: (?:'[^']*'|\"[^\"]*\"))?(?: text in image)?: [^\]]*\]"
 
 

@@ -1,60 +1,46 @@
-"""Notes to sections, passages, links and checks: each note is one row, its text is read by small helpers in Arrow batches,
-and everything that needs other notes (name lookup, link targets) is a join."""
+"""Notes to sections, passages, links and checks. The inside of a note is read by Columns (functions.markdown), lines and
+links become rows, headings and lookups are windows and joins, and a rewritten note is put together from its pieces again."""
 
 from __future__ import annotations
 
-import posixpath
-from collections.abc import Callable, Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from lakenote.functions import markdown as M
-from lakenote.sources.files import KINDS, folder, stem
-
-S, I, L = T.StringType(), T.IntegerType(), T.LongType()
-IMAGE = T.ArrayType(T.StructType([T.StructField("url", S), T.StructField("alt", S)]))
-
-
-def per_note(df: DataFrame, fields: list[tuple[str, T.DataType]], fn: Callable[..., list[tuple]]) -> DataFrame:
-    """Rows (…) of a note become the rows that fn gives for its columns; a batch of notes at a time."""
-    names = [c for c, _ in fields]
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            yield pd.DataFrame([row for note in f.itertuples(index=False, name=None) for row in fn(*note)], columns=names)
-
-    return df.mapInPandas(run, T.StructType([T.StructField(c, t) for c, t in fields]))
+from lakenote.functions import text as X
+from lakenote.operators.skew import hot_keys, merge_join, split_join
+from lakenote.sources.files import KINDS, extension, folder, stem
 
 
 def read_notes(notes: DataFrame) -> DataFrame:
     """(path, title, tags, body) of Markdown notes (path, content): null contents give no row."""
-
-    def one(path: str, content: str) -> list[tuple]:
-        meta, body = M.front_matter(content)
-        return [(path, M.note_title(meta, body, posixpath.splitext(posixpath.basename(path))[0]), M.note_tags(meta, body), body)]
-
-    return per_note(notes.where("content is not null").select("path", "content"), [("path", S), ("title", S), ("tags", T.ArrayType(S)), ("body", S)], one)
+    n = notes.where("content is not null").select("path", M.front_matter(F.col("content")).alias("meta"), M.body(F.col("content")).alias("body"))
+    return n.select("path", M.title(F.col("meta"), F.col("body"), stem(F.col("path"))).alias("title"), M.tags(F.col("meta"), F.col("body")).alias("tags"), "body")
 
 
 def sections(notes: DataFrame) -> DataFrame:
-    """(id, ord, heading, level, text) of the sections of notes (id, title, body)."""
-
-    def one(i: int, title: str | None, body: str) -> list[tuple]:
-        return [(i, n, " > ".join(h), len(h), t) for n, (h, t) in enumerate(M.sections(body, title or ""))]
-
-    return per_note(notes.where("body is not null").select("id", "title", "body"), [("id", L), ("ord", I), ("heading", S), ("level", I), ("text", S)], one)
+    """(id, ord, heading, level, text) of the sections of notes (id, title, body): a `#` in a fence is no heading. Text before
+    the first heading stands under the title and is left out if blank; other empty sections stay. Null bodies give no row."""
+    own = notes.where("body is not null")
+    lines = own.select("id", F.posexplode(F.split("body", r"\R")).alias("n", "line"))
+    first = own.select("id", F.lit(-1).alias("n"), F.lit(None).cast("string").alias("line"), F.array(F.coalesce("title", F.lit(""))).alias("trail"))
+    heads = trails(lines).select("id", "n", "trail")
+    marked = merge_join(lines, heads, ["id", "n"], "left").select("id", "n", "line", "trail").unionByName(first)
+    w = Window.partitionBy("id").orderBy("n")
+    part = marked.withColumn("ord", F.sum(F.col("trail").isNotNull().cast("int")).over(w) - 1)
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("trail").isNull(), F.struct("n", "line")))), lambda x: x["line"]), "\n")
+    whole = part.groupBy("id", "ord").agg(F.first("trail", ignorenulls=True).alias("trail"), M.strip(text).alias("text"))
+    shown = whole.where("ord > 0 or text <> ''")
+    return shown.select("id", (F.row_number().over(Window.partitionBy("id").orderBy("ord")) - 1).alias("ord"), F.array_join("trail", " > ").alias("heading"), F.size("trail").alias("level"), "text", "trail")
 
 
-def headings(lines: DataFrame) -> DataFrame:
-    """(id, n, level, heading, crumb) of the heading lines of (id, n, line), with windows only: a fence line toggles code,
-    and a heading of level L holds until one of a smaller or the same level."""
+def trails(lines: DataFrame) -> DataFrame:
+    """(id, n, level, heading, trail) of the heading lines of (id, n, line), with windows only: a fence line toggles code, and
+    a heading of level L holds until one of a smaller or the same level; trail has those that hold, from the top."""
     w = Window.partitionBy("id").orderBy("n")
     fence = F.substring(F.ltrim("line"), 1, 3).isin("```", "~~~").cast("int")
     l = lines.withColumn("fences", F.sum(fence).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    m = r"^(#{1,6})\s+(.+?)\s*#*\s*$"
+    m = r"(?U)^(#{1,6})\s+(.+?)\s*#*\s*$"
     h = l.where((F.col("fences") % 2 == 0) & F.col("line").rlike(m) & ~F.substring(F.ltrim("line"), 1, 3).isin("```", "~~~"))
     h = h.select("id", "n", F.length(F.regexp_extract("line", m, 1)).alias("level"), F.trim(F.regexp_extract("line", m, 2)).alias("heading"))
     before = w.rowsBetween(Window.unboundedPreceding, 0)
@@ -65,16 +51,22 @@ def headings(lines: DataFrame) -> DataFrame:
         above = [F.coalesce(F.col(f"h{j}.n"), F.lit(-1)) for j in range(1, k)]
         fresh = F.col(f"h{k}.n") > (F.greatest(*above) if len(above) > 1 else above[0] if above else F.lit(-1))
         keep.append(F.when((F.col("level") >= k) & fresh, F.col(f"h{k}.heading")))
-    return h.select("id", "n", "level", "heading", F.concat_ws(" > ", *keep).alias("crumb"))
+    return h.select("id", "n", "level", "heading", F.filter(F.array(*keep), lambda x: x.isNotNull()).alias("trail"))
 
 
-def chunk_notes(notes: DataFrame) -> DataFrame:
-    """(id, ord, heading, anchor, text, images) of the passages of notes (id, title, body); null bodies give no row."""
+def headings(lines: DataFrame) -> DataFrame:
+    """(id, n, level, heading, crumb) of the heading lines of (id, n, line)."""
+    return trails(lines).select("id", "n", "level", "heading", F.array_join("trail", " > ").alias("crumb"))
 
-    def one(i: int, title: str | None, body: str) -> list[tuple]:
-        return [(i, n, *c) for n, c in enumerate(M.passages(body, title or ""))]
 
-    return per_note(notes.where("body is not null").select("id", "title", "body"), [("id", L), ("ord", I), ("heading", S), ("anchor", S), ("text", S), ("images", IMAGE)], one)
+def chunk_notes(notes: DataFrame) -> DataFrame:
+    """(id, ord, heading, anchor, text, images) of the passages of notes (id, title, body); null bodies give no row."""
+    p = sections(notes).select("id", F.col("ord").alias("part"), "trail", F.posexplode(M.packed(M.paragraphs(F.col("text")))).alias("k", "md"))
+    last = F.element_at("trail", -1)
+    given = F.regexp_extract(last, M.ANCHOR, 1)
+    heading = F.array_join(F.transform("trail", lambda h: F.regexp_replace(h, M.ANCHOR, "")), " > ")
+    place = F.row_number().over(Window.partitionBy("id").orderBy("part", "k")) - 1
+    return p.select("id", place.alias("ord"), heading.alias("heading"), F.when(given != "", given).otherwise(X.slugify(last)).alias("anchor"), X.plain_markdown(F.col("md")).alias("text"), M.images(F.col("md")).alias("images"))
 
 
 def name_table(files: DataFrame) -> DataFrame:
@@ -86,21 +78,29 @@ def name_table(files: DataFrame) -> DataFrame:
     return f.select(F.concat(F.lit("path:"), "path").alias("key"), F.col("path").alias("found")).unionByName(short)
 
 
-def link_targets(notes: DataFrame) -> DataFrame:
-    """(path, line, form, link, target, keys) of all links outside code in Markdown notes (path, content)."""
+def note_pieces(notes: DataFrame, code: bool) -> DataFrame:
+    """(path, n, piece, form, label, target, keys) of the pieces of notes (path, content) between fences and links; form is
+    null for text. code: code inside lines is a piece of its own, so that no link is seen in it."""
+    p = notes.where("content is not null").select("path", F.posexplode(M.pieces(F.col("content"), code)).alias("n", "piece"))
+    p = p.withColumn("form", M.form(F.col("piece")))
+    p = p.withColumns({"label": M.label(F.col("piece"), F.col("form")), "target": M.target(F.col("piece"), F.col("form"))})
+    return p.withColumn("keys", F.when(F.col("form").isNotNull(), M.lookup_keys(F.col("form"), folder(F.col("path")), F.col("target"))))
 
-    def one(path: str, content: str) -> list[tuple]:
-        base = posixpath.dirname(path)
-        return [(path, content.count("\n", 0, at) + 1, n, form, link, t, M.candidates(form, base, t)) for n, (form, at, link, t) in enumerate(M.targets(content))]
 
-    return per_note(notes.where("content is not null").select("path", "content"), [("path", S), ("line", I), ("n", I), ("form", S), ("link", S), ("target", S), ("keys", T.ArrayType(S))], one)
+def link_targets(notes: DataFrame) -> DataFrame:
+    """(path, line, n, form, link, target, keys) of all links outside code in Markdown notes (path, content)."""
+    before = F.sum(F.regexp_count("piece", F.lit("\n"))).over(Window.partitionBy("path").orderBy("n").rowsBetween(Window.unboundedPreceding, -1))
+    p = note_pieces(notes, True).withColumn("line", (F.coalesce(before, F.lit(0)) + 1).cast("int"))
+    return p.where("form is not null").select("path", "line", "n", "form", F.col("piece").alias("link"), "target", "keys")
 
 
 def resolved(links: DataFrame, files: DataFrame) -> DataFrame:
-    """The links with `found`, the file of the first of their keys that some file has, or null. Keys are looked up once."""
-    keys = links.select("path", "n", F.posexplode("keys").alias("k", "key"))
-    hit = keys.join(name_table(files), "key").groupBy("path", "n").agg(F.min_by("found", "k").alias("found"))
-    return links.join(hit, ["path", "n"], "left")
+    """The links (path, n, keys, ...) with `found`, the file of the first of their keys that some file has, or null. Names
+    that many notes link to are split."""
+    keys = links.where("keys is not null").select("path", "n", F.posexplode("keys").alias("k", "key"))
+    hot = hot_keys(keys.groupBy("key").agg(F.count("*").alias("n")), ["key"])
+    hit = split_join(keys, name_table(files), ["key"], hot).groupBy("path", "n").agg(F.min_by("found", "k").alias("found"))
+    return merge_join(links, hit, ["path", "n"], "left")
 
 
 def is_template(path):
@@ -114,64 +114,83 @@ def broken_links(notes: DataFrame, files: DataFrame) -> DataFrame:
     return resolved(l, files).where(F.col("found").isNull() & ~web).select("path", "line", "link", "target")
 
 
-def found_keys(notes: DataFrame, files: DataFrame) -> DataFrame:
-    """(path, content, found): each note with the map of its links' keys to files, as long as its links."""
-    keys = link_targets(notes).select("path", F.explode("keys").alias("key")).distinct().join(name_table(files), "key")
-    m = keys.groupBy("path").agg(F.map_from_entries(F.collect_list(F.struct("key", "found"))).alias("found"))
-    return notes.select("path", "content").join(m, "path", "left")
+def put_together(pieces: DataFrame) -> DataFrame:
+    """(path, content) of pieces (path, n, piece)."""
+    return pieces.groupBy("path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "piece"))), lambda x: x["piece"]), "").alias("content"))
 
 
 def rewrite_links(notes: DataFrame, files: DataFrame) -> DataFrame:
-    """(path, content, links) of notes with their links turned into application links, and the documents they lead to."""
-
-    def note(p: str) -> bool:
-        return posixpath.splitext(p)[1].lower() in KINDS
-
-    def one(path: str, content: str, found: dict | None) -> list[tuple]:
-        md = M.rewritten(content, posixpath.dirname(path), dict(found or {}), note)
-        return [(path, md, [t for t in M.doc_links(md) if t != path])]
-
-    return per_note(found_keys(notes.where("content is not null"), files), [("path", S), ("content", S), ("links", T.ArrayType(S))], one)
+    """(path, content, links) of notes with their links turned into application links, and the documents they lead to.
+    Links that lead to no file stay as they are, but wiki links, which become their text. Null contents give no row."""
+    p = resolved(note_pieces(notes, False), files)
+    to, name, alias = F.col("found"), stem(F.col("found")), F.col("label")
+    doc, file = F.concat(F.lit("(#doc="), X.url_path(to), F.lit(")")), F.concat(F.lit("(/api/file?path="), X.url_path(to), F.lit(")"))
+    shown = lambda c, where: F.concat(F.lit("["), c, F.lit("]"), where)
+    named = F.when(alias != "", alias).otherwise(name)
+    sized = F.when(alias.rlike(r"^\d+(?:x\d+)?$"), F.concat(name, F.lit("|"), alias)).otherwise(named)
+    own = F.when(alias != "", alias).otherwise(F.col("target"))
+    src = F.regexp_extract("piece", r"(?is)^(<img\b[^>]*?\bsrc\s*=\s*[\"'])", 1)
+    new = (
+        F.when(to.isNull(), F.when(F.col("form") == "wiki", own))
+        .when(F.col("form") == "embed", F.when(M.is_picture(to), F.concat(F.lit("!"), shown(sized, file))).otherwise(shown(named, doc)))
+        .when(F.col("form") == "wiki", shown(own, doc)).when(F.col("form") == "image", F.concat(F.lit("!"), shown(alias, file)))
+        .when(F.col("form") == "link", shown(alias, F.when(extension(to).isin(*KINDS), doc).otherwise(file)))
+        .when(F.col("form") == "html", F.concat(src, F.lit("/api/file?path="), X.url_path(to), F.right("piece", F.lit(1))))
+    )
+    whole = put_together(p.select("path", "n", F.coalesce(new, "piece").alias("piece")))
+    empty = notes.where("content = ''").select("path", "content")
+    to_docs = F.transform(F.regexp_extract_all("content", F.lit(r"\]\(#doc=([^)\s]+)\)"), F.lit(1)), M.unquote)
+    return whole.unionByName(empty).select("path", "content", F.filter(F.array_sort(F.array_distinct(to_docs)), lambda t: t != F.col("path")).alias("links"))
 
 
 def relink(notes: DataFrame, files: DataFrame, moved: DataFrame, wiki: bool = True) -> DataFrame:
     """(path, new_path, content) of the notes whose text changes when files move (moved: src, dst, one row for each file).
 
-    Notes that hold none of the moved names are never rewritten; only the moves that a note links to travel with it.
+    Relative links are kept right after the note or the file it links to has moved; with `wiki` also wiki links that lead to
+    a renamed file by its name, whose folder, heading and alias are kept. External links, links to nowhere and absolute links
+    to files that stay are kept; anchors and queries stay.
     """
-    known = found_keys(notes.where("content is not null"), files)
-    hits = known.select("path", F.explode(F.map_values("found")).alias("src")).distinct().join(moved, "src").groupBy("path").agg(F.map_from_entries(F.collect_set(F.struct("src", "dst"))).alias("moves"))
     own = moved.select(F.col("src").alias("path"), F.col("dst").alias("new_path"))
-    todo = known.join(hits, "path", "left").join(own, "path", "left").where("moves is not null or new_path is not null")
-
-    def one(path: str, content: str, found: dict | None, moves: dict | None, new: str | None) -> list[tuple]:
-        moves, found = dict(moves or {}), dict(found or {})
-        new = new or path
-        text = M.retargeted(content, posixpath.dirname(path), posixpath.dirname(new), {**moves, path: new})
-        if wiki:
-            text = M.renamed_wiki(text, posixpath.dirname(path), found, moves)
-        return [(path, new, text)] if text != content or new != path else []
-
-    return per_note(todo.select("path", "content", "found", "moves", "new_path"), [("path", S), ("new_path", S), ("content", S)], one)
+    p = merge_join(resolved(note_pieces(notes, False), files), own, "path", "left")
+    old_base, new_base = folder(F.col("path")), folder(F.coalesce("new_path", "path"))
+    written = F.regexp_extract("target", r"^([^#?]*)", 1)
+    file = F.col("form").isin("image", "link", "html") & ~F.col("target").rlike(M.EXTERNAL)
+    by_name = F.col("form").isin("wiki", "embed") & F.lit(wiki)
+    p = p.withColumn("src", F.when(file, M.joined(old_base, F.col("target"))).when(by_name, F.col("found")))
+    hot = hot_keys(p.where("src is not null").groupBy("src").agg(F.count("*").alias("n")), ["src"])
+    p = split_join(p, moved.select("src", "dst"), ["src"], hot, "left")
+
+    to, rooted = F.coalesce("dst", "src"), F.startswith("target", F.lit("/"))
+    path = F.when(rooted, F.concat(F.lit("/"), to)).otherwise(M.relative(to, new_base))
+    path = F.when(F.contains(written, F.lit("%")) | F.contains(path, F.lit(" ")), X.url_path(path)).otherwise(path)
+    path = F.concat(path, F.substr("target", F.length(written) + 1))
+    stays = F.col("src").isNull() | (F.col("dst").isNull() & (rooted | (old_base == new_base)))
+    last = M.name_of(F.col("target"))
+    name = F.when(F.lower(last) == F.lower(M.name_of(F.col("src"))), M.name_of(F.col("dst"))).otherwise(stem(F.col("dst")))
+    called = F.concat(F.substr("target", F.lit(1), F.length("target") - F.length(last)), name)
+    new = F.when(file & ~stays, path).when(by_name & F.col("dst").isNotNull(), called)
+    # the target stands behind the opening bracket or quote of the link
+    behind = F.regexp_extract("piece", r"(?is)^(!?\[\[|!?\[[^\]]*\]\(\s*<?|<img\b[^>]*?\bsrc\s*=\s*[\"'])", 1)
+    at = F.length(behind) + F.length(F.regexp_extract(F.substr("piece", F.length(behind) + 1), r"^(\s*)", 1))
+    swapped = F.concat(F.substr("piece", F.lit(1), at), new, F.substr("piece", at + F.length("target") + 1))
+    p = p.select("path", "n", F.coalesce(F.when(new != F.col("target"), swapped), "piece").alias("piece"), (new != F.col("target")).alias("changed"), "new_path")
+    touched = p.groupBy("path").agg(F.max(F.coalesce("changed", F.lit(False))).alias("changed"), F.first("new_path").alias("new_path")).where("changed or new_path is not null")
+    bare = merge_join(notes.where("content = ''").select("path", "content"), own, "path")
+    done = merge_join(put_together(p), touched, "path").select("path", F.coalesce("new_path", "path").alias("new_path"), "content")
+    return done.unionByName(bare.select("path", "new_path", "content"))
 
 
 def tasks(notes: DataFrame) -> DataFrame:
-    """(id, task, line, checked) of the tasks of notes (id, body), numbered from 0."""
-
-    def one(i: int, body: str) -> list[tuple]:
-        return [(i, n, body.count("\n", 0, at) + 1, done) for n, (at, done) in enumerate(M.task_marks(body))]
-
-    return per_note(notes.where("body is not null").select("id", "body"), [("id", L), ("task", I), ("line", I), ("checked", T.BooleanType())], one)
+    """(id, task, line, checked) of the tasks of notes (id, body), numbered from 0; fences may stand in quotes and lists."""
+    t = notes.where("body is not null").select("id", F.posexplode(M.tasks(F.col("body"))).alias("task", "t"))
+    return t.select("id", "task", (F.col("t.line") + 1).alias("line"), F.col("t.checked").alias("checked"))
 
 
 def set_tasks(notes: DataFrame, changes: DataFrame) -> DataFrame:
     """(id, body) of notes with one task set each (changes: id, task, checked, expected); others and misfits give no row."""
-
-    def one(i: int, body: str, task: int, checked: bool, expected: int) -> list[tuple]:
-        new = M.set_task(body, task, checked, expected)
-        return [] if new is None else [(i, new)]
-
-    return per_note(notes.select("id", "body").where("body is not null").join(changes, "id").select("id", "body", "task", "checked", "expected"), [("id", L), ("body", S)], one)
+    j = merge_join(notes.select("id", "body").where("body is not null"), changes, "id").withColumn("found", M.tasks(F.col("body")))
+    fits = j.where((F.size("found") == F.col("expected")) & (F.col("task") >= 0) & (F.col("task") < F.col("expected")))
+    return fits.select("id", M.with_task(F.col("body"), F.get("found", F.col("task"))["line"], F.col("checked")).alias("body"))
 
 
 def saves(notes: DataFrame, edits: DataFrame) -> DataFrame:
@@ -209,8 +228,9 @@ def outline(heads: DataFrame, deepest: int = 4) -> DataFrame:
 
 
 def safe_path(path):
-    """True for paths inside the root that touch nothing hidden; null and empty paths are not safe."""
-    return F.coalesce((F.length(F.trim(path)) > 0) & ~path.rlike(r"(^|/)\.") & ~path.rlike(r"\x00"), F.lit(False))
+    """True for paths that stay inside the root, `..` taken away, and touch nothing hidden; null and empty paths are not safe."""
+    plain = M.normal(path)
+    return F.coalesce((F.length(F.trim(path)) > 0) & (plain != "") & ~F.startswith(path, F.lit("/")) & ~plain.rlike(r"(^|/)\.") & ~path.rlike(r"\x00"), F.lit(False))
 
 
 def answer_note(passages: DataFrame, sources: DataFrame, question: str) -> DataFrame:

@@ -2,9 +2,10 @@
 
 from pyspark.sql import functions as F
 
+from lakenote.functions import markdown as M
 from lakenote.functions import text as X
 from lakenote.operators import notes as N
-from lakenote.plans.common import DOCS, docs
+from lakenote.plans.common import CHUNKS, DOCS, docs
 from lakenote.tables import read
 
 
@@ -23,7 +24,7 @@ def note_files(spark, d):
 
 
 def sections_from_markdown(spark, d):
-    return N.sections(texts(spark, d))
+    return N.sections(texts(spark, d)).drop("trail")
 
 
 def heading_crumbs(spark, d):
@@ -47,7 +48,11 @@ def plain_text(spark, d):
 
 
 def image_refs(spark, d):
-    return texts(spark, d).select("id", F.explode(X.image_refs(F.col("body"))).alias("i")).select("id", "i.url", "i.alt")
+    """The images of the passages, written into their texts as Markdown and as HTML, found again."""
+    c = read(spark, d, "chunks").where("chunk_id is not null and text is not null").dropDuplicates(["chunk_id"])
+    md = F.transform("images", lambda i: F.concat(F.lit("!["), F.coalesce(i["alt"], F.lit("")), F.lit("](/api/file?path="), X.url_path(i["url"]), F.lit(") <img alt='"), F.coalesce(i["alt"], F.lit("")), F.lit("' src='https://n.example/"), X.url_path(i["url"]), F.lit("'>")))
+    noted = c.select("chunk_id", F.concat_ws("\n", "text", F.array_join(md, "\n")).alias("body"))
+    return noted.select("chunk_id", F.explode(M.images(F.col("body"))).alias("i")).select("chunk_id", "i.url", "i.alt")
 
 
 def note_tags(spark, d):
@@ -105,7 +110,7 @@ def task_list(spark, d):
 
 
 def template_fill(spark, d):
-    t = F.concat(F.lit("# {{title}}\n{{date}} {{ time }} {{date:DD.MM.YY [at] H}}\n"), F.coalesce(F.substring("text", 1, 40), F.lit("")))
+    t = F.concat(F.lit("# {{title}}\n{{date}} {{ time }} {{date:DD.MM.YY [at] H}}\n"), F.coalesce("text", F.lit("")))
     now = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("doc_id") * 3601)
     return read(spark, d, "documents").select("doc_id", X.fill_template(t, F.concat(F.lit("Doc "), F.col("doc_id").cast("string")), now, ("DD.MM.YY [at] H",)).alias("filled"))
 
@@ -120,6 +125,7 @@ def next_image_number(spark, d):
 
 _LINES = "ln as (select doc_id as id, unnest(l) as line, unnest(range(len(l)))::int as n from (select doc_id, regexp_split_to_array(text, '\\r\\n|\\r|\\n') as l from documents where text is not null))"
 _WS = "'[\\s\\x{0085}\\x{00a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}\\x{000b}\\x{001c}-\\x{001f}]+'"
+_HEAD = f"'^(#{{1,6}}){_WS[1:-2]}+(.+?){_WS[1:-2]}*#*{_WS[1:-2]}*$'"
 QUERIES = {
     "sections_from_markdown": sections_from_markdown, "heading_crumbs": heading_crumbs, "note_outline": note_outline, "chunk_pack": chunk_pack, "slugify": slugify, "plain_text": plain_text,
     "image_refs": image_refs, "note_tags": note_tags, "inline_tags": inline_tags, "word_counts": word_counts, "note_links": note_links, "broken_links": broken_links,
@@ -129,10 +135,12 @@ QUERIES = {
 _CRUMB = ", ".join(f"case when level >= {k} and h{k}.n > greatest(-1{''.join(f', coalesce(h{j}.n, -1)' for j in range(1, k))}) then h{k}.heading end" for k in range(1, 7))
 SQL = {
     "heading_crumbs": f"""with {_LINES}, f as (select *, sum(case when ltrim(line)[1:3] in ('```', '~~~') then 1 else 0 end) over (partition by id order by n) as fences from ln),
-h as (select id, n, length(regexp_extract(line, '^(#{{1,6}})\\s+(.+?)\\s*#*\\s*$', 1))::int as level, trim(regexp_extract(line, '^(#{{1,6}})\\s+(.+?)\\s*#*\\s*$', 2)) as heading from f where fences % 2 = 0 and regexp_matches(line, '^(#{{1,6}})\\s+(.+?)\\s*#*\\s*$')),
+h as (select id, n, length(regexp_extract(line, {_HEAD}, 1))::int as level, trim(regexp_extract(line, {_HEAD}, 2)) as heading from f where fences % 2 = 0 and regexp_matches(line, {_HEAD})),
 p as (select *, {", ".join(f"max(case when level = {k} then struct_pack(n := n, heading := heading) end) over (partition by id order by n) as h{k}" for k in range(1, 7))} from h)
 select id, n, level, heading, concat_ws(' > ', {_CRUMB}) as crumb from p""",
-    "image_refs": """select doc_id as id, u as url, trim(a) as alt from (select doc_id, unnest(regexp_extract_all(text, '!\\[([^\\]]*)\\]\\(([^)\\s]+)\\)', 2)) as u, unnest(regexp_extract_all(text, '!\\[([^\\]]*)\\]\\(([^)\\s]+)\\)', 1)) as a from documents) where u like '/api/%' or u like 'http://%' or u like 'https://%'""",
+    "image_refs": f"""with {CHUNKS}, i as (select chunk_id, unnest(images) as i from c where text is not null),
+u as (select chunk_id, replace(replace(url_encode(i.url), '%2F', '/'), '%7E', '~') as url, coalesce(i.alt, '') as alt from i)
+select chunk_id, '/api/file?path=' || url as url, trim(alt) as alt from u union all select chunk_id, 'https://n.example/' || url, alt from u""",
     "inline_tags": "select tag, count(distinct doc_id) as documents, count(*) as uses from (select doc_id, unnest(regexp_extract_all(text, '(?:^|\\s)#([A-Za-z][\\p{L}\\p{N}\\p{M}_/-]+)', 1)) as tag from documents) group by 1",
     "slugify": f"with {DOCS} select doc_id, regexp_replace(trim(regexp_replace(lower(title), '[^\\p{{L}}\\p{{N}}\\p{{M}}_\\s-]', '', 'g')), '\\s+', '-', 'g') as slug from d where title is not null",
     "word_counts": f"""with t as (select doc_id as id, trim(regexp_replace(text, {_WS}, ' ', 'g'), ' ') as s from documents where text is not null)
@@ -141,7 +149,7 @@ select id, case when s = '' then 0 else len(string_split(s, ' ')) end as words,
 select 'path:' || path as key, path as found from d union all select 'name:' || k, min(struct_pack(n := length(path), path := path)).path from k group by k""",
     "next_image_number": f"""with {DOCS}, p as (select regexp_replace(path, '\\.[^.]*$', '') || '_' || (doc_id % 50) || '.png' as path from d)
 select regexp_replace(regexp_replace(path, '[^/]*$', ''), '/$', '') as folder, lower(regexp_extract(path, '([^/]+)_(\\d{{1,9}})\\.[^./]+$', 1)) as stem, (max(regexp_extract(path, '([^/]+)_(\\d{{1,9}})\\.[^./]+$', 2)::int) + 1)::int as next from p group by 1, 2""",
-    "template_fill": """select doc_id, '# Doc ' || doc_id || chr(10) || strftime(t, '%Y-%m-%d %H:%M ') || strftime(t, '%d.%m.%y') || ' at ' || hour(t) || chr(10) || coalesce(substring(text, 1, 40), '') as filled from (select *, make_timestamp((1700000000 + doc_id * 3601) * 1000000) as t from documents)""",
+    "template_fill": """select doc_id, '# Doc ' || doc_id || chr(10) || strftime(t, '%Y-%m-%d %H:%M ') || strftime(t, '%d.%m.%y') || ' at ' || hour(t) || chr(10) || coalesce(text, '') as filled from (select *, make_timestamp((1700000000 + doc_id * 3601) * 1000000) as t from documents)""",
 }
-SQL["note_outline"] = f"""with x as ({SQL["heading_crumbs"]}), y as (select *, regexp_replace(trim(regexp_replace(lower(heading), '[^\\p{{L}}\\p{{N}}\\p{{M}}_\\s-]', '', 'g')), '\\s+', '-', 'g') as slug from x where level <= 4)
+SQL["note_outline"] = f"""with x as ({SQL["heading_crumbs"]}), y as (select *, regexp_replace(trim(regexp_replace(lower(heading), '[^\\p{{L}}\\p{{N}}\\p{{M}}_{_WS[2:-3]}-]', '', 'g')), {_WS}, '-', 'g') as slug from x where level <= 4)
 select id, n, level, heading, slug || case when k > 1 then '-' || (k - 1) else '' end as anchor from (select *, row_number() over (partition by id, slug order by n) as k, count(*) over (partition by id) as c from y) where c > 1"""

@@ -6,9 +6,9 @@ import uuid
 from pyspark.sql import functions as F
 
 from lakenote.engine import Engine
-from lakenote.operators.filters import Filters
+from lakenote.operators.filters import IMAGES, Filters
 from lakenote.operators.hybrid import HashEmbedder, LexicalReranker
-from lakenote.plans.common import docs
+from lakenote.plans.common import DOCS, docs
 from lakenote.sources import layout, readers
 from lakenote.streaming.watch import burst_stream
 from lakenote.tables import ensure_checkpoint_dir, read
@@ -28,12 +28,13 @@ def html_to_markdown(spark, d):
 
 
 def csv_tables(spark, d):
-    """The orders of each priority and status as a CSV file of its customers, read as Markdown tables of at most 501 rows."""
+    """The orders as CSV files of some 2,000 lines each, read as Markdown tables with all their rows."""
     o = read(spark, d, "orders").where("o_orderkey is not null")
+    parts = max(1, o.count() // 2000)
     rows = F.array_join(F.sort_array(F.collect_list(F.concat_ws(";", F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string")))), "\n")
-    files = o.groupBy("o_orderpriority", F.pmod("o_orderkey", F.lit(97)).alias("part")).agg(F.concat(F.lit("order;customer\n"), rows).alias("csv"))
-    r = readers.read_files(files.select(F.concat_ws("", F.lit("orders/"), F.substring("o_orderpriority", 1, 1), F.lit("-"), F.col("part").cast("string"), F.lit(".csv")).alias("path"), F.col("csv").cast("binary").alias("content")))
-    return r.select("path", "title", F.regexp_count("markdown", F.lit(r"\n")).alias("rows"), "error")
+    files = o.groupBy(F.pmod("o_orderkey", F.lit(parts)).alias("part")).agg(F.concat(F.lit("order;customer\n"), rows).alias("text"))
+    t = readers.csv_markdown(files.select(F.concat(F.lit("orders/"), F.col("part").cast("string"), F.lit(".csv")).alias("path"), "text"), None, None)
+    return t.select("path", F.regexp_count("markdown", F.lit(r"\n")).cast("bigint").alias("rows"), F.md5("markdown").alias("digest"))
 
 
 def file_kinds(spark, d):
@@ -100,6 +101,14 @@ QUERIES = {
     "page_markdown": page_markdown, "debounce_stream": debounce_stream, "engine_search": engine_search, "engine_ask": engine_ask,
 }
 SQL = {
+    "csv_tables": """with n as (select greatest(1, count(*) // 2000) as parts from orders where o_orderkey is not null)
+select 'orders/' || (o_orderkey % parts) || '.csv' as path, count(*) + 1 as rows, md5('| order | customer |' || chr(10) || '| --- | --- |' || chr(10) ||
+  string_agg('| ' || o_orderkey || ' | ' || coalesce(o_custkey::varchar, '') || ' |', chr(10) order by o_orderkey || ';' || coalesce(o_custkey::varchar, ''))) as digest
+from orders, n where o_orderkey is not null group by 1""",
+    "file_kinds": f"""with {DOCS}, p as (select path, string_split(path, '/')[-1] as name, lower(regexp_extract(path, '(\\.[^./]+)$', 1)) as ext from d)
+select path, ext, regexp_replace(name, '(.)\\.[^.]*$', '\\1') as stem, regexp_replace(regexp_replace(path, '[^/]*$', ''), '/$', '') as folder,
+case when ext in ('.md', '.markdown') then 'markdown' when ext in ('.txt', '.rst', '.org') then 'text' when ext in ('.pdf', '.docx', '.pptx', '.xlsx', '.csv') then ext[2:]
+  when ext in ('.html', '.htm') then 'html' when ext in ({", ".join(f"'{e}'" for e in sorted(IMAGES))}) then 'image' end as reader from p""",
     "running_headers": f"""with {_B}, m as (select doc_id, page, regexp_replace(lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))), '[0-9]+', '#', 'g') as key from b where n = 0 or n = k - 1),
 p as (select doc_id, count(distinct page) as pages from b group by 1 having count(distinct page) >= 3)
 select doc_id, key from (select doc_id, key, count(distinct page) as n from m group by 1, 2) join p using (doc_id) where n >= greatest(3, least(pages * 0.05, 10))""",

@@ -19,9 +19,12 @@ def extension(path: Column) -> Column:
     return F.lower(F.regexp_extract(path, r"(\.[^./]+)$", 1))
 
 
+def name(path: Column) -> Column:
+    return F.element_at(F.split(path, "/"), -1)
+
+
 def stem(path: Column) -> Column:
-    name = F.element_at(F.split(path, "/"), -1)
-    return F.regexp_replace(name, r"(?<=.)\.[^.]*$", "")
+    return F.regexp_replace(name(path), r"(?<=.)\.[^.]*$", "")
 
 
 def folder(path: Column) -> Column:

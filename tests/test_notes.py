@@ -1,4 +1,3 @@
-from lakenote.functions import markdown as M
 from lakenote.functions import text as X
 from lakenote.operators import notes as N
 from pyspark.sql import functions as F
@@ -38,7 +37,7 @@ def test_front_matter_tags_and_title(spark):
 
 
 def test_sections_and_headings(spark):
-    df = spark.createDataFrame([(1, "T", M.front_matter(GARDEN)[1]), (2, "T", "pre\n# A\n### B\n## C\ntext"), (3, "T", None), (4, "T", "")], "id bigint, title string, body string")
+    df = spark.createDataFrame([(1, "T", GARDEN.split("---\n", 2)[2]), (2, "T", "pre\n# A\n### B\n## C\ntext"), (3, "T", None), (4, "T", "")], "id bigint, title string, body string")
     got = [(r.id, r.heading) for r in N.sections(df).orderBy("id", "ord").collect()]
     assert got == [(1, "Ground"), (1, "Ground > Drainage {#wet}"), (2, "T"), (2, "A"), (2, "A > B"), (2, "A > C")]
     lines = df.where("body is not null").select("id", F.posexplode(F.split("body", "\n")).alias("n", "line"))
