@@ -458,7 +458,8 @@ def _prepared(chunks: DataFrame, words: DataFrame):
     sent = sc.broadcast(train(found, known, words))
     odd = found.where("kind = 'word'").select(F.col("a").alias("word"), "chunk_id").distinct()
     times = odd.groupBy("word").agg(F.count("*").alias("n"))
-    readings = times.select("word").repartition(F.col("word")).mapInPandas(_readings(sent), "word string, fixed string")
+    # few bytes, but much work: a given number of tasks, which is not made smaller for its size
+    readings = times.select("word").repartition(4 * sc.defaultParallelism, "word").mapInPandas(_readings(sent), "word string, fixed string")
     by_page = split_join(odd, readings, ["word"], hot_keys(times, ["word"])).groupBy("chunk_id").agg(F.collect_list(F.struct("word", "fixed")).alias("read"))
     return merge_join(pages, by_page, "chunk_id", "left"), lines, sent
 
