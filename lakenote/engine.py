@@ -32,7 +32,9 @@ class Engine:
     def from_index(cls, spark: SparkSession, out: str, **more) -> Engine:
         """Over the last snapshot of a built index."""
         t = {n: index.table(spark, out, n) for n in index.TABLES}
-        vectors = t["vectors"].select("chunk_id", F.col("vec").cast("array<double>").alias("vec"))
+        # vectors of another model than the one asked with are not compared
+        made = t["vectors"] if more.get("embedder") is None else t["vectors"].where(F.col("model") == more["embedder"].name)
+        vectors = made.select("chunk_id", F.col("vec").cast("array<double>").alias("vec"))
         return cls(t["docs"], t["chunks"], t["links"].withColumnRenamed("doc_id", "src_id"), vectors, t["doc_images"], t["postings"], t["lengths"], **more)
 
     def _found(self) -> DataFrame:
@@ -48,8 +50,11 @@ class Engine:
             kw = kw.limit(0)
         sem = kw.limit(0).select("*", F.lit(0.0).alias("similarity"), F.lit("").alias("snippet"))
         if mode != "keyword" and self.embedder is not None and self.vectors is not None and question.strip():
-            q = index.embed_query(self.embedder, question)
-            sem = H.semantic_search(self.vectors, self.chunks, docs, q, None, fetch, self.embedder.min_similarity)
+            try:
+                q = index.embed_query(self.embedder, question)
+            except Exception:  # noqa: BLE001 - a model that fails leaves keyword search
+                q = None
+            sem = sem if q is None else H.semantic_search(self.vectors, self.chunks, docs, q, None, fetch, self.embedder.min_similarity)
         kw, sem = checkpoint(kw), checkpoint(sem)  # at most 400 rows each, used several times
         fused = H.fuse(kw, sem)
         text = self.chunks.join(self.docs.select("doc_id", "path", "title", "ext"), "doc_id")

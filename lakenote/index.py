@@ -17,9 +17,12 @@ from lakenote.operators import incremental as I
 from lakenote.operators import keyword as K
 from lakenote.operators import notes as N
 from lakenote.operators.hybrid import Embedder, embed_missing
-from lakenote.sources.files import extension, folder, listing, stem
+from lakenote.sources.files import contents, extension, folder, listing, stem
 from lakenote.sources.readers import read_files
+from lakenote.tables import checkpoint
 
+#: Stored with every document; files that failed under another version are read again.
+APP_VERSION = "2"
 TABLES = ("docs", "chunks", "vectors", "links", "doc_images", "postings", "lengths")
 
 
@@ -43,12 +46,12 @@ def table(spark: SparkSession, out: str, name: str, n: int | None = None) -> Dat
 
 def extract(files: DataFrame, names: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(docs, notes) of files (path, mtime, size, content): docs rows, and (id, title, body, links) of readable notes."""
-    read = read_files(files)
+    read = checkpoint(read_files(files))  # used three times
     linked = N.rewrite_links(read.where("markdown is not null").select("path", F.col("markdown").alias("content")), names)
     meta = files.select("path", "mtime", "size").join(read.select("path", "kind", "title", "tags", "error"), "path")
     docs = meta.select(
         identity(F.col("path")).alias("doc_id"), "path", "title", extension(F.col("path")).alias("ext"), folder(F.col("path")).alias("folder"),
-        F.when(F.col("kind") == "image", "image").otherwise("note").alias("kind"), "mtime", "size", "tags", "error", F.current_timestamp().alias("indexed_at"),
+        F.when(F.col("kind") == "image", "image").otherwise("note").alias("kind"), "mtime", "size", "tags", "error", F.current_timestamp().alias("indexed_at"), F.lit(APP_VERSION).alias("app_version"),
     )
     notes = linked.join(read.select("path", "title"), "path").select(identity(F.col("path")).alias("id"), "path", "title", F.col("content").alias("body"), "links")
     return docs, notes
@@ -61,9 +64,10 @@ def build(spark: SparkSession, root: str, out: str, embedder: Embedder | None =
     heading and text are as before are taken over.
     """
     n = 0 if full else last_snapshot(spark, out)
-    now = listing(spark, root)
+    now = checkpoint(listing(spark, root))
     old = {t: table(spark, out, t, n) for t in TABLES} if n else {}
-    known = old["docs"].select("path", "mtime", "size") if n else now.limit(0)
+    # what failed under another version is not known, so it is read again
+    known = old["docs"].join(I.retry_failed(old["docs"], APP_VERSION).select("path"), "path", "left_anti").select("path", "mtime", "size") if n else now.limit(0)
     diff = I.snapshot_diff(now, known).persist()
     try:
         counts = {r["status"]: r["files"] for r in I.status_counts(diff).collect()}
@@ -72,8 +76,10 @@ def build(spark: SparkSession, root: str, out: str, embedder: Embedder | None =
             return stats
         todo = diff.where("status in ('added', 'updated')").select("path")
         gone = diff.where("status <> 'unchanged'").select(identity(F.col("path")).alias("doc_id"))
-        files = listing(spark, root, content=True).join(todo, "path", "left_semi")
+        todo = checkpoint(now.join(todo, "path", "left_semi"))
+        files = contents(todo, root).join(todo, "path")
         docs, notes = extract(files, now.select("path"))
+        notes = checkpoint(notes)
         to = f"{out}/v{last_snapshot(spark, out) + 1}"
         keep = lambda t: I.without_docs(old[t], gone) if n else None
         _write(docs, keep("docs"), f"{to}/docs")
@@ -86,29 +92,38 @@ def build(spark: SparkSession, root: str, out: str, embedder: Embedder | None =
         shown = chunks.select("doc_id", F.explode("images.url").alias("url")).where(F.startswith("url", F.lit("/api/file?path="))).select("doc_id", F.url_decode(F.substring("url", 16, 4096)).alias("key"))
         shown.unionByName(docs.where("kind = 'image'").select("doc_id", F.col("path").alias("key"))).distinct().write.mode("overwrite").parquet(f"{to}/doc_images")
         _embed(spark, chunks, docs, old, embedder, f"{to}/vectors")
-        rows = K.indexed(chunks, docs)
+        # only the passages of changed documents are cut into terms; the others' rows are taken over
+        changed = chunks.join(gone, "doc_id", "left_semi")
+        rows = K.indexed(changed, docs)
+        stale = old["chunks"].join(gone, "doc_id", "left_semi").select("chunk_id") if n else None
+        held = lambda t: I.without_docs(old[t], stale, "chunk_id") if n else None
         # clustered by term, so that a question reads few files
-        K.postings(rows, stemming).repartitionByRange("term").sortWithinPartitions("term", "chunk_id").write.mode("overwrite").parquet(f"{to}/postings")
-        K.doc_lengths(rows, stemming).write.mode("overwrite").parquet(f"{to}/lengths")
+        _write(K.postings(rows, stemming), held("postings"), f"{to}/postings", ["term", "chunk_id"])
+        _write(K.doc_lengths(rows, stemming), held("lengths"), f"{to}/lengths")
         spark.createDataFrame([(int(posixpath.basename(to)[1:]),)], "n bigint").coalesce(1).write.mode("append").parquet(f"{out}/snapshots")
         return stats
     finally:
         diff.unpersist()
 
 
-def _write(new: DataFrame, kept: DataFrame | None, path: str) -> None:
-    (new if kept is None else kept.unionByName(new.select(*kept.columns))).write.mode("overwrite").parquet(path)
+def _write(new: DataFrame, kept: DataFrame | None, path: str, by: list[str] | None = None) -> None:
+    whole = new if kept is None else kept.unionByName(new.select(*kept.columns))
+    if by:
+        whole = whole.repartitionByRange(by[0]).sortWithinPartitions(*by)
+    whole.write.mode("overwrite").parquet(path)
 
 
 def _embed(spark: SparkSession, chunks: DataFrame, docs: DataFrame, old: dict[str, DataFrame], embedder: Embedder | None, path: str) -> None:
-    empty = spark.createDataFrame([], "chunk_id bigint, vec array<float>")
+    """Write (chunk_id, vec, model). Vectors of another model are never taken over: their numbers mean something else."""
+    empty = spark.createDataFrame([], "chunk_id bigint, vec array<float>, model string")
     if embedder is None:
         empty.write.mode("overwrite").parquet(path)
         return
+    model = F.lit(embedder.name).alias("model")
     titled = lambda c, d: c.join(d.select("doc_id", "title"), "doc_id")
-    same = I.reused_vectors(titled(chunks, docs), titled(old["chunks"], old["docs"]), old["vectors"]) if old else empty
+    same = I.reused_vectors(titled(chunks, docs), titled(old["chunks"], old["docs"]), old["vectors"].where(F.col("model") == embedder.name)).select("chunk_id", "vec", model) if old else empty
     same.write.mode("overwrite").parquet(path)
-    embed_missing(chunks, docs, spark.read.parquet(path), embedder).write.mode("append").parquet(path)
+    embed_missing(chunks, docs, spark.read.parquet(path), embedder).select("chunk_id", "vec", model).write.mode("append").parquet(path)
 
 
 def embed_query(embedder: Embedder, text: str) -> list[float]:

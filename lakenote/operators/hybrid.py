@@ -63,14 +63,20 @@ class LexicalReranker:
 
 
 def embed_missing(chunks: DataFrame, docs: DataFrame, vectors: DataFrame, embedder: Embedder, batch: int = 64) -> DataFrame:
-    """(chunk_id, vec) for chunks with a document but no vector, from the first 2,000 characters of title, heading and text."""
+    """(chunk_id, vec) for chunks with a document but no vector, from the first 2,000 characters of title, heading and text.
+    Chunks for which the model fails get none."""
     text = F.substring(F.concat_ws("\n", "title", "heading", "text"), 1, 2000)
     todo = chunks.join(docs.select("doc_id", "title"), "doc_id").join(vectors.select("chunk_id"), "chunk_id", "left_anti").select("chunk_id", text.alias("t"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            vecs = [v for s in range(0, len(f), batch) for v in embedder.embed_passages(f["t"].iloc[s : s + batch].tolist())]
-            yield pd.DataFrame({"chunk_id": f["chunk_id"], "vec": vecs})
+            for s in range(0, len(f), batch):
+                part = f.iloc[s : s + batch]
+                try:
+                    vecs = list(embedder.embed_passages(part["t"].tolist()))
+                except Exception:  # noqa: BLE001 - keyword search must not wait for a model; the next build tries again
+                    continue
+                yield pd.DataFrame({"chunk_id": part["chunk_id"].to_numpy(), "vec": vecs})
 
     return todo.mapInPandas(run, T.StructType([T.StructField("chunk_id", T.LongType()), T.StructField("vec", T.ArrayType(T.FloatType()))]))
 
@@ -109,13 +115,18 @@ def fuse(keyword: DataFrame, semantic: DataFrame, k: int = RRF_K) -> DataFrame:
 
 def rerank(fused: DataFrame, keyword: DataFrame, semantic: DataFrame, texts: DataFrame, question: str, model: Reranker, chars: int = 1500) -> DataFrame:
     """Add rerank and final: the pool is the best FUSED of the fusion and the best EACH of either list; the others keep
-    their fused order behind it. texts: (chunk_id, title, heading, text). Fewer than two rows keep their order."""
+    their fused order behind it. texts: (chunk_id, title, heading, text). Fewer than two rows keep their order, and so
+    do rows for which the model fails."""
     pool = fused.where(F.col("fused") < FUSED).select("chunk_id").unionByName(keyword.where(F.col("rank") < EACH).select("chunk_id")).unionByName(semantic.where(F.col("rank") < EACH).select("chunk_id")).distinct()
     body = F.substring(F.concat_ws("\n", "title", "heading", "text"), 1, chars)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            yield pd.DataFrame({"chunk_id": f["chunk_id"], "rerank": [round(float(s), 3) for s in model.score(question, f["p"].tolist())]})
+            try:
+                scores = [round(float(s), 3) for s in model.score(question, f["p"].tolist())]
+            except Exception:  # noqa: BLE001 - without scores the fused order stands
+                continue
+            yield pd.DataFrame({"chunk_id": f["chunk_id"], "rerank": scores})
 
     scored = pool.join(texts, "chunk_id").select("chunk_id", body.alias("p")).mapInPandas(run, T.StructType([T.StructField("chunk_id", T.LongType()), T.StructField("rerank", T.DoubleType())]))
     order = Window.orderBy(F.col("rerank").isNull(), F.desc("rerank"), "fused")  # over two short lists

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakenote.operators.filters import IMAGES
+from lakenote.tables import checkpoint
 
 # File types with a reader, by the kind of reader, and folders that tools keep.
 KINDS = {
@@ -37,19 +42,65 @@ def kind(path: Column) -> Column:
     return m[extension(path)]
 
 
+def hidden(path: Column) -> Column:
+    """True if some part is hidden, an office lock file or a tool folder."""
+    return path.rlike(r"(^|/)(\.|~\$)") | path.rlike(rf"(^|/)({'|'.join(SKIPPED)})/")
+
+
 def visible(path: Column) -> Column:
     """True for files a scan takes: of a known type, no part hidden, no office lock file, not in a tool folder."""
-    return ~path.rlike(r"(^|/)(\.|~\$)") & ~path.rlike(rf"(^|/)({'|'.join(SKIPPED)})/") & extension(path).isin([*KINDS, *IMAGES])
+    return ~hidden(path) & extension(path).isin([*KINDS, *IMAGES])
+
+
+def _entries(root: str):
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        store, base = fs.FileSystem.from_uri(root)
+        for f in frames:
+            for folder in f["path"]:
+                found = store.get_file_info(fs.FileSelector(f"{base}/{folder}" if folder else base, allow_not_found=True))
+                rows = [(f"{folder}/{i.base_name}" if folder else i.base_name, i.type == fs.FileType.Directory, i.mtime_ns, i.size) for i in found if i.type != fs.FileType.NotFound]
+                if rows:
+                    yield pd.DataFrame(rows, columns=["path", "folder", "mtime_ns", "size"]).astype({"mtime_ns": "Int64", "size": "Int64"})
+
+    return run
+
+
+def _contents(root: str):
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        store, base = fs.FileSystem.from_uri(root)
+        for f in frames:
+            for path in f["path"]:
+                try:
+                    with store.open_input_stream(f"{base}/{path}", compression=None) as file:
+                        data = file.read()
+                except OSError:  # gone, or not to be read: it stands in the listing without content
+                    data = None
+                yield pd.DataFrame({"path": [path], "content": [data]})
+
+    return run
 
 
-def listing(spark: SparkSession, root: str, content: bool = False) -> DataFrame:
-    """(path, mtime, size[, content]) of the visible files below a folder; paths are relative to it.
+def listing(spark: SparkSession, root: str) -> DataFrame:
+    """(path, mtime, size) of the visible files below a folder; paths are relative to it.
 
-    An unreadable or empty folder gives no rows. Without content only the files' metadata is read.
+    Folders are listed by tasks, level by level; the driver sees no names. An empty or missing folder gives no rows. Only
+    what `visible` leaves out is left out: names that begin with `_` count like any others.
     """
-    df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*").load(root)
-    base = "/" + root.split("://", 1)[-1].strip("/") + "/"
-    full = F.url_decode(F.replace(F.regexp_replace("path", r"^[a-z]+:/+", "/"), F.lit("+"), F.lit("%2B")))
-    rel = F.substring_index(full, base, -1)
-    out = df.select(rel.alias("path"), F.col("modificationTime").alias("mtime"), F.col("length").alias("size"), *(["content"] if content else []))
-    return out.where(visible(F.col("path")))
+    level, found = spark.createDataFrame([("",)], "path string"), []
+    while True:
+        entries = checkpoint(level.mapInPandas(_entries(root), "path string, folder boolean, mtime_ns bigint, size bigint"))
+        found.append(entries.where("not folder"))
+        level = entries.where(F.col("folder") & ~hidden(F.concat("path", F.lit("/")))).select("path").repartition(spark.sparkContext.defaultParallelism, "path")
+        if level.isEmpty():
+            break
+    files = reduce(DataFrame.unionByName, found)
+    return files.where(visible(F.col("path"))).select("path", F.timestamp_micros(F.expr("mtime_ns div 1000")).alias("mtime"), "size")
+
+
+def contents(files: DataFrame, root: str) -> DataFrame:
+    """(path, content) of files (path) below a folder, each read by one task; null for one that can't be read."""
+    return files.select("path").mapInPandas(_contents(root), "path string, content binary")

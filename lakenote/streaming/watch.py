@@ -1,98 +1,65 @@
-"""Live upkeep: a streaming source of file changes, bursts of events, and one incremental build for each burst."""
+"""Live upkeep: changes of a folder's files, bursts of events, and one incremental build for each burst."""
 
 from __future__ import annotations
 
-import json
-import os
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
 from pyspark.sql.streaming import StreamingQuery
 
-SCHEMA = "path string, mtime_ns bigint, size bigint, status string"
-
-
-def snapshot(root: str) -> dict[str, list[int]]:
-    """Visible files below a folder with their time and size; unreadable ones are left out."""
-    out = {}
-    for d, dirs, files in os.walk(root):
-        dirs[:] = sorted(x for x in dirs if not x.startswith(".") and x not in ("node_modules", "__pycache__", "venv"))
-        for f in files:
-            if f.startswith((".", "~$")):
-                continue
-            p = os.path.join(d, f)
-            try:
-                st = os.stat(p)
-            except OSError:
-                continue
-            out[os.path.relpath(p, root).replace(os.sep, "/")] = [st.st_mtime_ns, st.st_size]
-    return out
-
-
-class _Reader(SimpleDataSourceStreamReader):
-    """The offset names a stored listing, so it stays small however many files there are."""
-
-    def __init__(self, root: str, state: str):
-        self.root, self.state = root, state
-        os.makedirs(state, exist_ok=True)
-
-    def _stored(self, n: int) -> dict[str, list[int]]:
-        if n == 0:
-            return {}
-        with open(os.path.join(self.state, f"{n}.json"), encoding="utf-8") as f:
-            return json.load(f)
-
-    def initialOffset(self) -> dict:
-        return {"n": 0}
-
-    def _changes(self, old: dict, new: dict) -> Iterator[tuple]:
-        for p in sorted(old.keys() | new.keys()):
-            if old.get(p) != new.get(p):
-                at = new.get(p, [None, None])
-                yield (p, *at, "added" if p not in old else "removed" if p not in new else "updated")
-
-    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        old, new = self._stored(start["n"]), snapshot(self.root)
-        if old == new:
-            return iter(()), start
-        n = start["n"] + 1
-        path = os.path.join(self.state, f"{n}.json")
-        with open(path + ".tmp", "w", encoding="utf-8") as f:
-            json.dump(new, f)
-        os.replace(path + ".tmp", path)
-        return iter(list(self._changes(old, new))), {"n": n}
-
-    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        return iter(list(self._changes(self._stored(start["n"]), self._stored(end["n"]))))
-
-
-class FolderChanges(DataSource):
-    """spark.readStream.format("folder_changes").option("state", a folder that lasts).load(root): added, updated and
-    removed files, which Spark's own file source does not report."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "folder_changes"
-
-    def schema(self) -> str:
-        return SCHEMA
-
-    def simpleStreamReader(self, schema) -> _Reader:
-        return _Reader(self.options["path"], self.options["state"])
-
-
-def watch(spark: SparkSession, root: str, state: str, relevant: Column | None = None) -> DataFrame:
-    """A stream of (path, mtime_ns, size, status) of the files for which `relevant` holds."""
-    spark.dataSource.register(FolderChanges)
-    df = spark.readStream.format("folder_changes").option("state", state).load(root)
-    return df if relevant is None else df.where(relevant)
-
-
-def build_on_change(changes: DataFrame, build: Callable[[DataFrame, int], None], checkpoint: str, seconds: float = 2.0, once: bool = False) -> StreamingQuery:
-    """Run `build(changed rows, snapshot number)` for each batch, one at a time; changes within the interval come together."""
-    w = changes.writeStream.foreachBatch(build).option("checkpointLocation", checkpoint)
+from lakenote.operators.incremental import snapshot_diff
+from lakenote.sources.files import listing
+from lakenote.tables import checkpoint
+
+
+@dataclass(frozen=True)
+class Watch:
+    """A folder whose listings are kept as Parquet tables in `state`, a folder that all nodes share."""
+
+    spark: SparkSession
+    root: str
+    state: str
+    relevant: Column | None = None
+
+    def last(self) -> int:
+        """The number of the last listing that was built from, 0 before the first."""
+        try:
+            return self.spark.read.parquet(f"{self.state}/done").agg(F.max("n")).collect()[0][0] or 0
+        except Exception as e:  # noqa: BLE001 - Spark's error for a missing path
+            if "PATH_NOT_FOUND" in str(e):
+                return 0
+            raise
+
+    def step(self, build: Callable[[DataFrame, int], None]) -> bool:
+        """List the folder, and build from what changed since the last listing. The listing counts once the build has ended,
+        so a build that fails sees the same changes again. Files are compared by time and size in a join."""
+        n = self.last()
+        now = checkpoint(listing(self.spark, self.root))
+        old = self.spark.read.parquet(f"{self.state}/v{n}") if n else now.limit(0)
+        diff = checkpoint(snapshot_diff(now, old).where("status <> 'unchanged'").join(now, "path", "left").select("path", "mtime", "size", "status"))
+        if diff.isEmpty():
+            return False
+        shown = diff if self.relevant is None else diff.where(self.relevant)
+        if not shown.isEmpty():
+            build(shown, n + 1)
+        now.write.mode("overwrite").parquet(f"{self.state}/v{n + 1}")
+        self.spark.createDataFrame([(n + 1,)], "n bigint").coalesce(1).write.mode("append").parquet(f"{self.state}/done")
+        return True
+
+
+def watch(spark: SparkSession, root: str, state: str, relevant: Column | None = None) -> Watch:
+    """The changes (path, mtime, size, status) of the files below a folder for which `relevant` holds: added, updated and
+    removed ones, which Spark's own file source does not report."""
+    return Watch(spark, root, state, relevant)
+
+
+def build_on_change(changes: Watch, build: Callable[[DataFrame, int], None], checkpoint_dir: str, seconds: float = 2.0, once: bool = False) -> StreamingQuery:
+    """Run `build(changed rows, snapshot number)` whenever something has changed, one at a time; changes within the interval
+    come together. The stream is a clock; what was seen stands in the watch's own tables. once: for one look only."""
+    clock = changes.spark.readStream.format("rate-micro-batch").option("rowsPerBatch", 1).load()
+    w = clock.writeStream.foreachBatch(lambda _, n: changes.step(build) and None).option("checkpointLocation", checkpoint_dir)
     return (w.trigger(availableNow=True) if once else w.trigger(processingTime=f"{seconds} seconds")).start()
 
 

@@ -91,6 +91,40 @@ def test_incremental_build_equals_full_build(spark, tmp_path):
     assert nodes.count() == 3 and edges.where("type = 'link'").count() == 1 and e.similar("nope.md").collect() == []
 
 
+def test_underscores_models_and_failures(spark, tmp_path, monkeypatch):
+    class Broken(HashEmbedder):
+        name = "broken"
+
+        def embed_passages(self, texts):
+            raise RuntimeError("no model")
+
+        def embed_query(self, text):
+            raise RuntimeError("no model")
+
+    class BrokenReranker(LexicalReranker):
+        def score(self, query, passages):
+            raise RuntimeError("no model")
+
+    root, out = str(tmp_path / "notes"), str(tmp_path / "index")
+    for p in ("_index.md", "_drafts/x.md", "a/_b.md", "a/c.md", "a/node_modules/d.md", ".git/e.md", "bad.docx"):
+        os.makedirs(os.path.dirname(f"{root}/{p}"), exist_ok=True)
+        with open(f"{root}/{p}", "w") as f:
+            f.write(f"# Note\ngarden {p}")
+    assert {r.path for r in listing(spark, root).collect()} == {"_index.md", "_drafts/x.md", "a/_b.md", "a/c.md", "bad.docx"}
+    assert listing(spark, str(tmp_path / "nowhere")).collect() == []
+    index.build(spark, root, out, HashEmbedder())
+    first = index.table(spark, out, "vectors")
+    assert {r.model for r in first.collect()} == {"hash-64"} and first.count() == 4
+    monkeypatch.setattr(index, "APP_VERSION", "3")
+    with open(f"{root}/a/c.md", "a") as f:
+        f.write(" more")
+    stats = {r.status: r.files for r in index.build(spark, root, out, Broken()).collect()}
+    assert stats == {"added": 1, "updated": 1, "unchanged": 3, "removed": 0}  # the file that failed is tried again
+    assert index.table(spark, out, "vectors").count() == 0 and index.table(spark, out, "docs").count() == 5
+    e = Engine.from_index(spark, out, embedder=Broken(), reranker=BrokenReranker())
+    assert {r.match for r in e.search("garden", limit=5).collect()} == {"keyword"}
+
+
 def test_folder_changes_stream(spark, tmp_path):
     root, seen = str(tmp_path / "w"), []
     os.makedirs(root)
