@@ -7,11 +7,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lakenote.functions.text import HL_END, HL_START, fold, stem_tokens, tokens
+from lakenote.tables import checkpoint
 
 #: Weights of the columns title, heading, text and tags, and the constants of BM25.
 WEIGHTS = (4.0, 3.0, 1.0, 2.0)
@@ -174,18 +175,41 @@ def snippets(hits: DataFrame, terms: list[Term], stemming: bool = False) -> Data
     return hits.mapInPandas(run, out)
 
 
+def asked(rows: DataFrame, terms: list[Term], stemming: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(postings, lengths) of a corpus without a stored index, for one question: every text is cut into terms once, and only
+    the question's words and the lengths are kept of it."""
+    near = sorted({w for t in terms for i, w in enumerate(t.words) if not (t.prefix and i == len(t.words) - 1)})
+    begun = sorted({t.words[-1] for t in terms if t.prefix})
+
+    def wanted(x: Column) -> Column:
+        hit = x["term"].isin(near) if near else F.lit(False)
+        for w in begun:
+            hit = hit | F.startswith(x["term"], F.lit(w))
+        return hit
+
+    names = ("title", "heading", "text", "tags")
+    cut = rows.select("chunk_id", *(F.coalesce(tokens(F.col(c), stemming), F.array().cast("array<string>")).alias(c) for c in names))
+    placed = lambda k, c: F.transform(c, lambda t, i: F.struct(t.alias("term"), F.lit(k).cast("tinyint").alias("col"), i.alias("pos")))
+    found = [F.filter(placed(k, c), wanted) for k, c in enumerate(names)]
+    seen = checkpoint(cut.select("chunk_id", sum((F.size(c) for c in names), F.lit(0)).alias("n_tokens"), F.concat(*found).alias("hits")))
+    each = seen.select("chunk_id", F.explode("hits").alias("h")).select("chunk_id", "h.term", "h.col", "h.pos")
+    post = each.groupBy("term", "chunk_id", "col").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
+    return post, seen.select("chunk_id", "n_tokens")
+
+
 def keyword_search(chunks: DataFrame, docs: DataFrame, question: str, where=None, limit: int = 20, stemming: bool = True, post: DataFrame | None = None, lengths: DataFrame | None = None) -> DataFrame:
     """(chunk_id, doc_id, path, title, ext, heading, anchor, text, images, score, rank), best first, equal scores by id.
 
-    post and lengths: a stored index; without it, it is built over the whole corpus in the same job.
+    post and lengths: a stored index; without it the whole corpus is read for the question's words.
     """
-    rows = indexed(chunks, docs)
     terms = split_terms(parse(question), stemming)
-    scores = bm25(postings(rows, stemming) if post is None else post, doc_lengths(rows, stemming) if lengths is None else lengths, terms)
+    if post is None or lengths is None:
+        post, lengths = asked(indexed(chunks, docs), terms, stemming)
+    scores = bm25(post, lengths, terms)
     d = docs if where is None else docs.where(where)
     hits = scores.join(chunks.select("chunk_id", "doc_id", "heading", "anchor", "text", "images"), "chunk_id").join(d.select("doc_id", "path", "title", "ext"), "doc_id")
     top = hits.orderBy("score", "chunk_id").limit(limit)
     return top.withColumn("rank", F.row_number().over(Window.orderBy("score", "chunk_id")) - 1)  # over the top rows only
 
 
-__all__ = ["Term", "bm25", "doc_lengths", "fold", "indexed", "keyword_search", "match_text", "parse", "postings", "snippets", "split_terms", "term_counts"]
+__all__ = ["Term", "asked", "bm25", "doc_lengths", "fold", "indexed", "keyword_search", "match_text", "parse", "postings", "snippets", "split_terms", "term_counts"]
