@@ -8,6 +8,7 @@ data; a full sketch tells less, and nothing untrue.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -64,17 +65,17 @@ def _merged(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
         at = np.frombuffer(spots, np.uint16) + np.repeat(np.arange(STRETCH // PART) * PART, np.frombuffer(sizes, np.int32))
         total[at] += (2 << np.frombuffer(powers, np.uint8).astype(np.int64)) - 1  # the most that a count of that power can be
     level = np.where(total < 2, 0, np.minimum(15, 1 + _log(np.maximum(total, 1)) // 2)).astype(np.uint8)
-    return pd.DataFrame({"block": [key[0]], "levels": [(level[::2] << 4 | level[1::2]).tobytes()]})
+    return pd.DataFrame({"block": [key[0]], "levels": [zlib.compress((level[::2] << 4 | level[1::2]).tobytes(), 1)]})
 
 
 def counted(df: DataFrame, hashes: Callable[[pd.DataFrame], np.ndarray], width: int) -> np.ndarray:
     """The merged sketch, width / 2 bytes. hashes gives the hashes (uint64) of a frame of df; width is a power of two.
 
-    width / 2 bytes come to the driver, stretch by stretch, whatever the size of df."""
+    At most width / 2 bytes come to the driver, packed, stretch by stretch, whatever the size of df."""
     out = np.zeros((max(1, width // STRETCH), STRETCH // 2), np.uint8)
     part = df.mapInPandas(_counted(hashes, width), "block bigint, spots binary, sizes binary, powers binary")
     for r in part.groupBy("block").applyInPandas(_merged, "block bigint, levels binary").toLocalIterator():
-        out[r["block"]] = np.frombuffer(r["levels"], np.uint8)
+        out[r["block"]] = np.frombuffer(zlib.decompress(r["levels"]), np.uint8)
     return out.ravel()
 
 
