@@ -61,3 +61,19 @@ def test_a_third_of_all_in_one_noisy_group_loses_nothing(spark, monkeypatch):
         ids = [int(i) for i in r.permutation(len(x))]
         df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in zip(ids, x)], "chunk_id bigint, vec array<float>")
         assert {tuple(p) for p in ann.similar_pairs(df).collect()} == exact(x.astype(np.float64), ids, 5, 0.85), noise
+
+
+def test_share_found_when_most_lists_are_passed_over(spark, monkeypatch):
+    monkeypatch.setattr(ann, "FINE", 8)
+    monkeypatch.setattr(ann, "PER_LIST", 1000)
+    r = np.random.default_rng(9)
+    base = r.normal(size=(2600, 64))
+    x = np.concatenate([base, base[:400] + 0.35 * r.normal(size=(400, 64))]).astype(np.float32)
+    block = ann._Block(ann._unit(x))
+    near = ann._unit(x).astype(np.float32) @ block.c.T
+    looked = sum(((near[:, one] >= ann.reach(0.85, low, 64, ann.SPREAD)).sum() * len(rows)) for one, rows, low, _, _ in block.lists)
+    assert looked < 0.1 * len(x) ** 2  # nine in ten comparisons are never made
+    ids = [int(i) for i in r.permutation(len(x))]
+    df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in zip(ids, x)], "chunk_id bigint, vec array<float>")
+    got, want = {tuple(p) for p in ann.similar_pairs(df).collect()}, exact(x.astype(np.float64), ids, 5, 0.85)
+    assert len(got & want) >= 0.97 * len(want) and len(got - want) <= 0.01 * len(want)
