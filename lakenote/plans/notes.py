@@ -153,3 +153,31 @@ select regexp_replace(regexp_replace(path, '[^/]*$', ''), '/$', '') as folder, l
 }
 SQL["note_outline"] = f"""with x as ({SQL["heading_crumbs"]}), y as (select *, regexp_replace(trim(regexp_replace(lower(heading), '[^\\p{{L}}\\p{{N}}\\p{{M}}_{_WS[2:-3]}-]', '', 'g')), {_WS}, '-', 'g') as slug from x where level <= 4)
 select id, n, level, heading, slug || case when k > 1 then '-' || (k - 1) else '' end as anchor from (select *, row_number() over (partition by id, slug order by n) as k, count(*) over (partition by id) as c from y) where c > 1"""
+
+_IN = _WS[2:-3]
+SQL["sections_from_markdown"] = f"""with x as ({SQL["heading_crumbs"]}),
+l as (select doc_id as id, unnest(l) as line, unnest(range(len(l)))::int as n from (select doc_id, regexp_split_to_array(text, '\\r\\n|[\\n\\r\\x{{000b}}\\x{{000c}}\\x{{0085}}\\x{{2028}}\\x{{2029}}]') as l from documents where text is not null)),
+m as (select l.id, l.n, l.line, x.crumb, x.level from l left join x on x.id = l.id and x.n = l.n union all select doc_id, -1, null, 'Document ' || doc_id, 1 from documents where text is not null),
+p as (select *, count(crumb) over (partition by id order by n) - 1 as part from m),
+s as (select id, part, max(crumb) as heading, regexp_replace(coalesce(string_agg(case when crumb is null then line end, chr(10) order by n), ''), '^[{_IN}]+|[{_IN}]+$', '', 'g') as text from p group by 1, 2)
+select id, (row_number() over (partition by id order by part) - 1)::int as ord, heading, len(string_split(heading, ' > '))::int as level, text from s where part > 0 or text <> ''"""
+_FILES = """f as (select source || '/' || coalesce(regexp_replace(lower(regexp_extract(text, '^# *([^\\r\\n]+)', 1)), '[^\\p{L}\\p{N}]+', '-', 'g'), '') || '-' || doc_id || '.md' as path, text from documents where source is not null and text is not null)"""
+_BLANK = f"[{_IN}]".replace("\\s", " \\t\\x{000c}")
+SQL["note_tags"] = f"""with {_FILES}, m as (select path, regexp_extract(text, '(?s)^---[ \\t]*\\r?\\n(.*?)\\r?\\n(?:---|\\.\\.\\.)[ \\t]*\\r?\\n', 1) as meta,
+  substring(text, length(regexp_extract(text, '(?s)^---[ \\t]*\\r?\\n(.*?)\\r?\\n(?:---|\\.\\.\\.)[ \\t]*\\r?\\n', 0)) + 1) as text from f),
+h as (select *, regexp_replace(regexp_extract(text, '(?m)^#{_BLANK}+([^\\r\\n]+?){_BLANK}*#*{_BLANK}*$', 1), '\\s*\\{{#([\\w-]+)\\}}\\s*$', '') as head,
+  regexp_extract(meta, '(?im)^title[ \\t]*:[ \\t]*(\\S[^\\r\\n]*)', 1) as named,
+  list_filter(list_transform(case when regexp_matches(meta, '(?im)^tags[ \\t]*:[ \\t]*\\[') then string_split(regexp_extract(meta, '(?im)^tags[ \\t]*:[ \\t]*\\[([^\\]]*)\\]', 1), ',')
+    when regexp_matches(meta, '(?im)^tags[ \\t]*:[ \\t]*\\S') then regexp_split_to_array(regexp_extract(meta, '(?im)^tags[ \\t]*:[ \\t]*([^\\r\\n]*)', 1), '[,\\s]+')
+    else regexp_extract_all(meta, '(?m)^[ \\t]+-[ \\t]+([^\\r\\n]*)', 1) end, lambda t: trim(trim(t), $$'"$$)), lambda t: t <> '') as given,
+  regexp_extract_all(text, '(?:^|[{_IN}])#([A-Za-z][\\p{{L}}\\p{{N}}\\p{{M}}_/-]+)', 1) as inside from m)
+select path, case when named <> '' then trim(named, $$'"$$) when head <> '' then head else regexp_replace(string_split(path, '/')[-1], '\\.md$', '') end as title,
+  array_to_string(given || list_filter(inside, lambda t: not list_contains(given, t)), ',') as tags from h"""
+_SIZE = "\\s*\\|\\s*\\d+(?:\\s*x\\s*\\d+)?\\s*"
+SQL["plain_text"] = f"""with a as (select doc_id as id, regexp_replace(text, '!\\[{_SIZE}\\]\\([^)\\s]+\\)', '', 'g') as t from documents where text is not null),
+b as (select id, replace(regexp_replace(t, '!\\[([^\\]]*?)(?:{_SIZE})?\\]\\([^)\\s]+\\)', '[image: \\1]', 'g'), '[image: ]', '') as t from a)
+select id, trim(regexp_replace(regexp_replace(t, '<img\\b[^>]*?\\bsrc\\s*=[^>]*>', '', 'gi'), '\\[([^\\]]*)\\]\\([^)]*\\)', '\\1', 'g'), ' ') as plain from b"""
+SQL["task_list"] = f"""with l as (select doc_id as id, unnest(l) as line, unnest(range(len(l)))::int as n from (select doc_id, string_split(regexp_replace(text, '(?m)^- ', '- [ ] ', 'g'), chr(10)) as l from documents where text is not null)),
+f as (select *, regexp_matches(line, '^[ \\t]*(```|~~~)') as mark, sum(case when regexp_matches(line, '^[ \\t]*(```|~~~)') then 1 else 0 end) over (partition by id order by n) as fences from l),
+t as (select *, regexp_extract(line, '^[ \\t]*(?:>[ \\t]?)*[ \\t]*(?:(?:[-*+]|\\d{{1,9}}[.)])[ \\t]+)?\\[([ xX])\\][ \\t]+\\S', 1) as sign from f)
+select id, (row_number() over (partition by id order by n) - 1)::int as task, n + 1 as line, sign <> ' ' as checked from t where not mark and fences % 2 = 0 and sign <> ''"""
