@@ -268,10 +268,11 @@ def classes(records: DataFrame, ids: DataFrame, percent: int = 80) -> DataFrame:
 
 
 def copy_members(records: DataFrame) -> DataFrame:
-    """(tab, class, id) of the records (tab, id, toks, raw) whose text stands in several: with the pairs of near_duplicates,
+    """(tab, class, id) of the records (tab, id, toks, raw) whose text stands in several, class being the smallest id: with the pairs of near_duplicates,
     all that classes of more than copies.EXPAND leave out, as each member has the links of the smallest."""
-    m = records.where("id is not null").select("tab", F.xxhash64("tab", "raw").alias("class"), F.col("id").cast("bigint").alias("id")).distinct()
-    return salted_join(m, m.groupBy("tab", "class").agg(F.count("*").alias("n")).where("n > 1"), ["tab", "class"]).select("tab", "class", "id")
+    m = records.where("id is not null").select("tab", "raw", F.col("id").cast("bigint").alias("id")).distinct()
+    groups = m.groupBy("tab", "raw").agg(F.count("*").alias("n"), F.min("id").alias("class")).where("n > 1")
+    return salted_join(m, groups, ["tab", "raw"]).select("tab", "class", "id")
 
 
 def chunk_records(chunks: DataFrame, n: int = 3, least: int = 20) -> DataFrame:

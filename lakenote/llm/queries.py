@@ -99,6 +99,39 @@ select distinct chunk_id, cast(regexp_matches(text, '[^\\s\\x{0085}\\x{00a0}\\x{
 from chunks where length(text) > 2000
 """
 
+# Near-duplicates by joining all runs: for small tables.
+SETS = f"""
+w as (select distinct chunk_id as id, text, {WORDS.format('text')} as ws from chunks where text is not null and chunk_id is not null),
+t as (select distinct doc_id as id, title, array_to_string({WORDS.format('title')}, ' ') as s from docs where title is not null and doc_id is not null),
+r as (select 'chunks' as tab, id, text as raw, list_distinct(list_transform(range(1, len(ws) - 1), lambda p: array_to_string(ws[p:p + 2], ' '))) as toks from w where len(ws) >= 20
+  union all select 'docs', id, title, list_distinct(list_transform(range(1, length(s) - 1), lambda p: substring(s, p, 3))) from t where length(s) >= 20)"""
+P2_SQL = f"""
+with {SETS},
+n as (select *, row_number() over () as k from r), e as (select tab, k, id, len(toks) as n, unnest(toks) as tok from n),
+c as (select a.tab, a.id as x, b.id as y, a.k, b.k as l, a.n + b.n as total, count(*) as met from e a join e b on a.tab = b.tab and a.tok = b.tok and a.id < b.id group by all)
+select distinct tab, x as id_a, y as id_b from c where 160 * met >= 60 * total
+"""
+P2_MEMBERS_SQL = f"with {SETS}, g as (select tab, raw, min(id) as class from r group by 1, 2 having count(distinct id) > 1) select distinct tab, class, id from r join g using (tab, raw)"
+P2_CLASSES_SQL = f"""
+with recursive w as (select distinct doc_id as id, {WORDS.format('text')} as ws from documents where text <> '' and doc_id is not null),
+r as (select id, list_sort(list_distinct(list_transform(range(1, len(ws) - 3), lambda p: array_to_string(ws[p:p + 4], ' ')))) as toks from w where len(ws) >= 5),
+e as (select id, len(toks) as n, unnest(toks) as tok from r),
+p as (select a.id as a, b.id as b from e a join e b on a.tok = b.tok and a.id <> b.id group by a.id, b.id having 180 * count(*) >= 80 * (max(a.n) + max(b.n))),
+reach as (select a, b from p union select reach.a, p.b from reach join p on reach.b = p.a),
+k as (select id, min(id) over (partition by toks) as class from r),
+l as (select a as id, count(*) as links from p group by 1), m as (select a as id, min(b) as low from reach group by 1)
+select w.id as doc_id, coalesce(k.class, w.id) as class, least(w.id, coalesce(m.low, w.id)) as component, coalesce(l.links, 0) as links
+from (select distinct id from w) w left join k using (id) left join l using (id) left join m using (id)
+"""
+GRAMS = "g as (select doc_id, p as start, hash(substring(text, p, 300)) as h from (select distinct doc_id, text, unnest(range(1, length(text) - 298)) as p from documents where doc_id is not null and length(text) >= 300))"
+P8_SQL = f"with {GRAMS}, d as (select distinct h, doc_id from g) select distinct a.doc_id as doc_a, b.doc_id as doc_b from d a join d b on a.h = b.h and a.doc_id < b.doc_id"
+P8_SHARES_SQL = f"""
+with {GRAMS}, o as (select h from g group by h having count(distinct doc_id) > 1), s as (select distinct doc_id, start from g where h in (select h from o)),
+c as (select doc_id, sum(least(300, coalesce(nxt - start, 300))) as shared from (select *, lead(start) over (partition by doc_id order by start) as nxt from s) group by 1)
+select doc_id, coalesce(length(text), 0) as chars, coalesce(shared, 0)::bigint as shared, case when length(text) > 0 then round(coalesce(shared, 0) / length(text), 4) else 0 end as share
+from (select distinct doc_id, text from documents) left join c using (doc_id)
+"""
+
 QUERIES = {
     "p1_found": p1_found, "p1_neighbours": p1_neighbours,
     "p2_found": p2_found, "p2_members": p2_members, "p2_classes": p2_classes, "p3_found": p3_found, "p3_pieces": p3_pieces, "p3_whole": p3_whole,
@@ -106,4 +139,4 @@ QUERIES = {
     "p7_found": p7_found, "p7_coverage": p7_coverage, "p8_found": p8_found, "p8_shares": p8_shares,
 }
 P3_WHOLE_SQL = "select distinct chunk_id, true as whole, true as within, true as linked from chunks where length(text) > 2000"
-SQL = {"p3_found": P3_SQL, "p3_whole": P3_WHOLE_SQL, "p6_decoded": "select doc_id, md5(coalesce(text, '')) as digest from documents", "p7_found": P7_SQL}
+SQL = {"p2_found": P2_SQL, "p2_members": P2_MEMBERS_SQL, "p2_classes": P2_CLASSES_SQL, "p8_found": P8_SQL, "p8_shares": P8_SHARES_SQL, "p3_found": P3_SQL, "p3_whole": P3_WHOLE_SQL, "p6_decoded": "select doc_id, md5(coalesce(text, '')) as digest from documents", "p7_found": P7_SQL}
