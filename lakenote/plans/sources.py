@@ -1,6 +1,5 @@
 """Readers, page layout and streams over the given tables."""
 
-import os
 import uuid
 
 from pyspark.sql import functions as F
@@ -72,10 +71,8 @@ def debounce_stream(spark, d):
     """
     ensure_checkpoint_dir(spark)
     base = f"{spark.sparkContext.getCheckpointDir()}/bursts-{uuid.uuid4().hex}"
-    path = f"{d}/events.parquet"
-    schema = spark.read.parquet(path).schema
-    r = spark.readStream.schema(schema)
-    src = r.parquet(path) if os.path.isdir(path) else r.option("pathGlobFilter", "events.parquet").parquet(d)
+    # a pattern, so that a file will do as well as a folder
+    src = spark.readStream.schema(spark.read.parquet(f"{d}/events.parquet").schema).parquet(f"{d}/events.parque[t]")
     bursts = burst_stream(src.where("ts is not null"), "ts", "60 seconds", "0 seconds", ["user_id"])
     q = bursts.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/ckpt").trigger(availableNow=True).start()
     q.awaitTermination()

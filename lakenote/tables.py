@@ -16,10 +16,14 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder the cluster names in spark.checkpoint.dir; choose one only where none is named."""
+    """Use the folder the cluster names in spark.checkpoint.dir; choose one only where none is named and all runs on one
+    machine, as in tests."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lakenote-ckpt-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all nodes share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="lakenote-ckpt-"))
 
 
 def checkpoint(df: DataFrame, eager: bool = True) -> DataFrame:
