@@ -29,7 +29,7 @@ from lakenote.tables import checkpoint, words
 ORDERS, WORDS = 3, 2
 #: Records with one prefix token that are compared in one block.
 BLOCK = 4096
-#: Bits of a token's hash; the others number the records while their tokens are sorted.
+#: Bits of a token's hash; of the others four tell its level, or all number the records while their tokens are sorted.
 BITS = 50
 #: Cells of the sketch; at four bits each (32 MB) they are sent to every task.
 WIDTH = 1 << 26
@@ -105,7 +105,20 @@ def _flat(f: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     row = np.repeat(np.arange(len(f)), size)
     tok = np.concatenate([*f["toks"], np.zeros(0, np.int64)]).astype(np.int64).view(np.uint64)
     tab = f["tab"].map({t: _mixed(np.frombuffer(str(t).encode().ljust(8)[:8], np.uint64), len(str(t)))[0] for t in f["tab"].unique()})
-    return row, tok ^ tab.to_numpy().astype(np.uint64)[row]
+    return row, (tok ^ tab.to_numpy().astype(np.uint64)[row]) & np.uint64((1 << BITS) - 1)
+
+
+def _slices(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The frames cut so that the free bits can number their rows."""
+    for f in frames:
+        for s in range(0, len(f), 1 << (64 - BITS)):
+            yield f.iloc[s : s + (1 << (64 - BITS))].reset_index(drop=True)
+
+
+def _ordered(row: np.ndarray, level: np.ndarray, tok: np.ndarray, i: int) -> np.ndarray:
+    """A number for each token by which rows come one after the other, in each the rarer tokens first, and of one level those
+    of the i-th order's smallest hash."""
+    return (row.astype(np.uint64) << np.uint64(BITS)) | (level.astype(np.uint64) << np.uint64(BITS - 4)) | (_mixed(tok, i) >> np.uint64(64 - BITS + 4))
 
 
 def _hashes(f: pd.DataFrame) -> np.ndarray:
@@ -114,12 +127,12 @@ def _hashes(f: pd.DataFrame) -> np.ndarray:
 
 def _prefixed(sent, width: int, percent: int):
     """Records (tab, id, raw, toks) with their class (cls), the number of their tokens (n), of those that stand in no other
-    record (own), the other tokens in the first order, how many of these are the prefix (k) and their levels, and bit sets of
-    all and of the prefixes under the other orders. Only the first record of a class in a frame has tokens."""
+    record (own), the other tokens with their levels in the first order, how many of these are the prefix (k), and bit sets
+    of all and of the prefixes under the other orders. Only the first record of a class in a frame has tokens."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts = sent.value
-        for f in frames:
+        for f in _slices(frames):
             row, tok = _flat(f)
             rows = len(f)
             n = np.bincount(row, minlength=rows)
@@ -142,17 +155,23 @@ def _prefixed(sent, width: int, percent: int):
             place = np.arange(len(tok)) - np.repeat(np.cumsum(size) - size, size)
             out = f[["tab", "id", "raw"]].copy()
             out["cls"], out["n"], out["own"], out["k"] = cls, n.astype(np.int32), own.astype(np.int32), k.astype(np.int32)
-            cut = np.cumsum(size)[:-1]
-            lists = lambda x: pd.Series(np.split(x, cut) if rows else [], dtype=object, index=f.index).where(pd.Series(take, index=f.index), None)
             for j, w in enumerate(_bits(row, tok, rows).T):
                 out[f"f{j}"] = w
             for i in range(ORDERS):
-                by = np.lexsort((_mixed(tok, i), level, row))
+                key = _ordered(row, level, tok, i)
                 if i == 0:
-                    out["toks"], out["levels"] = lists(tok[by].view(np.int64)), lists(level[by].astype(np.int16))
+                    by = np.argsort(key)
+                    # the level is the same wherever the token stands, so it can be part of it
+                    whole = (tok[by] | (level[by].astype(np.uint64) << np.uint64(BITS))).view(np.int64)
+                    lists = np.empty(rows, object)
+                    lists[:] = np.split(whole, np.cumsum(size)[:-1])
+                    lists[~take] = None
+                    out["toks"] = lists
                 else:
-                    by = by[place < k[row]]
-                    for j, w in enumerate(_bits(row[by], tok[by], rows).T):
+                    first = np.sort(key)[place < k[row]]
+                    on = np.zeros((rows, 64 * WORDS), bool)
+                    on[row[place < k[row]], (first & np.uint64(64 * WORDS - 1)).astype(np.int64)] = True
+                    for j, w in enumerate(np.packbits(on, axis=1).view(np.int64).T):
                         out[f"b{i}{j}"] = w
             yield out
 
@@ -163,10 +182,10 @@ def similar_sets(base: DataFrame, percent: int) -> DataFrame:
     """(a, b), a < b: all pairs of the classes of `base` (see _prefixed) with a Jaccard similarity of at least percent / 100."""
     cols = ["cls", "n", "own", *BIT_SETS]
     sets = base.where("toks is not null")
-    place = F.posexplode(F.slice("toks", 1, F.col("k")))
+    one = sets.select(*cols, F.explode(F.slice("toks", 1, F.col("k"))).alias("tok"))
+    most = F.pow(F.lit(4.0), F.shiftrightunsigned("tok", BITS))
     # a class that stands in several frames comes several times; its rows meet in the partition of their token
-    one = sets.select(*cols, "levels", place.alias("at", "tok")).select(*cols, "tok", F.pow(F.lit(4.0), F.get("levels", F.col("at"))).alias("most"))
-    one = one.select(*cols, "tok", F.ceil(F.col("most") / BLOCK).cast("int").alias("blocks")).repartition("tok").dropDuplicates(["tok", "cls"])
+    one = one.withColumn("blocks", F.ceil(most / BLOCK).cast("int")).repartition("tok").dropDuplicates(["tok", "cls"])
     a, b = (lambda c: F.col(f"a.{c}")), (lambda c: F.col(f"b.{c}"))
     total = a("n") + b("n")
     differ = sum((F.bit_count(a(f"f{j}").bitwiseXOR(b(f"f{j}"))) for j in range(WORDS)), a("own") + b("own"))
@@ -196,7 +215,7 @@ def _classes(records: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     # the sets are made twice, for the sketch and for the prefixes: that costs less than storing every token
     sent = r.sparkSession.sparkContext.broadcast(sketch.counted(r.select("tab", "toks"), _hashes, WIDTH))
     bits = ", ".join(f"{c} bigint" for c in BIT_SETS)
-    base = checkpoint(r.mapInPandas(_prefixed(sent, WIDTH, percent), f"tab string, id bigint, raw bigint, cls bigint, n int, own int, k int, {bits}, toks array<bigint>, levels array<smallint>"))
+    base = checkpoint(r.mapInPandas(_prefixed(sent, WIDTH, percent), f"tab string, id bigint, raw bigint, cls bigint, n int, own int, k int, {bits}, toks array<bigint>"))
     sent.destroy()
     members = base.select("tab", "cls", "id", "raw").distinct()
     pairs = merge_join(similar_sets(base, percent), members.select("tab", F.col("cls").alias("a")).distinct(), "a").select("tab", "a", "b")
