@@ -414,8 +414,8 @@ def furniture(pages: DataFrame) -> DataFrame:
     counted = edges.where("num is not null").withColumn("off", F.col("num") - F.col("page"))
     runs = counted.groupBy("doc", "off").agg(F.countDistinct("page").alias("n")).where("n > 1")
     return (
-        named.join(heads, ["doc", "key"], "left_semi").select("chunk_id", "line", "raw", F.lit("header").alias("kind"))
-        .unionByName(counted.join(runs, ["doc", "off"], "left_semi").select("chunk_id", "line", "raw", F.lit("page_no").alias("kind")))
+        merge_join(named, heads, ["doc", "key"], "left_semi").select("chunk_id", "line", "raw", F.lit("header").alias("kind"))
+        .unionByName(merge_join(counted, runs, ["doc", "off"], "left_semi").select("chunk_id", "line", "raw", F.lit("page_no").alias("kind")))
     )
 
 
