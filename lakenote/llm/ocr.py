@@ -29,6 +29,8 @@ SAMPLE, ROUNDS, BEAM = 6000, 4, 16
 #: Pages on which a header stands at least, lines at either end, and the length of a wide line; a document of which more than
 #: this share of the lines is wide was not scanned.
 PAGES, EDGE, WIDE, WIDE_SHARE = 3, 2, 110, 0.25
+#: The score by which a reading may fall short of the word as it stands, for each character that the word has beyond SHORT.
+ODDS, SHORT = 5.0, 6
 #: Most known words that are sent to every task; more are refused, not dropped.
 MAX_WORDS = 2_000_000
 BREAKS = "-¬­‐"
@@ -167,14 +169,17 @@ class Editor:
         self.longest = max(map(len, known), default=0)
 
     def fix(self, word: str) -> str | None:
-        """The best-scored reading of an unknown word that is a known word, or None. A single character has no reading, nor
+        """The best-scored reading of an unknown word that is a known word, or None where keeping the word scores better: names
+        are words too. A long word hardly ever comes near a known one by chance, so it needs less of a score. A single character has no reading, nor
         has a word of more than twice the length of any known one."""
         if not 2 <= len(word) <= 2 * self.longest:
             return None
         beam: list[tuple[float, str]] = [(0.0, "")]
+        kept = 0.0
         for i, c in enumerate(word):
             s = self.chars.scores(char_features(word, i, self.seen))
             s.setdefault(KEEP, 0.0)
+            kept += s[KEEP]
             top = sorted(s.items(), key=lambda x: -x[1])[:8]
             grown: dict[str, float] = {}
             for score, text in beam:
@@ -182,7 +187,8 @@ class Editor:
                     t = text + (c if label == KEEP else "" if label == DROP else label)
                     grown[t] = max(grown.get(t, -1e9), score + v)
             beam = sorted(((v, t) for t, v in grown.items()), key=lambda x: -x[0])[: 4 * BEAM]
-        return next((t for _, t in beam if t in self.known and t != word), None)
+        least = kept - ODDS * max(0, len(word) - SHORT)
+        return next((t for v, t in beam if v > least and t in self.known and t != word), None)
 
     def join(self, left: str, right: str) -> str | None:
         """A known word broken after `left`, as it is written whole, or None where the line break stays a space."""
