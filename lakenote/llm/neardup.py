@@ -1,17 +1,20 @@
 """Near-duplicate records by set similarity, filtered through several global token orders (problem 2).
 
 Every record becomes a set of hashed tokens. Under any total order of the tokens, two sets of the wanted similarity share
-a token among the first few of each (prefix filter). Candidates are joined on the prefix tokens of the first order and
-must also share prefix tokens under every other order; the prefixes of the other orders travel as small bit sets with each
-row, so all filters are intersected inside the join, before the sets themselves are fetched and compared exactly. All
-orders put rarer tokens first, by a count-min sketch that is sent to every task, and differ in the order among tokens of
-like frequency. So no token is shuffled but those of the prefixes; tokens that the sketch knows to be of a single set only
-count as places in a prefix. No filter loses a pair, whatever the sketch says; equal sets form one class, and frequent
-prefix tokens are split into blocks.
+a token among the first few of each (prefix filter). Candidates are joined on the prefix tokens of the first order, where
+the smaller set's prefix is the shorter one and enough tokens must follow in both (positional filter), and must also share
+prefix tokens under every other order; the prefixes of the other orders travel as small bit sets with each row, so all
+filters are intersected inside the join, before the sets themselves are fetched and compared exactly. All orders put rarer
+tokens first, by a count-min sketch that is sent to every task, and differ in the order among tokens of like frequency. So
+no token is shuffled but those of the prefixes, one slice of the tokens after the other, and sets only of the candidates;
+tokens that the sketch knows to be of a single set only count as places in a prefix. No filter loses a pair, whatever the
+sketch says; equal sets form one class, and frequent prefix tokens are split into blocks.
 """
 
 from __future__ import annotations
 
+import gc
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,15 +28,20 @@ from lakenote.llm.copies import expand
 from lakenote.operators.skew import merge_join, salted_join
 from lakenote.tables import checkpoint, words
 
-#: Token orders; the first is joined, the others are intersected. Words of 64 bits in each bit set.
-ORDERS, WORDS = 3, 2
+#: Token orders; the first is joined, the others are intersected. Words of 64 bits in the bit set of all tokens and in
+#: those of the other orders' prefixes.
+ORDERS, WORDS, PREFIX_WORDS = 3, 2, 1
 #: Records with one prefix token that are compared in one block.
 BLOCK = 4096
+#: Rows of prefix tokens that are shuffled at a time, unless that takes more than SLICES turns: each reads all records again.
+SLICE, SLICES = 1 << 21, 8
+#: Candidates whose sets are compared at a time, likewise.
+COMPARED = 1 << 20
 #: Bits of a token's hash; of the others four tell its level, or all number the records while their tokens are sorted.
 BITS = 50
 #: Cells of the sketch; at four bits each (32 MB) they are sent to every task.
 WIDTH = 1 << 26
-BIT_SETS = [f"f{j}" for j in range(WORDS)] + [f"b{i}{j}" for i in range(1, ORDERS) for j in range(WORDS)]
+BIT_SETS = [f"f{j}" for j in range(WORDS)] + [f"b{i}{j}" for i in range(1, ORDERS) for j in range(PREFIX_WORDS)]
 
 
 def run_sets(off: np.ndarray, flat: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -93,10 +101,9 @@ def _mixed(t: np.ndarray, seed: int) -> np.ndarray:
 
 
 def _bits(row: np.ndarray, tok: np.ndarray, rows: int) -> np.ndarray:
-    """(rows, WORDS) words: the bit set of each row's tokens."""
-    on = np.zeros((rows, 64 * WORDS), bool)
-    on[row, (_mixed(tok, 99) & np.uint64(64 * WORDS - 1)).astype(np.int64)] = True
-    return np.packbits(on, axis=1).view(np.int64)
+    """(rows, WORDS) words: the parity of each row's tokens by bit. Sets differ in at least as many tokens as they do in bits."""
+    bit = row * (64 * WORDS) + (_mixed(tok, 99) & np.uint64(64 * WORDS - 1)).astype(np.int64)
+    return np.packbits((np.bincount(bit, minlength=rows * 64 * WORDS) & 1).astype(bool).reshape(rows, -1), axis=1).view(np.int64)
 
 
 def _flat(f: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -125,52 +132,67 @@ def _hashes(f: pd.DataFrame) -> np.ndarray:
     return _flat(f)[1]
 
 
-def _prefixed(sent, width: int, percent: int):
+def _class_ids(row: np.ndarray, tok: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """The class of each row, by its set of tokens, and how many tokens it has."""
+    n = np.bincount(row, minlength=rows)
+    total = np.zeros((2, rows), np.uint64)
+    first = np.cumsum(n) - n
+    full = np.flatnonzero(n)
+    with np.errstate(over="ignore"):
+        for j in (0, 1):  # a set's hash must not hang on the order of its tokens
+            if len(full):
+                total[j, full] = np.add.reduceat(_mixed(tok, 11 + j), first[full])
+        return _mixed(total[0] * sketch.MIX + total[1] + n.astype(np.uint64), 5).view(np.int64), n
+
+
+def _lists(values: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The values cut into lists of these sizes."""
+    out = np.empty(len(size), object)
+    if len(size):
+        out[:] = np.split(values, np.cumsum(size)[:-1])
+    return out
+
+
+def _prefixed(sent, width: int, percent: int, prefixes):
     """Records (tab, id, raw, toks) with their class (cls), the number of their tokens (n), of those that stand in no other
-    record (own), the other tokens with their levels in the first order, how many of these are the prefix (k), and bit sets
-    of all and of the prefixes under the other orders. Only the first record of a class in a frame has tokens."""
+    record (own), the prefix of the others with their levels in the first order, and bit sets of all the others and of the
+    prefixes under the other orders. Only the first record of a class in a frame has tokens. prefixes, an accumulator, gets
+    the number of tokens in prefixes."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts = sent.value
         for f in _slices(frames):
             row, tok = _flat(f)
             rows = len(f)
-            n = np.bincount(row, minlength=rows)
-            total = np.zeros((2, rows), np.uint64)
-            first = np.cumsum(n) - n
-            full = np.flatnonzero(n)
-            with np.errstate(over="ignore"):
-                for j in (0, 1):  # a set's hash must not hang on the order of its tokens
-                    if len(full):
-                        total[j, full] = np.add.reduceat(_mixed(tok, 11 + j), first[full])
-                cls = _mixed(total[0] * sketch.MIX + total[1] + n.astype(np.uint64), 5).view(np.int64)
+            cls, n = _class_ids(row, tok, rows)
             level = sketch.levels(tok, counts, width)
             own = np.bincount(row[level == 0], minlength=rows)
             # places left in the prefix once the set's own tokens are counted; without any, no pair can reach the threshold
             k = np.minimum(n - (n * percent + 99) // 100 + 1 - own, n - own)
             take = (k > 0) & ~pd.Series(cls).duplicated().to_numpy()
+            k = np.where(take, k, 0)
+            prefixes.add(int(k.sum()))
             keep = (level > 0) & take[row]
             row, tok, level = row[keep], tok[keep], level[keep]
             size = np.bincount(row, minlength=rows)
             place = np.arange(len(tok)) - np.repeat(np.cumsum(size) - size, size)
             out = f[["tab", "id", "raw"]].copy()
-            out["cls"], out["n"], out["own"], out["k"] = cls, n.astype(np.int32), own.astype(np.int32), k.astype(np.int32)
+            out["cls"], out["n"], out["own"] = cls, n.astype(np.int32), own.astype(np.int32)
             for j, w in enumerate(_bits(row, tok, rows).T):
                 out[f"f{j}"] = w
             for i in range(ORDERS):
                 key = _ordered(row, level, tok, i)
                 if i == 0:
-                    by = np.argsort(key)
+                    by = np.argsort(key)[place < k[row]]
                     # the level is the same wherever the token stands, so it can be part of it
                     whole = (tok[by] | (level[by].astype(np.uint64) << np.uint64(BITS))).view(np.int64)
-                    lists = np.empty(rows, object)
-                    lists[:] = np.split(whole, np.cumsum(size)[:-1])
+                    lists = _lists(whole, k)
                     lists[~take] = None
                     out["toks"] = lists
                 else:
                     first = np.sort(key)[place < k[row]]
-                    on = np.zeros((rows, 64 * WORDS), bool)
-                    on[row[place < k[row]], (first & np.uint64(64 * WORDS - 1)).astype(np.int64)] = True
+                    on = np.zeros((rows, 64 * PREFIX_WORDS), bool)
+                    on[row[place < k[row]], (first & np.uint64(64 * PREFIX_WORDS - 1)).astype(np.int64)] = True
                     for j, w in enumerate(np.packbits(on, axis=1).view(np.int64).T):
                         out[f"b{i}{j}"] = w
             yield out
@@ -178,47 +200,108 @@ def _prefixed(sent, width: int, percent: int):
     return run
 
 
-def similar_sets(base: DataFrame, percent: int) -> DataFrame:
-    """(a, b), a < b: all pairs of the classes of `base` (see _prefixed) with a Jaccard similarity of at least percent / 100."""
-    cols = ["cls", "n", "own", *BIT_SETS]
-    sets = base.where("toks is not null")
-    one = sets.select(*cols, F.explode(F.slice("toks", 1, F.col("k"))).alias("tok"))
-    most = F.pow(F.lit(4.0), F.shiftrightunsigned("tok", BITS))
+def _asked(sent, width: int):
+    """(cls, n, toks) of the records whose class the sketch may know, once for each class of a frame."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            row, tok = _flat(f)
+            cls, n = _class_ids(row, tok, len(f))
+            take = (sketch.levels(cls.view(np.uint64), sent.value, width) > 0) & ~pd.Series(cls).duplicated().to_numpy()
+            yield pd.DataFrame({"cls": cls[take], "n": n[take].astype(np.int32), "toks": _lists(tok[take[row]].view(np.int64), n[take])})
+
+    return run
+
+
+def _twice(f: pd.DataFrame) -> np.ndarray:
+    """The classes of candidates; twice, as what the sketch meets once it gives as 0."""
+    return np.repeat(f[["a", "b"]].to_numpy().ravel(), 2).view(np.uint64)
+
+
+def _candidates(sets: DataFrame, percent: int, part: int, parts: int) -> DataFrame:
+    """(a, b), distinct: the pairs of classes that pass all filters by a prefix token of the given part of the tokens."""
+    cols = ["cls", "n", "room", "own", *BIT_SETS]
+    every = sets.select("cls", "n", "own", *BIT_SETS, F.posexplode("toks").alias("place", "tok"))
+    if parts > 1:
+        every = every.where(F.pmod("tok", F.lit(parts)) == part)
+    # room: how many tokens a set has left that others can have too, from the prefix token on
+    one = every.withColumn("room", F.col("n") - F.col("own") - F.col("place")).select(*cols, "tok")
     # a class that stands in several frames comes several times; its rows meet in the partition of their token
-    one = one.withColumn("blocks", F.ceil(most / BLOCK).cast("int")).repartition("tok").dropDuplicates(["tok", "cls"])
+    one = one.repartition("tok").dropDuplicates(["tok", "cls"])
+    blocks = F.ceil(F.pow(F.lit(4.0), F.shiftrightunsigned("tok", BITS)) / BLOCK).cast("int")
+    one = one.withColumn("blocks", blocks)
+    small = one.where((100 + percent) * F.col("room") >= 2 * percent * F.col("n"))  # can be the smaller set of a pair
     a, b = (lambda c: F.col(f"a.{c}")), (lambda c: F.col(f"b.{c}"))
     total = a("n") + b("n")
     differ = sum((F.bit_count(a(f"f{j}").bitwiseXOR(b(f"f{j}"))) for j in range(WORDS)), a("own") + b("own"))
-    ok = (a("cls") < b("cls")) & (100 * a("n") >= percent * b("n")) & (100 * b("n") >= percent * a("n")) & ((100 + percent) * differ <= (100 - percent) * total)
+    ok = ((a("n") < b("n")) | ((a("n") == b("n")) & (a("cls") < b("cls")))) & (100 * a("n") >= percent * b("n"))
+    # the first token that a pair shares leaves room for all the others
+    ok = ok & ((100 + percent) * F.least(a("room"), b("room")) >= percent * total) & ((100 + percent) * differ <= (100 - percent) * total)
     for i in range(1, ORDERS):
         meets = F.lit(0).cast("bigint")
-        for j in range(WORDS):
+        for j in range(PREFIX_WORDS):
             meets = meets.bitwiseOR(a(f"b{i}{j}").bitwiseAND(b(f"b{i}{j}")))
         ok = ok & (meets != 0)
-    few, many = one.where("blocks = 1"), one.where("blocks > 1")
-    mine, every = F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"), F.explode(F.expr("sequence(0, blocks - 1)"))
-    left = many.select(*cols, "tok", mine.alias("row"), every.alias("col"))
-    right = many.select(*cols, "tok", every.alias("row"), mine.alias("col"))
-    meet = lambda x, y, keys: merge_join(x.alias("a"), y.alias("b"), [F.col(f"a.{c}") == F.col(f"b.{c}") for c in keys]).where(ok).select(a("cls").alias("a"), b("cls").alias("b"))
-    candidates = meet(few, few, ["tok"]).unionByName(meet(left, right, ["tok", "row", "col"])).distinct()
-    whole = sets.select("cls", "n", "toks").dropDuplicates(["cls"])
-    one_side = merge_join(candidates.alias("p"), whole.alias("a"), F.col("p.a") == F.col("a.cls")).select("p.a", "p.b", a("n").alias("n_a"), a("toks").alias("toks_a"))
-    fetched = merge_join(one_side.alias("q"), whole.alias("b"), F.col("q.b") == F.col("b.cls")).select("q.*", b("n").alias("n_b"), b("toks").alias("toks_b"))
-    both = F.size(F.array_intersect("toks_a", "toks_b"))
-    return fetched.where((100 + percent) * both >= percent * (F.col("n_a") + F.col("n_b"))).select("a", "b")
+    mine, all_ = F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"), F.explode(F.expr("sequence(0, blocks - 1)"))
+    left = small.where("blocks > 1").select(*cols, "tok", mine.alias("row"), all_.alias("col"))
+    right = one.where("blocks > 1").select(*cols, "tok", all_.alias("row"), mine.alias("col"))
+    meet = lambda x, y, keys: merge_join(x.alias("a"), y.alias("b"), [F.col(f"a.{c}") == F.col(f"b.{c}") for c in keys]).where(ok).select(F.least("a.cls", "b.cls").alias("a"), F.greatest("a.cls", "b.cls").alias("b"))
+    return meet(small.where("blocks = 1"), one.where("blocks = 1"), ["tok"]).unionByName(meet(left, right, ["tok", "row", "col"])).distinct()
+
+
+def _free(df: DataFrame) -> None:
+    """Have the driver let go of the shuffles that nothing refers to any more: their files stay on disk until it does."""
+    for _ in range(2):  # what has just run may still be in the queue of finished events
+        gc.collect()
+        df.sparkSession.sparkContext._jvm.System.gc()
+        time.sleep(0.2)
+
+
+def similar_sets(records: DataFrame, base: DataFrame, percent: int, prefixes: int) -> DataFrame:
+    """(a, b), a < b: all pairs of the classes of `base`, which is _prefixed of the records, with a Jaccard similarity of at
+    least percent / 100.
+
+    prefixes: about how many rows the prefix tokens make; they are shuffled in turns, and the files of a turn are given up
+    before the next."""
+    sets = base.where("toks is not null")
+    parts = min(SLICES, 1 + prefixes // SLICE)
+    candidates = None
+    for i in range(parts):
+        new = checkpoint(_candidates(sets, percent, i, parts))
+        candidates = new if candidates is None else candidates.unionByName(new)
+        _free(base)
+    candidates = checkpoint(candidates.distinct()) if parts > 1 else candidates
+    # sets are made once more instead of being stored, and only the candidates' are shuffled
+    sent = base.sparkSession.sparkContext.broadcast(sketch.counted(candidates, _twice, WIDTH))
+    whole = checkpoint(records.mapInPandas(_asked(sent, WIDTH), "cls bigint, n int, toks array<bigint>").dropDuplicates(["cls"]))
+    sent.destroy()
+    _free(base)
+    side = lambda s: whole.select(F.col("cls").alias(s), F.col("n").alias(f"n_{s}"), F.col("toks").alias(f"toks_{s}"))
+    parts, both, pairs = min(SLICES, 1 + candidates.count() // COMPARED), F.size(F.array_intersect("toks_a", "toks_b")), None
+    for i in range(parts):
+        some = candidates.where(F.pmod(F.xxhash64("a"), F.lit(parts)) == i) if parts > 1 else candidates
+        fetched = merge_join(merge_join(some, side("a"), "a"), side("b"), "b")
+        new = checkpoint(fetched.where((100 + percent) * both >= percent * (F.col("n_a") + F.col("n_b"))).select("a", "b"))
+        pairs = new if pairs is None else pairs.unionByName(new)
+        del fetched
+        _free(base)
+    return pairs
 
 
 def _classes(records: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """(members, pairs): members (tab, cls, id, raw), cls standing for one set of one tab; pairs (tab, a, b) of similar classes."""
     raw = F.col("raw") if "raw" in records.columns else F.lit(0).cast("bigint")
     r = records.where("id is not null").select("tab", F.col("id").cast("bigint").alias("id"), raw.alias("raw"), "toks")
-    # the sets are made twice, for the sketch and for the prefixes: that costs less than storing every token
+    # the sets are made anew for the sketch, the prefixes and the comparison: that costs less than storing every token
     sent = r.sparkSession.sparkContext.broadcast(sketch.counted(r.select("tab", "toks"), _hashes, WIDTH))
     bits = ", ".join(f"{c} bigint" for c in BIT_SETS)
-    base = checkpoint(r.mapInPandas(_prefixed(sent, WIDTH, percent), f"tab string, id bigint, raw bigint, cls bigint, n int, own int, k int, {bits}, toks array<bigint>"))
+    prefixes = r.sparkSession.sparkContext.accumulator(0)
+    base = checkpoint(r.mapInPandas(_prefixed(sent, WIDTH, percent, prefixes), f"tab string, id bigint, raw bigint, cls bigint, n int, own int, {bits}, toks array<bigint>"))
     sent.destroy()
+    _free(base)
     members = base.select("tab", "cls", "id", "raw").distinct()
-    pairs = merge_join(similar_sets(base, percent), members.select("tab", F.col("cls").alias("a")).distinct(), "a").select("tab", "a", "b")
+    similar = similar_sets(r.select("tab", "toks"), base, percent, prefixes.value)
+    pairs = merge_join(similar, members.select("tab", F.col("cls").alias("a")).distinct(), "a").select("tab", "a", "b")
     return members, pairs
 
 

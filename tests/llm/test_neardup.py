@@ -100,3 +100,18 @@ def test_classes_components_and_links_equal_brute_force(spark, monkeypatch):
     assert {i: v[1:] for i, v in got.items()} == {i: (part[i], links[i]) for i in ids}
     assert [got[i][0] for i in range(1000, 1005)] == [1000] * 5 and got[2002] == (2002, 2002, 0)
     assert {got[4000 + i][1] for i in range(5)} == {4000} and (4000, 4004) not in pairs
+
+
+def test_tokens_are_shuffled_in_turns_and_only_prefixes_are_stored(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "SLICE", 1)
+    monkeypatch.setattr(neardup, "COMPARED", 1)
+    monkeypatch.setattr(neardup, "SLICES", 3)
+    stored = []
+    monkeypatch.setattr(neardup, "checkpoint", lambda df, keep=neardup.checkpoint: stored.append(keep(df)) or stored[-1])
+    rows = corpus(7)
+    df = spark.createDataFrame(rows, "chunk_id bigint, text string")
+    assert {(r.id_a, r.id_b) for r in neardup.near_duplicates(neardup.chunk_records(df), 60).collect()} == brute(rows, 3, 60, 20)
+    base = [f for f in stored if {"toks", "id"} <= set(f.columns)]
+    assert len(base) == 1 and base[0].where("size(toks) > n - ceil(0.6 * n) + 1").isEmpty() and not base[0].where("size(toks) > 0").isEmpty()
+    # three turns of candidates, together, and three of pairs
+    assert sum(f.columns == ["a", "b"] for f in stored) == 7
